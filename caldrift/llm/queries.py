@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, pii, piece_codec, quality, simhash, suffix_dedup, token_counts, topk
+from . import licenses, line_dedup, packing, pii, piece_codec, quality, simhash, suffix_dedup, token_counts, topk
 from .textops import documents
 
 
@@ -47,6 +47,10 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"))
 
@@ -57,7 +61,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_suffix_dedup, op3_piece_codec, op4_license_scan, op5_personal_data, op6_quality_rules, op7_exact_top_k, op9_packing, op10_simhash)
+    for f in (op1_token_counts, op2_suffix_dedup, op3_piece_codec, op4_license_scan, op5_personal_data, op6_quality_rules, op7_exact_top_k, op8_line_dedup, op9_packing, op10_simhash)
 }
 
 ORACLES: dict[str, str] = {
