@@ -37,6 +37,8 @@ GRAM = 28
 #: Positions worked on at once.
 SEGMENT = 1 << 21
 PLACE_BITS = 22
+#: Finds that a task gathers before it packs them for their documents.
+FLUSH = 1 << 19
 
 
 def _table(seed: int) -> np.ndarray:
@@ -293,7 +295,7 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, sa
     T.bound_batches(spark)
     docs = T.id_text(docs)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 8 * tasks
+    buckets = 4 * tasks
     common = common_anchors(docs, min_len, gram, sample_docs, contexts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,21 +318,37 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, sa
             yield from rows_out(rows)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, held in by_bucket(batches):
-            rows = [(bucket, GONE, pack(x)) for x in held.get(GONE, [])]
+        found: dict[int, list[list[np.ndarray]]] = {GONE: [], OPEN: []}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal size
+            for kind, parts in found.items():
+                if parts:
+                    arrays = joined(parts)
+                    yield from rows_out(list(dealt(arrays[0], buckets, kind, arrays)))
+                    parts.clear()
+            size = 0
+
+        for _, held in by_bucket(batches):
+            found[GONE] += held.get(GONE, [])
+            size += sum(len(x[0]) for x in held.get(GONE, []))
             if MEET in held:
                 key, content, doc, start, windows, lead = joined(held[MEET])
                 order, new, later = firsts(key, content, doc, start)
                 gone = order[later]
-                rows += dealt(doc[gone], buckets, GONE, [doc[gone], start[gone], start[gone] + windows[gone] + min_len - 1])
+                found[GONE].append([doc[gone], start[gone], start[gone] + windows[gone] + min_len - 1])
                 own = order[new]
                 k = key[own]
                 twin = np.zeros(len(k), bool)
                 twin[1:] = k[1:] == k[:-1]
                 twin[:-1] |= k[1:] == k[:-1]
                 own = own[twin]
-                rows += dealt(doc[own], buckets, OPEN, [doc[own], key[own], start[own], windows[own], lead[own]])
-            yield from rows_out(rows)
+                found[OPEN].append([doc[own], key[own], start[own], windows[own], lead[own]])
+                size += len(gone) + len(own)
+            if size > FLUSH:  # a row for each target of many buckets' finds, not of one's
+                yield from flush()
+        yield from flush()
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in T.slices(batches):
