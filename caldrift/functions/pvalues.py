@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
 def beta_fraction(a: float, b: float, x: float) -> float:
@@ -47,13 +48,13 @@ def normal_tail(z: float) -> float:
     return math.nan if math.isnan(z) else math.erfc(abs(z) / math.sqrt(2.0))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     out = [student_tail(a, b) if a is not None and b is not None else math.nan for a, b in zip(t.astype(float), df.astype(float), strict=True)]
     return pd.Series(np.where(np.isnan(out), None, out), dtype=object)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     out = [normal_tail(a) for a in z.astype(float)]
     return pd.Series(np.where(np.isnan(out), None, out), dtype=object)

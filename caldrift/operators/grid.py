@@ -48,10 +48,10 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], values: list[str],
 def nearest(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """``left`` with the nearest time of ``right`` by key, the earlier one at a tie, and the distance in minutes."""
     stamped = right.select(*keys, "t", F.lit(1).alias("one"))
-    back = as_of(left, stamped, keys, ["one"], "previous").drop("previous_one")
-    both = as_of(back, stamped, keys, ["one"], "next", forward=True).drop("next_one")
-    before, after = F.col("t") - F.col("previous_t"), F.col("next_t") - F.col("t")
-    anchor = F.when(F.col("next_t").isNull() | (before <= after), F.col("previous_t")).otherwise(F.col("next_t"))
+    back = as_of(left, stamped, keys, ["one"], "anchor_before").drop("anchor_before_one")
+    both = as_of(back, stamped, keys, ["one"], "anchor_after", forward=True).drop("anchor_after_one")
+    before, after = F.col("t") - F.col("anchor_before_t"), F.col("anchor_after_t") - F.col("t")
+    anchor = F.when(F.col("anchor_after_t").isNull() | (before <= after), F.col("anchor_before_t")).otherwise(F.col("anchor_after_t"))
     return (
         both.withColumn("nearest_t", anchor)
         .withColumn("signed_minutes", (F.col("t") - F.col("nearest_t")) / F.lit(float(MINUTE)))

@@ -64,13 +64,12 @@ CTES = {
 }
 
 
-def needs(text: str) -> list[str]:
-    """Names of the expressions that a statement uses, each after those it uses itself."""
+def needs(text: str, own: str = "") -> list[str]:
+    """Names of the expressions that a statement uses, each after those that it uses itself."""
     out: list[str] = []
     for name in CTES:
-        if re.search(rf"\b{name}\b", text) and name not in out:
-            out += [x for x in needs(CTES[name]) if x not in out and x != name] if name != "anchor_rows" else [x for x in needs(CTES[name].replace("anchor_rows", "")) if x not in out]
-            out.append(name)
+        if name != own and re.search(rf"(FROM|JOIN|,)\s+{name}\b", text):
+            out += [x for x in [*needs(CTES[name], name), name] if x not in out]
     return out
 
 
@@ -80,6 +79,6 @@ def statement(body: str, rounded: str = "", digits: int = 4) -> str:
     names = list(dict.fromkeys(needs(body)))
     head = "WITH RECURSIVE " + ", ".join(f"{n} AS ({CTES[n]})" for n in names) + " " if names else ""
     if not rounded:
-        return head + body
+        return head + (f"SELECT * FROM ({body})" if head and body.lstrip().startswith("WITH") else body)
     replace = ", ".join(f"round(CAST({c} AS DOUBLE) + 1e-9::DOUBLE, {digits}) + 0.0::DOUBLE AS {c}" for c in rounded.split())
     return f"{head}SELECT * REPLACE ({replace}) FROM ({body})"
