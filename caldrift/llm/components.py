@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textops import materialize
+from .textops import discard, materialize
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -26,15 +26,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         across = links.where("a < b").join(left, "a").join(right, "b").where("ra <> rb").select(F.greatest("ra", "rb").alias("node"), F.least("ra", "rb").alias("m"))
         hooks = materialize(across.groupBy("node").agg(F.min("m").alias("m")), "hooks")
         if hooks.isEmpty():
-            return label
-        hooked = label.join(hooks, "node", "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root"))
-        hooked = materialize(hooked, "labels")
+            discard(links, hooks)
+            return label.select("node", "root")
+        hooked = materialize(label.join(hooks, "node", "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root")), "labels")
+        discard(label, hooks)
         while True:  # follow the pointers until every node points at a node that points at itself
             up = hooked.select(F.col("node").alias("root"), F.col("root").alias("top"))
             label = materialize(hooked.join(up, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")), "labels")
-            moved = not label.where("moved").isEmpty()
-            label = label.select("node", "root")
-            if not moved:
+            discard(hooked)
+            if label.where("moved").isEmpty():
                 break
             hooked = label
     raise RuntimeError("components did not settle")
