@@ -75,6 +75,12 @@ def qubit_properties(raw: DataFrame) -> DataFrame:
     return rows.where(name.isNotNull()).select("poll", "qubit", name.alias("property_name"), _get("p", "$.value", "double").alias("value"), _get("p", "$.unit").alias("unit"), parse_timestamp(_get("p", "$.date")).alias("date"))
 
 
+def qubit_properties_named(raw: DataFrame, name: str) -> DataFrame:
+    """(poll, qubit, text): the value of each qubit's first property of a name, trimmed and in any case."""
+    rows = _qubit_rows(payloads(raw).where("error IS NULL"))
+    return rows.where(F.lower(F.trim(_get("p", "$.name"))) == name.strip().lower()).groupBy("poll", "qubit").agg(F.min_by(_get("p", "$.value"), "place").alias("text"))
+
+
 def qubit_operational(raw: DataFrame) -> DataFrame:
     """(poll, qubit, reported, effective, is_explicit, error): from the first property named operational; a row for every listed qubit."""
     good = payloads(raw).where("error IS NULL")
