@@ -7,6 +7,7 @@ longest single document) bounds a task's memory, whatever the size of the table.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -53,12 +54,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark drop shuffle files of finished jobs now: it does so when their plans are collected as garbage, which on a
+    quiet driver may be long after they have filled the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that nothing reads any more."""
     for df in tables:
         sc = df.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(df.caldrift_path)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    release(tables[0].sparkSession)
 
 
 def bound_batches(spark: SparkSession) -> None:
