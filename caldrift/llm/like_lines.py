@@ -1,0 +1,181 @@
+"""Line deduplication by edit similarity alone: no pair of lines at or above the similarity is left out.
+
+Lines are lower-cased words (split on all white space, each Han or kana character a word). Words have a fixed order, rare
+ones first. Two lines with edit similarity ``least`` have all but ``d = floor((1 - least) * n)`` words of the longer one in common, so among
+the first ``d + 1`` words of both there is an equal one, and among the first ``d + 2`` an equal pair. Short lines are filed under
+such pairs, long ones under such words, those between under both. The order only decides how large the files are: rarity is
+counted in buckets of word hashes. In a file all lines are compared with its head, the line with the most copies, and those
+unlike it with all others. Bounds that no like pair can break come before the edit distance.
+"""
+
+from __future__ import annotations
+
+from math import ceil, log2
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .components import components
+from .line_dedup import _alike
+from .textops import discard, id_text, materialize, release
+
+LEAST_SIMILARITY = 0.8
+#: Lines of fewer words are filed under pairs of words; the others, and all that can be like them, under single words.
+PAIRED_WORDS = 25
+BUCKETS = 1 << 16
+#: A word's place in the order: six bits of rarity, then this many of its hash.
+HASH_BITS = 57
+
+
+def _words(line: Column) -> Column:
+    apart = F.when(F.octet_length(line) > F.char_length(line), F.regexp_replace(line, r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}])", " $1 ")).otherwise(line)
+    return F.filter(F.split(apart, r"[\s\p{Z}]+"), lambda w: w != "")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, words, h1, h2) of each line that isn't blank; h1 and h2 identify the normalised line."""
+    raw = id_text(docs).where("doc_id is not null").select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "raw"))
+    words = raw.select("doc_id", "line", _words(F.col("raw")).alias("words")).where("size(words) > 0")
+    norm = F.array_join("words", " ")
+    return words.select("doc_id", "line", "words", F.xxhash64(norm).alias("h1"), F.xxhash64(norm, F.lit(1)).alias("h2"))
+
+
+def rarity(docs: DataFrame) -> bytes:
+    """A class from 1 (rare) to 63 for each bucket of word hashes: twice the logarithm of its count."""
+    word = F.explode(F.split(F.lower("text"), r"[\s\p{Z}]+")).alias("word")
+    counts = id_text(docs).select(word).groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).count()
+    table = bytearray([1]) * BUCKETS
+    for bucket, n in counts.collect():
+        table[bucket] = min(63, 1 + int(2 * log2(n)))
+    return bytes(table)
+
+
+def _spelt(words: str) -> Column:
+    """Each word as one character, by 16 bits of its hash, as in ``line_dedup``."""
+    return F.decode(F.unhex(F.array_join(F.transform(words, lambda w: F.lpad(F.hex(256 + F.pmod(F.xxhash64(w), F.lit(0xD000))), 4, "0")), "")), "UTF-16BE")
+
+
+def _keys(least: float) -> Column:
+    """Files of a line from its ordered words ``ranked`` and its length ``n``; lines that no edit leaves alike have none."""
+    room = f"cast(floor((1 - {least}D) * n + 1e-9D) as int)"
+    low = int(least * PAIRED_WORDS)
+    # the shortest line that has a like one of other words: a word less than the shortest that may lose one
+    fewest = ceil(1 / (1 - least) - 1e-9) - 1
+    pairs = f"""flatten(transform(slice(ranked, 1, {room} + 2), (x, i) -> transform(slice(ranked, i + 2, greatest({room} + 1 - i, 0)), y -> xxhash64(x, y))))"""
+    singles = f"transform(slice(ranked, 1, {room} + 1), x -> xxhash64(x))"
+    none = "cast(array() as array<bigint>)"
+    return F.expr(f"array_distinct(concat(CASE WHEN n >= {fewest} AND n < {PAIRED_WORDS} THEN {pairs} ELSE {none} END, CASE WHEN n >= {low} THEN {singles} ELSE {none} END))")
+
+
+def distinct_lines(docs: DataFrame, least: float) -> DataFrame:
+    """(h1, h2, doc_id, line, copies, n, spelt, sig, keys): each distinct line once, at its first place."""
+    table = F.lit(bytearray(rarity(docs)))
+    part = F.lit((1 << HASH_BITS) - 1)
+
+    def ranked(h: Column) -> Column:
+        return F.shiftleft(F.ascii(F.substr(table, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int"), F.lit(1)).cast("string")).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(part))
+
+    lines = _lines(docs)
+    hashed = lines.select("doc_id", "line", "h1", "h2", F.size("words").alias("n"), _spelt("words").alias("spelt"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    # bit by bit the parity of the words that fall on it: two lines differ in no more bits than they have words apart
+    sig = F.expr("aggregate(hashes, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63 as int)))").alias("sig")
+    filed = hashed.select("doc_id", "line", "h1", "h2", "n", "spelt", sig, F.sort_array(F.transform("hashes", ranked)).alias("ranked"))
+    whole = filed.select("h1", "h2", F.struct("doc_id", "line", "n", "spelt", "sig", _keys(least).alias("keys")).alias("own"))
+    return whole.groupBy("h1", "h2").agg(F.min("own").alias("own"), F.count("*").alias("copies")).select("h1", "h2", "own.*", "copies")
+
+
+def _possible(least: float) -> Column:
+    """Whether lines ``a`` and ``b`` can be alike by their lengths and parities."""
+    room = f"floor((1 - {least}D) * greatest(na, nb) + 1e-9D)"
+    return F.expr(f"abs(na - nb) <= {room} AND bit_count(sa ^ sb) <= na + nb - 2 * greatest(na, nb) + 2 * {room}")
+
+
+def _side(df: DataFrame, x: str) -> DataFrame:
+    return df.select("file", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+
+
+def _pair() -> list[Column]:
+    return [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+
+
+def _others(some: DataFrame, members: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: possible pairs of some members and the other members of their files."""
+    return _side(some, "a").join(_side(members, "b"), "file").where("a <> b").where(_possible(least)).select(*_pair()).distinct()
+
+
+def _verified(pairs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
+    """The pairs whose lines are alike."""
+    left, right = (distinct.select(F.col("id").alias(x), F.col("spelt").alias(f"t{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").where(_alike(least)).select("a", "b")
+
+
+def links(distinct: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of like lines that connect the same lines as all such pairs."""
+    spark = distinct.sparkSession
+    files = distinct.where("size(keys) > 0").select("id", "n", "sig", "copies", F.explode("keys").alias("file"))
+    heads = files.groupBy("file").agg(F.min(F.struct((-F.col("copies")).alias("rank"), "id", "n", "sig")).alias("head"), F.count("*").alias("size")).where("size > 1").select("file", "head")
+    members = materialize(files.join(heads, "file").where("id <> head.id").select("file", "id", "n", "sig", F.col("head.id").alias("b"), F.col("head.n").alias("nb"), F.col("head.sig").alias("sb")), "members")
+    release(spark)
+    met = members.withColumnsRenamed({"id": "a", "n": "na", "sig": "sa"})
+    star = materialize(met.where(_possible(least)).select(*_pair()).distinct(), "star")
+    verified = materialize(_verified(star, distinct, least), "verified")
+    # lines unlike their head meet the others of that file
+    alike = met.select("file", "a", *[c.alias(f"p{k}") for k, c in enumerate(_pair())]).join(verified.withColumnsRenamed({"a": "p0", "b": "p1"}), ["p0", "p1"]).select("file", F.col("a").alias("id"))
+    unlike = members.join(alike, ["file", "id"], "left_anti")
+    rest = materialize(_others(unlike, members, least), "rest")
+    release(spark)
+    found = materialize(verified.unionByName(_verified(rest, distinct, least)), "near")
+    discard(members, star, verified, rest)
+    return found
+
+
+def repeated_lines(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """(doc_id, line, first_doc_id, first_line): each line that is removed, and the occurrence that stays for it."""
+    if not 2 / 3 < least < 1:
+        raise ValueError("pairs of words cover similarities over 2/3 and below 1")
+    found = materialize(distinct_lines(docs, least), "distinct")
+    release(docs.sparkSession)
+    # numbers of written rows: the files of a table are read in the same order each time
+    distinct = materialize(found.withColumn("id", F.monotonically_increasing_id()), "numbered")
+    discard(found)
+    near = links(distinct, least)
+    linked = components(near)
+    place = F.struct("doc_id", "line")
+    first = distinct.select(F.col("id").alias("node"), place.alias("place"))
+    roots = linked.join(first, "node").groupBy("root").agg(F.min("place").alias("first"))
+    known = distinct.select("h1", "h2", "copies", place.alias("place"), "id").join(linked.withColumnRenamed("node", "id"), "id", "left").join(roots, "root", "left")
+    stays = materialize(known.select("h1", "h2", "copies", F.coalesce("first", "place").alias("first"), "place").where("copies > 1 or first <> place").select("h1", "h2", "first"), "stays")
+    discard(near, distinct)
+    return (
+        _lines(docs).select("doc_id", "line", "h1", "h2")
+        .join(stays, ["h1", "h2"])
+        .where(place != F.col("first"))
+        .select("doc_id", "line", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"))
+        .distinct()
+    )
+
+
+def line_report(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """(doc_id, n_lines, n_removed, removed) for each row of ``docs``: line numbers from 0, ascending, comma-joined.
+
+    Blank lines always stay; every other line counts, whatever its length. Null texts have no lines and empty ones have one;
+    rows with a null doc_id lose nothing; rows that repeat a doc_id share their removed line numbers, and a line at the same
+    place in the same document is one occurrence, so they don't count as copies of each other; other columns are ignored.
+    """
+    gone = repeated_lines(docs, least).groupBy("doc_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("line")), ",").alias("removed"))
+    lines = id_text(docs).select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"))
+    return lines.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n", F.lit(0)).alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed"))
+
+
+def remove(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
+    """``docs`` without the repeated lines, all columns in their order (``n_chars`` follows where there is one).
+
+    Edge cases as in ``line_report``; a text whose every line goes is empty.
+    """
+    gone = materialize(repeated_lines(docs, least).groupBy("doc_id").agg(F.collect_set("line").alias("caldrift_gone")), "gone")
+    lines = F.split("text", "\n")
+    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("caldrift_gone", i), x)), lambda x: x.isNotNull()), "\n")
+    joined = docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("caldrift_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col("caldrift_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
+    return joined.select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, packing, pii, piece_codec, quality, simhash, suffix_dedup, token_counts, topk
+from . import licenses, like_lines, packing, pii, piece_codec, quality, simhash, suffix_dedup, token_counts, topk
 from .textops import documents
 
 
@@ -48,7 +48,7 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_report(documents(spark, sf_dir))
+    return like_lines.line_report(documents(spark, sf_dir))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,70 @@
+"""Line deduplication against edit similarity alone, over all pairs of lines."""
+
+import random
+import re
+
+import pytest
+
+pytest.importorskip("public_tokenizers")
+
+from caldrift.llm import like_lines  # noqa: E402
+
+
+def edits(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        c = [i + 1]
+        for j, y in enumerate(b):
+            c.append(min(p[j] + (x != y), p[j + 1] + 1, c[j] + 1))
+        p = c
+    return p[-1]
+
+
+def brute(docs):
+    """Places of the lines that go."""
+    lines = []
+    for d, t in sorted((x for x in docs if x[0] is not None and x[1]), key=lambda x: x[0]):
+        for i, raw in enumerate(t.lower().split("\n")):
+            w = re.sub("([぀-ヿ一-鿿])", r" \1 ", raw).split()
+            if w:
+                lines.append(((d, i), w))
+    root = {p: p for p, _ in lines}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, (p, a) in enumerate(lines):
+        for q, b in lines[k + 1 :]:
+            if a == b or (abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)):
+                x, y = sorted((find(p), find(q)))
+                root[y] = x
+    return {p for p in root if find(p) != p}
+
+
+def test_every_like_line_is_found(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdéÉAB", k=rng.randint(1, 9))) for _ in range(400)]
+    docs = []
+    for d in range(40):
+        own = []
+        for n in (5, 7, 10, 20, 24, 25, 26, 31, 60):
+            base = rng.choices(words, k=n)
+            for most in (0, n // 5):  # as it is, and as far away as the similarity allows
+                b = list(base)
+                for _ in range(most):
+                    at, how = rng.randrange(len(b)), rng.random()
+                    b[at : at + 1] = [rng.choice(words)] if how < 0.5 else [] if how < 0.75 else [b[at], rng.choice(words)]
+                own.append(rng.choice([" ", "\t", "   "]).join(b))
+        rng.shuffle(own)
+        docs += [(2 * d, "\n".join(own[::2])), (2 * d + 1, "\n".join(own[1::2]))]
+    docs += [(900, "Yes\n\n漢字漢字漢字漢字漢字漢\na\tb"), (901, "yes \n\n漢字漢字漢字漢字漢漢漢\na b\n \t"), (902, None), (903, ""), (None, "Yes\nYes")]
+    want = brute(docs)
+    df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, keys string")
+    assert {(r.doc_id, r.line) for r in like_lines.repeated_lines(df).collect()} == want
+    assert {(901, 0), (901, 2), (901, 3)} <= want and len(want) > 250
+    report = {r.doc_id: r for r in like_lines.line_report(df).collect()}
+    assert sum(r.n_removed for r in report.values()) == len(want) and report[902].n_lines == 0 and report[903].n_lines == 1
+    kept = {r.doc_id: r.text for r in like_lines.remove(df).collect()}
+    assert all(kept[d] == "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in want) for d, t in docs if t and d is not None)
