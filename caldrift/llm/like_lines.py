@@ -133,11 +133,9 @@ def repeated_lines(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFram
     """(doc_id, line, first_doc_id, first_line): each line that is removed, and the occurrence that stays for it."""
     if not 2 / 3 < least < 1:
         raise ValueError("pairs of words cover similarities over 2/3 and below 1")
-    found = materialize(distinct_lines(docs, least), "distinct")
+    # a line's number is written with it, so it stays the same in all that follows
+    distinct = materialize(distinct_lines(docs, least).withColumn("id", F.monotonically_increasing_id()), "distinct")
     release(docs.sparkSession)
-    # numbers of written rows: the files of a table are read in the same order each time
-    distinct = materialize(found.withColumn("id", F.monotonically_increasing_id()), "numbered")
-    discard(found)
     near = links(distinct, least)
     linked = components(near)
     place = F.struct("doc_id", "line")

@@ -28,14 +28,12 @@ _LOWER[0x41:0x5B] += 0x20
 LOW = 0x5555555555555555
 
 
-def fingerprints_of(s: T.Slice, shingle: int = SHINGLE_WORDS) -> np.ndarray:
-    """Fingerprint of each document of a slice, as uint64."""
-    n = len(s)
+def shingle_hashes(s: T.Slice, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of a slice, end to end, and their number in each document; fewer words are one shingle."""
     starts, ends, first = T.word_spans(s)
     words = np.diff(first)
-    out = np.zeros(n, np.uint64)
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(len(s), np.int64)
     # the words end to end, one space after each
     size = ends - starts
     at = np.concatenate([[0], np.cumsum(size + 1)])
@@ -47,7 +45,13 @@ def fingerprints_of(s: T.Slice, shingle: int = SHINGLE_WORDS) -> np.ndarray:
     end = np.minimum(begin + shingle, np.repeat(first[1:], count)) - 1
     hashed = xxhash.xxh64_intdigest
     lo, hi = at[begin].tolist(), (at[end + 1] - 1).tolist()
-    h = np.fromiter((hashed(text[a:b], SEED) for a, b in zip(lo, hi, strict=True)), np.uint64, len(lo))
+    return np.fromiter((hashed(text[a:b], SEED) for a, b in zip(lo, hi, strict=True)), np.uint64, len(lo)), count
+
+
+def fingerprints_of(s: T.Slice, shingle: int = SHINGLE_WORDS) -> np.ndarray:
+    """Fingerprint of each document of a slice, as uint64."""
+    out = np.zeros(len(s), np.uint64)
+    h, count = shingle_hashes(s, shingle)
     edge = np.concatenate([[0], np.cumsum(count)])
     full = np.flatnonzero(count)
     for lo_doc in range(0, len(full), 2048):  # bounds the expanded bits, apart from a single long document's
