@@ -21,7 +21,7 @@ from . import textops as T
 LEAST_COVERAGE = 0.8
 #: Words of a text in which a notice must lie, for each word of the template.
 SLACK = 2
-#: Short notices of common licenses, in the order in which equal coverage is decided.
+#: Notices and characteristic passages of common licenses, in the order in which equal coverage is decided.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -31,7 +31,56 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+    "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "BSD-body": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-3-Clause-body": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "Apache-2.0-body": "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    "MPL-2.0-body": "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license under intellectual property rights (other than patent or trademark) Licensable by such Contributor to use, reproduce, make available, modify, display, perform, distribute, and otherwise exploit its Contributions",
+    "GPL-body": "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "LGPL-3.0-body": "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",
 }
+#: Words of a template that name its license: all must be among the pairs.
+NAMED = {
+    "MIT": "mit",
+    "Apache-2.0": "apache 2.0",
+    "GPL-3.0": "gnu general 3",
+    "BSD-3-Clause": "bsd-style",
+    "MPL-2.0": "mozilla 2.0",
+    "CC-BY-4.0": "creative commons attribution 4.0",
+    "Apache-2.0-header": "apache 2.0",
+    "MIT-grant": "charge deal restriction",
+    "ISC-grant": "fee",
+    "BSD-body": "redistribution binary",
+    "BSD-3-Clause-body": "neither endorse",
+    "Apache-2.0-body": "contributor perpetual irrevocable",
+    "MPL-2.0-body": "contributor licensable exploit",
+    "GPL-body": "gnu general copyleft",
+    "LGPL-3.0-body": "gnu lesser 3",
+}
+#: Words that make a notice another license's when they stand inside it.
+BARRED = {"GPL-3.0": "lesser affero", "GPL-body": "lesser affero"}
+_CC = {"nc": "NonCommercial", "sa": "ShareAlike", "nd": "NoDerivatives"}
+for _kind in ("", "-nc", "-sa", "-nd", "-nc-sa", "-nc-nd"):
+    for _version in ("4.0", "3.0"):
+        _name = f"CC-BY{_kind.upper()}-{_version}"
+        _long = "-".join(["Attribution", *[_CC[x] for x in _kind.split("-")[1:]]])
+        _tail = "International" if _version == "4.0" else "Unported"
+        TEMPLATES[f"{_name}-short"], NAMED[f"{_name}-short"] = f"Licensed under CC BY{_kind.upper()} {_version}.", f"cc by{_kind} {_version}"
+        if _name not in TEMPLATES:
+            TEMPLATES[_name], NAMED[_name] = f"This work is licensed under a Creative Commons {_long} {_version} {_tail} License.", f"creative commons {_long.lower()} {_version}"
+for _kind, _versions in (("General", ("2", "3")), ("Lesser General", ("2.1", "3")), ("Affero General", ("3",))):
+    for _version in _versions:
+        _name = f"{''.join(x[0] for x in _kind.split() if x != 'General')}GPL-{_version if '.' in _version else _version + '.0'}"
+        _of = f"the GNU {_kind} Public License"
+        _words = f"gnu {_kind.lower()} {_version}"
+        TEMPLATES[f"{_name}-header"] = f"you can redistribute it and/or modify it under the terms of {_of} as published by the Free Software Foundation, either version {_version} of the License, or (at your option) any later version."
+        NAMED[f"{_name}-header"] = _words
+        if _name not in TEMPLATES:
+            TEMPLATES[_name], NAMED[_name] = f"This work is licensed under {_of}, version {_version}.", _words
+        if _kind == "General":
+            BARRED[_name] = BARRED[f"{_name}-header"] = "lesser affero library"
+TEMPLATES["ISC"], NAMED["ISC"] = "Released under the ISC License.", "isc"
+TEMPLATES["BSD"], NAMED["BSD"] = "Released under the BSD License.", "bsd"
 _STRIP = b".,;:!?'\"()[]{}<>*#$%&|"
 
 
@@ -90,13 +139,16 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], least: float = LEAST_COVERAGE):
+    def __init__(self, templates: dict[str, str], least: float = LEAST_COVERAGE, named: dict[str, str] | None = None, barred: dict[str, str] | None = None):
         self.least = least
         self.names = list(templates)
         self.words = [words_of(t) for t in templates.values()]
-        listed = sorted({w for ws in self.words for w in ws})
+        named, barred = ([set(words_of((x or {}).get(name, ""))) for name in templates] for x in (named, barred))
+        listed = sorted({w for ws in [*self.words, *barred] for w in ws})
         self.number = {w: i for i, w in enumerate(listed)}
         self.templates = [[self.number[w] for w in ws] for ws in self.words]
+        self.named = [[{k for k, x in enumerate(ws) if x == w} for w in own] for ws, own in zip(self.words, named, strict=True)]
+        self.barred = [[self.number[w] for w in own] for own in barred]
         self.need = [max(1, int(np.ceil(least * len(ws) - 1e-9))) for ws in self.words]
         self.counts = np.zeros((len(self.names), len(listed)), np.int64)
         for k, ws in enumerate(self.templates):
@@ -106,10 +158,11 @@ class Scanner:
         """(template, coverage, first word, last word) of each notice of one template in a text's known words.
 
         Windows begin at the template's words and are SLACK times its length. Those whose words (counted as often as
-        the template has them) suffice are aligned from left to right; a notice's words are gone for the next.
+        the template has them) suffice are aligned from left to right; words that name the license must be paired; a notice's words are gone for the next.
         """
         words = self.templates[t]
         mine = np.flatnonzero(self.counts[t][own])
+        others = places[np.isin(own, self.barred[t])]
         own, places = own[mine], places[mine]
         if len(own) < self.need[t]:
             return
@@ -123,8 +176,11 @@ class Scanner:
             if at < free:
                 continue
             pairs = align(own[at : end[at]].tolist(), words)
-            if len(pairs) >= self.need[t]:
+            paired = {y for _, y in pairs}
+            if len(pairs) >= self.need[t] and all(paired & where for where in self.named[t]):
                 first, last = at + pairs[0][0], at + pairs[-1][0]
+                if ((others > places[first]) & (others < places[last])).any():
+                    continue
                 yield t, len(pairs) / len(words), int(places[first]), int(places[last])
                 free = last + 1
 
@@ -157,7 +213,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     0); a null doc_id stays null; repeated rows each give a row; other columns are ignored.
     """
     T.bound_batches(docs.sparkSession)
-    scanner = Scanner(templates or TEMPLATES, least)
+    scanner = Scanner(templates, least) if templates else Scanner(TEMPLATES, least, NAMED, BARRED)
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
