@@ -9,7 +9,7 @@ from .textops import discard, materialize
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): root is the smallest node of its component.
+    """(node, root) for every node of ``edges`` (a, b): root is the smallest node of its component. The caller discards it.
 
     Every node points at a node no larger than itself, at first at its smallest neighbour or itself. A round lets the
     targets of both ends of an edge, and their targets, learn the smallest target seen (hooking), then halves the
@@ -27,7 +27,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         hooks = materialize(across.groupBy("node").agg(F.min("m").alias("m")), "hooks")
         if hooks.isEmpty():
             discard(links, hooks)
-            return label.select("node", "root")
+            out = label.select("node", "root")
+            out.caldrift_path = label.caldrift_path
+            return out
         hooked = materialize(label.join(hooks, "node", "left").select("node", F.least("root", F.coalesce("m", "root")).alias("root")), "labels")
         discard(label, hooks)
         while True:  # follow the pointers until every node points at a node that points at itself

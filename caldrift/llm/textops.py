@@ -67,7 +67,6 @@ def discard(*tables: DataFrame) -> None:
         sc = df.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(df.caldrift_path)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-    release(tables[0].sparkSession)
 
 
 def bound_batches(spark: SparkSession) -> None:

@@ -13,7 +13,7 @@ import xxhash
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from caldrift.llm import licenses, line_dedup, packing, pii, piece_codec, quality, simhash, suffix_dedup, token_counts, topk  # noqa: E402
+from caldrift.llm import licenses, packing, pii, piece_codec, quality, simhash, suffix_dedup, token_counts, topk  # noqa: E402
 from caldrift.llm import textops as T  # noqa: E402
 from caldrift.llm.components import components  # noqa: E402
 
@@ -187,48 +187,6 @@ class Union(dict):
         self[b] = a
 
 
-def test_line_dedup(spark):
-    rng = random.Random(5)
-    words = ["".join(rng.choices("abcdéÉAB", k=rng.randint(1, 9))) for _ in range(60)]
-    base = [rng.choices(words, k=rng.choice([6, 30, 60, 140])) for _ in range(8)]
-
-    def line():
-        if rng.random() < 0.3:
-            return " ".join(rng.choices(words, k=rng.randint(0, 12)))
-        b = list(rng.choice(base))
-        for _ in range(rng.randint(0, 2)):
-            b[rng.randrange(len(b))] = rng.choice(words)
-        return rng.choice([" ", "", "  "]) + rng.choice([" ", "  "]).join(b)
-
-    docs = [(i, "\n".join(line() for _ in range(rng.randint(1, 6)))) for i in rng.sample(range(500), 50)] + [(900, None), (901, ""), (None, "a b c d e f\na b c d e f")]
-    first, fp = {}, {}
-    seen = []
-    for d, t in sorted((x for x in docs if x[0] is not None and x[1]), key=lambda x: x[0]):
-        for i, raw in enumerate(t.lower().split("\n")):
-            n = raw.strip(" ")
-            w = [x for x in n.split(" ") if x]
-            if len(w) >= 5:
-                seen.append(((d, i), n))
-                first.setdefault(n, ((d, i), w))
-    for n, (_, w) in first.items():
-        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w if len(x) >= 4]
-        fp[n] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if len(h) >= 5 else None
-    groups, names = Union(), list(first)
-    for k, n in enumerate(names):
-        for m in names[k + 1 :]:
-            if fp[n] is not None and fp[m] is not None and (fp[n] ^ fp[m]).bit_count() <= 3:
-                a, b = first[n][1], first[m][1]
-                if edits(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
-                    groups.join(first[n][0], first[m][0])
-    want = {p for p, n in seen if p != groups.find(first[n][0])}
-    df = frame(spark, docs)
-    assert {(r.doc_id, r.line) for r in line_dedup.repeated_lines(df).collect()} == want and want
-    report = {r.doc_id: r for r in line_dedup.line_report(df).collect()}
-    assert sum(r.n_removed for r in report.values()) == len(want) and report[900].n_lines == 0 and report[901].n_lines == 1
-    kept = {r.doc_id: r.text for r in line_dedup.remove(df).collect()}
-    assert all(kept[d] == "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in want) for d, t in docs if t and d is not None)
-
-
 def test_packing(spark, rows):
     own = packing.encoder(BPE)
     rng = random.Random(5)
