@@ -64,7 +64,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
+        # the tokenizer takes the strings of added tokens out of a text before anything else
+        self.added = [t.content.encode("utf-8") for t in self.own.get_added_tokens_decoder().values() if t.content]
         self.pattern = regex.compile(PATTERN)
         self.kind = _classes()
         self.merge = self.by_rank(path)
@@ -147,10 +148,40 @@ class Encoder:
     def forget(self) -> None:
         self.known, self.size, self.store = pa.array([], pa.large_binary()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def with_added(self, s: T.Slice) -> np.ndarray:
+        """Documents in which the string of an added token stands."""
+        raw, at = s.buf.tobytes(), []
+        for token in self.added:
+            k = raw.find(token)
+            while k >= 0:
+                at.append((k, k + len(token)))
+                k = raw.find(token, k + 1)
+        spans = np.array(at, np.int64).reshape(-1, 2)
+        doc = s.doc_of(spans[:, 0])
+        return np.unique(doc[spans[:, 1] <= s.offs[doc + 1]])
+
+    def by_tokenizer(self, s: T.Slice, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode_slice``: those documents by the tokenizer itself, the runs between them as ever."""
+        parts, sizes, done = [], [], 0
+        for k in [*marked.tolist(), len(s)]:
+            if k > done:
+                lo, hi = s.offs[done], s.offs[k]
+                ids, first = self.encode_slice(T.Slice(s.ids.slice(done, k - done), s.buf[lo:hi], s.offs[done : k + 1] - lo))
+                parts.append(ids)
+                sizes += np.diff(first).tolist()
+            if k < len(s):
+                parts.append(np.array(self.own.encode(s.text(k).decode("utf-8"), add_special_tokens=False).ids, np.uint32))
+                sizes.append(len(parts[-1]))
+            done = k + 1
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
     def encode_slice(self, s: T.Slice) -> tuple[np.ndarray, np.ndarray]:
         """Ids end to end and each document's first."""
         if not len(s.buf):
             return np.zeros(0, np.uint32), np.zeros(len(s) + 1, np.int64)
+        marked = self.with_added(s)
+        if len(marked):
+            return self.by_tokenizer(s, marked)
         at = self.starts(s)
         index, stretches = T.intern(s.buf, at, np.append(at[1:], len(s.buf)))
         store, offset, size = self.of_stretches(stretches)
