@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -115,6 +116,8 @@ def test_personal_data(spark, rows):
     for _ in range(8000):
         t = "".join(rng.choices(["a", "b.", "@", "@x.co", "1", "12", "255", "256", ".", ".1", "-", " ", "+", "+1", "(", "4111111111111111", "0", "é", "%"], k=rng.randint(0, 14)))
         assert brute(t) == pii.base_spans(t)
+    zeros = "0" * 5000 + "1.2.3.4 and 0." + "0" * 6000 + ".255.0"
+    assert [(k, b - a) for a, k, b in pii.base_spans(zeros) if k == 1] == [(1, 5007), (1, 6008)]
     field = pii.default_field()
     held_out = pii.labelled(400, seed=99)
     right = sum(list(d) == t for d, (_, t) in zip(field.decode([w for w, _ in held_out]), held_out, strict=True))
@@ -166,6 +169,24 @@ def test_top_k(spark, seed):
     assert dict(got) == {q: x for q, x in want.items() if x}
 
 
+@pytest.mark.parametrize("size", [33.0, 3e5, 2e9, 1e200])
+def test_top_k_of_large_components(spark, size):
+    """Scores are exact beyond 32, 53 and 64 bits; what no long holds is shown as the nearest one."""
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(rng.normal(size=(120, 5)) * size)]
+    rows += [(200, rows[3][1]), (200, rows[3][1]), (7, rows[4][1]), (None, rows[4][1])]  # repeated and null ids
+    whole = [(i, [__import__("math").floor(256 * x) for x in e]) for i, e in rows if i is not None]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in topk.top_k(df, df.where("vec_id in (0, 50, 100)")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    for q in (0, 50, 100):
+        own = next(e for i, e in whole if i == q)
+        best = sorted(((i, sum(a * b for a, b in zip(own, e, strict=True))) for i, e in whole if i != q), key=lambda x: (-x[1], x[0]))[:5]
+        assert got[q] == [(i, max(-topk.LONG, min(topk.LONG, x))) for i, x in best] or size > 1e6 and [x for _, x in got[q]] == [min(topk.LONG, x) for _, x in best]
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
 def edits(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a):
@@ -188,11 +209,11 @@ class Union(dict):
 
 
 def test_packing(spark, rows):
-    own = packing.encoder(BPE)
+    fresh = Tokenizer.from_file(BPE)
     rng = random.Random(5)
     extra = [(2000 + k, "".join(rng.choices(["a", "é", " ", "  ", "\n", "\t", "12", "don't", "'ll", "!", "漢", " x", "...", "\r\n", "<|endoftext|>"], k=rng.randint(0, 30)))) for k in range(300)]
     got = packing.pack(frame(spark, rows[2:-1] + extra), BPE).collect()
-    ids = {i: [*own.own.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows[2:-1] + extra}
+    ids = {i: [*fresh.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows[2:-1] + extra}
     cover, seqs = defaultdict(list), defaultdict(list)
     for r in got:
         part = ids[r.doc_id][r.start : r.start + r.length]
