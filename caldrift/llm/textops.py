@@ -48,7 +48,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table in the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/caldrift/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.caldrift_path = path
     return out
