@@ -11,8 +11,8 @@ anchor, so they travel as one *stretch*, about one to 35 bytes of text. Equal wi
 
 1. each task cuts its documents into stretches and keeps the first of equal ones (the others' bytes go at once);
 2. stretches meet by anchor: of equal ones the first is kept; anchors with more than one content are open;
-3. the bytes of open stretches meet by anchor; their suffixes are ordered up to ``min_len`` bytes and the
-   previous-factor rule says which windows start earlier;
+3. the bytes of open stretches meet by anchor; their suffixes are ordered, and the factor array says which windows start
+   earlier;
 4. each document's removed runs are joined and its remaining bytes are hashed.
 
 Stretches are identified by two independent 64-bit hashes. What tasks exchange is packed: a row for each target bucket
@@ -37,6 +37,9 @@ GRAM = 28
 #: Positions worked on at once.
 SEGMENT = 1 << 21
 PLACE_BITS = 22
+#: Bytes of open stretches whose suffixes are ordered at once (more if one anchor has more), and the contents of an anchor
+#: from which its windows are dealt singly.
+PART_BYTES, CROWD = 1 << 20, 4096
 #: Finds that a task gathers before it packs them for their documents.
 FLUSH = 1 << 19
 
@@ -131,59 +134,84 @@ def stretches(buf: np.ndarray, offs: np.ndarray, min_len: int = MIN_LEN, gram: i
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def longest_previous_factor(text: bytes) -> list[int]:
-    """For each place, the length of the longest string there that also starts earlier.
+def prefix_ranks(buf: np.ndarray, left: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(width, rank of each place by so many bytes from it) for widths 8, 16, 32 ... to ``length`` or more, by prefix doubling.
 
-    From the suffix array and its common prefixes: the factor is the longer of the common prefixes with the previous and
-    the next smaller place in suffix order, found with one stack. For single texts; the corpus form caps suffixes.
+    ``left`` is the distance from each place to the end of its string; a string that ends sorts before those that go on.
     """
-    n = len(text)
-    order = sorted(range(n), key=lambda i: text[i:])
-    rank = [0] * n
-    for k, i in enumerate(order):
-        rank[i] = k
-    lcp, h = [0] * (n + 1), 0
-    for i in range(n):  # common prefix with the suffix before in order
-        if rank[i]:
-            j = order[rank[i] - 1]
-            while i + h < n and j + h < n and text[i + h] == text[j + h]:
-                h += 1
-            lcp[rank[i]] = h
-            h = max(0, h - 1)
-        else:
-            h = 0
-    out = [0] * n
-    stack: list[tuple[int, int]] = []  # (place, common prefix with the stack's element below)
-    for k in range(n + 1):
-        place, shared = (order[k], lcp[k]) if k < n else (-1, 0)
-        while stack and stack[-1][0] > place:
-            top, below = stack.pop()
-            out[top] = max(below, shared)  # its previous smaller place lies below, its next one is at hand
-            shared = min(below, shared)
-        stack.append((place, shared))
+    n = len(buf)
+    padded = np.zeros(n + 8, np.uint64)
+    padded[:n] = buf
+    word = np.zeros(n, np.uint64)
+    for k in range(8):
+        word = (word << np.uint64(8)) | np.where(left > k, padded[k : n + k], np.uint64(0))
+    # zero bytes and ends look alike in the word; how many bytes there were tells them apart
+    _, rank = np.unique(word, return_inverse=True)
+    _, rank = np.unique(rank.astype(np.int64) * 9 + np.minimum(left, 8), return_inverse=True)
+    out, width = [(8, rank.astype(np.int64))], 8
+    while width < length:
+        rank = out[-1][1]
+        ahead = np.zeros(n, np.int64)
+        ahead[: max(0, n - width)] = rank[width:] + 1
+        ahead[left <= width] = 0
+        _, rank = np.unique(rank * (n + 1) + ahead, return_inverse=True)
+        width *= 2
+        out.append((width, rank.astype(np.int64)))
     return out
 
 
-def not_first(strings: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Which of these equally long strings (rows of bytes) also start earlier, by (doc, place).
+def nearest_smaller(values: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For each element the least of ``shared`` (between neighbours, the first is unused) down to its previous smaller value; 0 if none.
 
-    The rows are put in suffix order with equal ones by place. Then the previous smaller place of a row with a common
-    prefix of full length is the row before it in its run, if there is one; no other row shares the full length.
+    All pointers jump at once: one that stands on a larger value takes that value's own pointer.
     """
-    by_place = np.lexsort((place, doc))
-    rows = np.ascontiguousarray(strings[by_place])
-    order = by_place[np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")]
-    same = (strings[order[1:]] == strings[order[:-1]]).all(axis=1)
-    head = np.maximum.accumulate(np.where(np.concatenate([[True], ~same]), np.arange(len(order)), 0))
-    first = order[head]
-    out = np.zeros(len(order), bool)
-    out[order] = (doc[order] != doc[first]) | (place[order] != place[first])  # the same place twice is one occurrence
+    n = len(values)
+    at, least = np.arange(n) - 1, shared.copy()
+    least[:1] = 0
+    todo = np.arange(1, n)
+    while len(todo):
+        todo = todo[values[at[todo]] > values[todo]]
+        over = at[todo]
+        to, low = at[over], least[over]
+        least[todo] = np.minimum(least[todo], low)
+        at[todo] = to
+        ended = to < 0
+        least[todo[ended]] = 0
+        todo = todo[~ended]
+    return least
+
+
+def longest_previous_factors(buf: np.ndarray, left: np.ndarray, at: np.ndarray, when: np.ndarray, most: int) -> np.ndarray:
+    """For each place in ``at``, the length (up to ``most``) of the longest string there that also starts at one with a smaller ``when``.
+
+    The suffixes at these places are put in order and the common prefixes of neighbours found from the ranks. A place's
+    factor is the longer of its common prefixes with the previous and the next place in suffix order that is smaller.
+    """
+    ranks = prefix_ranks(buf, left, most)
+    order = np.lexsort((when, ranks[-1][1][at]))
+    place = at[order]
+    a, b = place[:-1].copy(), place[1:].copy()
+    room = np.minimum(np.minimum(left[a], left[b]), most)
+    same = np.zeros(len(a), np.int64)
+    for width, rank in reversed(ranks):
+        equal = np.flatnonzero(same + width <= room)
+        equal = equal[rank[a[equal] + same[equal]] == rank[b[equal] + same[equal]]]
+        same[equal] += width
+    for _ in range(7):
+        go = np.flatnonzero(same < room)
+        go = go[buf[a[go] + same[go]] == buf[b[go] + same[go]]]
+        same[go] += 1
+    lcp = np.concatenate([[0], same])[: len(place)]
+    own = when[order]
+    before = nearest_smaller(own, lcp)
+    after = nearest_smaller(own[::-1], np.concatenate([[0], lcp[:0:-1]])[: len(place)])[::-1]
+    out = np.zeros(len(at), np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
 # ---------------------------------------------------------------- packed rows
 
-NULL_ID = 2**63 - 1
 TEXT, GONE, OPEN, MEET = range(4)
 ROW = "bucket int, kind int, body binary"
 
@@ -244,8 +272,8 @@ def joined(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
 
 
 def ids_of(s: T.Slice) -> np.ndarray:
-    """doc_ids with null as the largest."""
-    return s.ids.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+    """Row numbers."""
+    return s.ids.to_numpy(zero_copy_only=False)
 
 
 def firsts(key: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -268,7 +296,7 @@ def common_anchors(docs: DataFrame, min_len: int, gram: int, sample_docs: int, c
     No more than the sample's stretches over ``contexts`` of them exist, whatever the table's size.
     """
     n = docs.count()
-    part = docs if n <= sample_docs else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit((sample_docs << 20) // n))
+    part = docs if n <= sample_docs else docs.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < F.lit((sample_docs << 20) // n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in T.slices(batches):
@@ -284,37 +312,42 @@ def common_anchors(docs: DataFrame, min_len: int, gram: int, sample_docs: int, c
     return np.sort(np.array([r.key for r in found], np.int64).view(np.uint64))
 
 
-def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, sample_docs: int = 8192, contexts: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, sample_docs: int = 8192, contexts: int = 64, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of ``docs``; ``kept`` has the remaining bytes.
 
-    Null texts are empty; a null doc_id counts as the largest and comes back null. Rows that repeat a doc_id are one
-    document: a place occurs once, and what is removed for one of them is removed for all (where they are long enough).
-    Texts shorter than ``min_len`` lose nothing. Other columns are ignored; an empty table gives no rows.
+    Each row is a document of its own. Null texts are empty; a null doc_id counts as the largest and comes back null; rows that
+    repeat a doc_id, or have none, come one after the other in the order of their texts' hashes (equal rows in any order, which shows in
+    nothing). Texts shorter than ``min_len`` lose nothing; a text of any length is cut in segments, though one task holds it whole.
+    Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     T.bound_batches(spark)
-    docs = T.id_text(docs)
+    # rows in order of their place in the corpus, with numbers that are written with them; null or repeated ids are dealt by their texts
+    placed = T.id_text(docs).orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"))
+    table = T.materialize(placed.select(F.monotonically_increasing_id().alias("row"), "text", "doc_id"), "rows")
+    T.release(spark)
+    docs = table.select("row", "text")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = 4 * tasks
     common = common_anchors(docs, min_len, gram, sample_docs, contexts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in T.slices(batches):
-            start, windows, lead, key, content = stretches(s.buf, s.offs, min_len, gram)
+            start, windows, _, key, content = stretches(s.buf, s.offs, min_len, gram)
             if len(common) and len(start):
                 hot = common[np.minimum(np.searchsorted(common, key), len(common) - 1)] == key
                 if hot.any():  # each window on its own, known by its own hashes
                     single = T.ragged(windows[hot], start[hot])
                     one, two = _window_hashes(s.buf, single, min_len)
                     rest = ~hot
-                    start, windows, lead = np.concatenate([start[rest], single]), np.concatenate([windows[rest], np.ones(len(single), np.int64)]), np.concatenate([lead[rest], np.zeros(len(single), np.int64)])
+                    start, windows = np.concatenate([start[rest], single]), np.concatenate([windows[rest], np.ones(len(single), np.int64)])
                     key, content = np.concatenate([key[rest], one]), np.concatenate([content[rest], two])
             at = s.doc_of(start)
             doc, start = ids_of(s)[at], start - s.offs[at]
             order, new, later = firsts(key, content, doc, start)
             rows = list(dealt(doc[order][later], buckets, GONE, [doc[order][later], start[order][later], (start + windows + min_len - 1)[order][later]]))
             own = order[new]
-            rows += dealt(key[own], buckets, MEET, [key[own], content[own], doc[own], start[own], windows[own].astype(np.uint8), lead[own].astype(np.uint8)])
+            rows += dealt(key[own], buckets, MEET, [key[own], content[own], doc[own], start[own], windows[own].astype(np.uint16)])
             yield from rows_out(rows)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +367,7 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, sa
             found[GONE] += held.get(GONE, [])
             size += sum(len(x[0]) for x in held.get(GONE, []))
             if MEET in held:
-                key, content, doc, start, windows, lead = joined(held[MEET])
+                key, content, doc, start, windows = joined(held[MEET])
                 order, new, later = firsts(key, content, doc, start)
                 gone = order[later]
                 found[GONE].append([doc[gone], start[gone], start[gone] + windows[gone] + min_len - 1])
@@ -343,39 +376,53 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, sa
                 twin = np.zeros(len(k), bool)
                 twin[1:] = k[1:] == k[:-1]
                 twin[:-1] |= k[1:] == k[:-1]
-                own = own[twin]
-                found[OPEN].append([doc[own], key[own], start[own], windows[own], lead[own]])
+                own, k = own[twin], k[twin]
+                many = np.bincount(np.searchsorted(np.unique(k), k)) if len(k) else np.zeros(0, np.int64)
+                crowded = (many[np.searchsorted(np.unique(k), k)] > crowd).astype(np.uint8) if len(k) else np.zeros(0, np.uint8)
+                found[OPEN].append([doc[own], key[own], start[own], windows[own], crowded])
                 size += len(gone) + len(own)
             if size > FLUSH:  # a row for each target of many buckets' finds, not of one's
                 yield from flush()
         yield from flush()
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[T.Slice, pa.Array]]:
+        for b in batches:
+            at = 0
+            for s in T.slices([b]):
+                yield s, b.column(2).slice(at, len(s))
+                at += len(s)
+
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s in T.slices(batches):
-            doc = ids_of(s)
+        for s, names in named(batches):
+            doc, known, name = ids_of(s), names.is_valid().to_numpy(zero_copy_only=False), names.fill_null(0).to_numpy(zero_copy_only=False)
             bucket = (_mix(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             rows = []
             for b in np.unique(bucket):
                 own = np.flatnonzero(bucket == b)
                 size = np.diff(s.offs)[own]
-                rows.append((int(b), TEXT, pack([doc[own], size, s.buf[T.ragged(size, s.offs[:-1][own])]])))
+                rows.append((int(b), TEXT, pack([doc[own], size, s.buf[T.ragged(size, s.offs[:-1][own])], name[own], known[own].astype(np.uint8)])))
             yield from rows_out(rows)
 
     def bytes_of_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in by_bucket(batches):
             if OPEN not in held or TEXT not in held:
                 continue
-            ids, size, buf = joined(held[TEXT])
+            ids, size, buf, _, _ = joined(held[TEXT])
             offs = np.concatenate([[0], np.cumsum(size)])
-            doc, key, start, windows, lead = joined(held[OPEN])
-            by_id = np.argsort(ids, kind="stable")
-            low, high = np.searchsorted(ids[by_id], doc), np.searchsorted(ids[by_id], doc, side="right")
-            times = high - low  # more than once where rows repeat a doc_id
-            row = by_id[T.ragged(times, low)]
-            doc, key, start, windows, lead = (np.repeat(x, times) for x in (doc, key, start, windows, lead))
+            doc, key, start, windows, crowded = joined(held[OPEN])
+            by_id = np.argsort(ids)
+            row = by_id[np.searchsorted(ids[by_id], doc)]
+            if crowded.any():  # windows of an anchor with very many contents are dealt one by one, by their own hash
+                hot = crowded > 0
+                times = np.where(hot, windows.astype(np.int64), 1)
+                step = T.ragged(times, np.zeros(len(times), np.int64))
+                doc, key, windows, row, hot = (np.repeat(x, times) for x in (doc, key, windows, row, hot))
+                start = np.repeat(start, times) + step
+                windows[hot] = 1
+                key = key.copy()
+                at = offs[row[hot]] + start[hot]
+                key[hot] = _window_hashes(buf, at, min_len)[0]
             length = windows.astype(np.int64) + min_len - 1
-            fits = start + length <= size[row]
-            doc, key, start, windows, length, row = (x[fits] for x in (doc, key, start, windows, length, row))
             bucket = (_mix(key) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             edge = np.concatenate([[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]])
@@ -391,37 +438,45 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, sa
             key, doc, start, windows, raw = joined(held[OPEN])
             windows = windows.astype(np.int64)
             offs = np.concatenate([[0], np.cumsum(windows + min_len - 1)])
-            view = np.lib.stride_tricks.sliding_window_view(raw, min_len)
-            at = T.ragged(windows, offs[:-1])
-            who = np.repeat(np.arange(len(key)), windows)
-            parts = max(1, -(-len(at) // 200_000))  # equal strings have equal hashes: parts bound the strings held at once
-            part = (Rolling(raw, 0).of(at, at + min_len) % np.uint64(parts)).astype(np.int64) if parts > 1 else np.zeros(len(at), np.int64)
-            place = start[who] + at - offs[who]
-            gone = np.zeros(len(at), bool)
-            for p in range(parts):
-                own = np.flatnonzero(part == p)
-                gone[own] = not_first(view[at[own]], doc[who[own]], place[own])
-            if gone.any():
-                d, a = doc[who[gone]], place[gone]
-                first = np.ones(len(a), bool)  # runs of windows of one stretch become one interval
-                first[1:] = (a[1:] != a[:-1] + 1) | (who[gone][1:] != who[gone][:-1])
-                head = np.flatnonzero(first)
-                tail = np.append(head[1:], len(a)) - 1
-                yield from rows_out(list(dealt(d[head], buckets, GONE, [d[head], a[head], a[tail] + min_len])))
+            # equal windows have equal keys: stretches of some keys at a time bound the arrays
+            by_key = np.argsort(key, kind="stable")
+            ends = np.cumsum((windows + min_len - 1)[by_key])
+            last = np.append(key[by_key][1:] != key[by_key][:-1], True)  # a key's last stretch
+            lo, done = 0, 0
+            while lo < len(key):
+                hi = int(np.searchsorted(ends, done + PART_BYTES, side="right"))
+                hi = lo + int(np.argmax(last[max(hi - 1, lo) :])) + max(hi - 1 - lo, 0) + 1
+                own = by_key[lo:hi]
+                lo, done = hi, ends[hi - 1]
+                size = windows[own] + min_len - 1
+                buf = raw[T.ragged(size, offs[own])]
+                first = np.concatenate([[0], np.cumsum(size)[:-1]])
+                left = np.repeat(first + size, size) - np.arange(len(buf))
+                at = T.ragged(windows[own], first)
+                who = np.repeat(own, windows[own])
+                place = start[who] + at - np.repeat(first, windows[own])
+                when = np.empty(len(at), np.int64)
+                when[np.lexsort((place, doc[who]))] = np.arange(len(at))
+                gone = longest_previous_factors(buf, left, at, when, min_len) >= min_len
+                if gone.any():
+                    d, p, w = doc[who[gone]], place[gone], who[gone]
+                    new = np.ones(len(p), bool)  # runs of windows of one stretch become one interval
+                    new[1:] = (p[1:] != p[:-1] + 1) | (w[1:] != w[:-1])
+                    head = np.flatnonzero(new)
+                    tail = np.append(head[1:], len(p)) - 1
+                    yield from rows_out(list(dealt(d[head], buckets, GONE, [d[head], p[head], p[tail] + min_len])))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in by_bucket(batches):
             if TEXT not in held:
                 continue
-            ids, size, buf = joined(held[TEXT])
+            ids, size, buf, name, known = joined(held[TEXT])
             offs = np.concatenate([[0], np.cumsum(size)])
             mark = np.zeros(len(buf) + 1, np.int32)
             if GONE in held:
                 doc, lo, hi = joined(held[GONE])
-                by_id = np.argsort(ids, kind="stable")
-                low, high = np.searchsorted(ids[by_id], doc), np.searchsorted(ids[by_id], doc, side="right")
-                row = by_id[T.ragged(high - low, low)]
-                lo, hi = (np.minimum(np.repeat(x, high - low), size[row]) for x in (lo, hi))
+                by_id = np.argsort(ids)
+                row = by_id[np.searchsorted(ids[by_id], doc)]
                 np.add.at(mark, offs[row] + lo, 1)
                 np.add.at(mark, offs[row] + hi, -1)
             gone = np.cumsum(mark[:-1]) > 0
@@ -438,7 +493,7 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, sa
                 own = slice(span.start, span.stop)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids[own], mask=ids[own] == NULL_ID),
+                        pa.array(name[own], mask=known[own] == 0),
                         pa.array(size[own]),
                         pa.array(removed[own]),
                         pa.array(spans[own]),
@@ -452,7 +507,7 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, sa
         return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket")
 
     known = T.materialize(grouped(docs.mapInArrow(cut, ROW)).mapInArrow(meet, ROW), "stretches")
-    held = docs.mapInArrow(texts, ROW)
+    held = table.mapInArrow(texts, ROW)
     open_ = grouped(held.unionByName(known.where(F.col("kind") == OPEN))).mapInArrow(bytes_of_open, ROW)
     later = grouped(open_).mapInArrow(decide, ROW)
     return grouped(held.unionByName(known.where(F.col("kind") == GONE)).unionByName(later)).mapInArrow(

@@ -269,9 +269,6 @@ def test_simhash(spark, rows):
 
 @pytest.mark.parametrize("contexts", [64, 2])
 def test_suffix_dedup(spark, contexts):
-    text = b"abracadabra banana abracadabra"
-    factor = suffix_dedup.longest_previous_factor(text)
-    assert factor == [max(n for n in range(len(text) - i + 1) if n == 0 or 0 <= text.find(text[i : i + n]) < i) for i in range(len(text))]
     rng = random.Random(contexts)
     words = ["".join(rng.choices("abcdé\0", k=rng.randint(1, 6))) for _ in range(40)]
     parts = [" ".join(rng.choices(words, k=rng.randint(20, 80))) for _ in range(12)]
@@ -281,8 +278,11 @@ def test_suffix_dedup(spark, contexts):
         return " ".join(rng.choice(pick)() for _ in range(rng.randint(0, 5)))
 
     docs = [(i, doc()) for i in rng.sample(range(1000), 120)] + [(2000, None), (2001, "")]
-    seen, want = set(), {}
-    for d, t in sorted(docs, key=lambda x: x[0]):
+    # rows that share an id, or have none, are documents of their own, one after the other; which comes first shows in the texts' hashes
+    docs += [docs[0], docs[1], docs[1], (None, "x" * 150), (None, "".join(rng.choices("abcdefgh", k=400))), (None, "y" * 130 + docs[2][1]), (2001, "y" * 120)]
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for t in {t for _, t in docs}], "t string").selectExpr("t", "xxhash64(t) AS h").collect()}
+    seen, want = set(), []
+    for d, t in sorted(docs, key=lambda x: (x[0] is None, x[0] or 0, hashes[x[1]])):
         b = (t or "").encode()
         gone = bytearray(len(b))
         for i in range(len(b) - 99):
@@ -291,7 +291,32 @@ def test_suffix_dedup(spark, contexts):
                 gone[i : i + 100] = b"\1" * 100
             seen.add(w)
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        want[d] = (len(b), sum(gone), sum(1 for i in range(len(gone)) if gone[i] and (i == 0 or not gone[i - 1])), hashlib.sha256(kept).hexdigest())
-    got = suffix_dedup.remove_repeats(frame(spark, [*docs, docs[0], (None, "x" * 150)]), contexts=contexts).collect()
-    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got if r.doc_id is not None} == want
-    assert len(got) == len(docs) + 2 and [r.n_removed for r in got if r.doc_id is None] == [149]
+        want.append((d, len(b), sum(gone), sum(1 for i in range(len(gone)) if gone[i] and (i == 0 or not gone[i - 1])), hashlib.sha256(kept).hexdigest()))
+    got = suffix_dedup.remove_repeats(frame(spark, docs), contexts=contexts).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == Counter(want)
+    single = suffix_dedup.remove_repeats(frame(spark, docs), contexts=contexts, crowd=1).collect()  # every open anchor's windows are dealt singly
+    assert Counter((r.doc_id, r.n_removed) for r in single) == Counter((d, n) for d, _, n, _, _ in want)
+    assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_longest_previous_factors():
+    """Against every pair of places, over strings that end, with zero bytes and ties."""
+    rng = np.random.default_rng(9)
+    for most in (20, 100, 130):
+        size = rng.integers(1, 200, 12)
+        buf = rng.integers(0, 2, int(size.sum())).astype(np.uint8)
+        buf[50:250] = buf[300:500]
+        ends = np.cumsum(size)
+        left = np.repeat(ends, size) - np.arange(len(buf))
+        at = np.sort(rng.choice(len(buf), len(buf) // 2, replace=False))
+        when = rng.permutation(len(at))
+
+        def common(a, b):
+            n = 0
+            while n < min(left[a], left[b], most) and buf[a + n] == buf[b + n]:
+                n += 1
+            return n
+
+        got = suffix_dedup.longest_previous_factors(buf, left, at, when, most)
+        want = [max((common(a, b) for b, v in zip(at, when, strict=True) if v < w), default=0) for a, w in zip(at, when, strict=True)]
+        assert got.tolist() == want
