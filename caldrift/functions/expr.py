@@ -58,10 +58,9 @@ TRUE_TEXTS, FALSE_TEXTS = ("true", "1", "yes"), ("false", "0", "no")
 
 
 def operational_value(text: Column) -> tuple[Column, Column]:
-    """(value, error) of a reported operational state: a boolean, 0 or 1, or a text for one; anything else is an error."""
+    """(value, error) of an operational state reported as a text: one of the texts above; anything else, "1.0" too, is an error."""
     t = F.lower(F.trim(text))
-    number = F.try_cast(t, "double") if hasattr(F, "try_cast") else t.try_cast("double")
-    value = F.when(t.isin(*TRUE_TEXTS) | (number == 1), True).when(t.isin(*FALSE_TEXTS) | (number == 0), False)
+    value = F.when(t.isin(*TRUE_TEXTS), True).when(t.isin(*FALSE_TEXTS), False)
     return value, value.isNull()
 
 
@@ -71,6 +70,34 @@ def lenient_bool(text: Column) -> Column:
     return F.when(text.isNotNull(), F.coalesce(value, F.length(text) > 0))
 
 
+NUMBERS = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
+
+
+def variant_kind(v: Column) -> Column:
+    """The schema of a variant as a text, VOID for a JSON null; null for no variant."""
+    return F.schema_of_variant(v)
+
+
+def variant_operational(v: Column) -> Column:
+    """The operational state in a variant: a boolean, the numbers 0 and 1, or a text for one; null for anything else."""
+    kind = variant_kind(v)
+    number = F.try_variant_get(v, "$", "double")
+    of_number = F.when(number == 1, True).when(number == 0, False)
+    return F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(kind.rlike(NUMBERS), of_number).when(kind == "STRING", operational_value(F.try_variant_get(v, "$", "string"))[0])
+
+
+def variant_truth(v: Column) -> Column:
+    """Leniently: texts for true and false, otherwise whether the value is neither empty nor zero; null for a JSON null."""
+    kind = variant_kind(v)
+    return (
+        F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean"))
+        .when(kind.rlike(NUMBERS), F.try_variant_get(v, "$", "double") != 0)
+        .when(kind == "STRING", lenient_bool(F.try_variant_get(v, "$", "string")))
+        .when(kind.startswith("ARRAY"), F.size(F.try_variant_get(v, "$", "array<variant>")) > 0)
+        .when(kind.startswith("OBJECT"), kind != "OBJECT<>")
+    )
+
+
 def operational_from_name(name: Column) -> Column:
     n = F.lower(F.trim(name))
     return F.when(n.isin("online", "active", "available", "running"), True).when(n.isin("offline", "paused", "maintenance", "unavailable"), False)

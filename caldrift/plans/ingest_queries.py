@@ -14,14 +14,15 @@ from .oracles import CTES
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 CTES["lines"] = """SELECT l_orderkey AS poll, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS qubit, l_linenumber AS n, l_returnflag AS gate, l_extendedprice AS value, l_discount AS err,
-    epoch_us(l_shipdate) AS date, CASE WHEN l_linestatus = 'O' THEN 'yes' WHEN l_quantity >= 10 THEN 'False' END AS op FROM lineitem"""
+    epoch_us(l_shipdate) AS date, CASE WHEN l_orderkey % 38 = 0 THEN '1.0' WHEN l_orderkey % 19 = 0 THEN 'maybe' WHEN l_linestatus = 'O' THEN 'yes' WHEN l_quantity >= 10 THEN 'False' END AS op FROM lineitem"""
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(poll, properties): one payload for each order; every 13th lacks its gates and every 17th reports errors."""
+    """(poll, properties): one payload for each order; every 13th lacks its gates, every 17th reports errors,
+    every 19th has operational states that can't be read, and gates are no list in every 23rd."""
     x = P.table(spark, sf_dir, "lineitem")
     date = F.date_format("l_shipdate", ISO)
-    text = F.when(F.col("l_linestatus") == "O", "yes").when(F.col("l_quantity") >= 10, "False")
+    text = F.when(F.col("l_orderkey") % 38 == 0, "1.0").when(F.col("l_orderkey") % 19 == 0, "maybe").when(F.col("l_linestatus") == "O", "yes").when(F.col("l_quantity") >= 10, "False")
     prop = lambda name, value, unit: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"), F.lit(unit).alias("unit"), date.alias("date"))
     props = F.filter(F.array(prop("T1", F.col("l_extendedprice"), "us"), F.when(text.isNotNull(), prop(" Operational", text, ""))), lambda p: p.isNotNull())
     n = F.col("l_linenumber")
@@ -29,10 +30,14 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = x.groupBy(F.col("l_orderkey").alias("poll")).agg(F.array_sort(F.collect_list(F.struct(n.alias("k0"), F.col("l_partkey").alias("k1"), F.col("l_suppkey").alias("k2"), F.col("l_extendedprice").alias("k3"), props.alias("p"), gate.alias("g")))).alias("r"))
     gates = F.when(F.col("poll") % 13 != 0, F.transform("r", lambda v: v["g"]))
     errors = F.when(F.col("poll") % 17 == 0, F.array(F.lit("broken")))
-    return rows.select("poll", F.to_json(F.struct(F.transform("r", lambda v: v["p"]).alias("qubits"), gates.alias("gates"), errors.alias("errors"))).alias("properties"))
+    listed = F.transform("r", lambda v: v["p"]).alias("qubits")
+    whole = F.to_json(F.struct(listed, gates.alias("gates"), errors.alias("errors")))
+    odd = F.to_json(F.struct(listed, F.struct(F.lit("cx").alias("gate")).alias("gates"), errors.alias("errors")))
+    return rows.select("poll", F.when((F.col("poll") % 23 == 0) & (F.col("poll") % 13 != 0), odd).otherwise(whole).alias("properties"))
 
 
-GOOD = "poll % 13 <> 0 AND poll % 17 <> 0"
+GOOD = "poll % 13 <> 0 AND poll % 17 <> 0 AND poll % 19 <> 0 AND poll % 23 <> 0"
+FAILS = "CASE WHEN poll % 17 = 0 THEN 'payload reports errors' WHEN poll % 13 = 0 THEN 'payload lacks qubits or gates' WHEN poll % 19 = 0 THEN 'a qubit''s operational state is unreadable' WHEN poll % 23 = 0 THEN 'gates is no list' END"
 EDGE = "CAST(n AS VARCHAR) || '-' || CAST(n + 1 AS VARCHAR) AS edge_id"
 query("parse_qubit_properties", f"SELECT poll, CAST(qubit AS INT) AS qubit, 'T1' AS property_name, value, 'us' AS unit, date FROM lines WHERE {GOOD}")(lambda s, d: I.qubit_properties(raw(s, d)).where("property_name = 'T1'").withColumn("qubit", F.col("qubit").cast("int")))
 query("parse_qubit_operational", f"SELECT poll, CAST(qubit AS INT) AS qubit, CASE op WHEN 'yes' THEN true WHEN 'False' THEN false END AS reported, coalesce(op = 'yes', true) AS effective, op IS NOT NULL AS is_explicit FROM lines WHERE {GOOD}")(
@@ -42,9 +47,9 @@ query("parse_gate_properties", f"SELECT poll, gate AS gate_name, CAST(n + 1 AS V
 query("parse_gate_operational", f"SELECT poll, gate AS gate_name, {EDGE}, CASE op WHEN 'yes' THEN true WHEN 'False' THEN false END AS reported, coalesce(op = 'yes', true) AS effective, op IS NOT NULL AS is_explicit FROM lines WHERE {GOOD}")(
     lambda s, d: I.gate_operational(raw(s, d)).select("poll", "gate_name", "edge_id", "reported", "effective", "is_explicit")
 )
-query("validate_payload", "SELECT DISTINCT poll, CASE WHEN poll % 17 = 0 THEN 'payload reports errors' WHEN poll % 13 = 0 THEN 'backend properties JSON missing required qubits/gates fields' END AS error FROM lines")(lambda s, d: I.payloads(raw(s, d)).select("poll", "error"))
-query("payload_error_class", "SELECT CASE WHEN poll % 17 = 0 THEN 'payload reports errors' WHEN poll % 13 = 0 THEN 'backend properties JSON missing required qubits/gates fields' END AS error, count(DISTINCT poll) AS polls FROM lines GROUP BY 1")(lambda s, d: I.payloads(raw(s, d)).groupBy("error").agg(F.count("*").alias("polls")))
-query("stream_failure_isolation", "SELECT DISTINCT poll, poll % 17 <> 0 AND poll % 13 <> 0 AS success FROM lines")(lambda s, d: I.payloads(raw(s, d)).select("poll", F.col("error").isNull().alias("success")))
+query("validate_payload", f"SELECT DISTINCT poll, {FAILS} AS error FROM lines")(lambda s, d: I.payloads(raw(s, d)).select("poll", "error"))
+query("payload_error_class", f"SELECT {FAILS} AS error, count(DISTINCT poll) AS polls FROM lines GROUP BY 1")(lambda s, d: I.payloads(raw(s, d)).groupBy("error").agg(F.count("*").alias("polls")))
+query("stream_failure_isolation", f"SELECT DISTINCT poll, {GOOD} AS success FROM lines")(lambda s, d: I.payloads(raw(s, d)).select("poll", F.col("error").isNull().alias("success")))
 query("find_named_property", f"SELECT poll, CAST(qubit AS INT) AS qubit, op AS text FROM lines WHERE op IS NOT NULL AND {GOOD}")(
     lambda s, d: I.qubit_properties_named(raw(s, d), "operational").withColumn("qubit", F.col("qubit").cast("int"))
 )
@@ -69,7 +74,7 @@ def texts(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT explode(array('true', ' YES ', '1', '1.0', 'no', 'False', '0', 'maybe', '', 'active', 'Paused', ' online', '7', ' 7 ', '1.5', '1e-7', 'x')) AS s")
 
 
-OPV = "CASE WHEN lower(trim(s)) IN ('true', '1', 'yes') OR TRY_CAST(trim(s) AS DOUBLE) = 1 THEN true WHEN lower(trim(s)) IN ('false', '0', 'no') OR TRY_CAST(trim(s) AS DOUBLE) = 0 THEN false END"
+OPV = "CASE WHEN lower(trim(s)) IN ('true', '1', 'yes') THEN true WHEN lower(trim(s)) IN ('false', '0', 'no') THEN false END"
 query("parse_operational_value", f"SELECT s, {OPV} AS value, {OPV} IS NULL AS error FROM {TEXTS}")(lambda s, d: texts(s).select("s", X.operational_value(F.col("s"))[0].alias("value"), X.operational_value(F.col("s"))[1].alias("error")))
 query("as_bool", f"SELECT s, coalesce({OPV}, length(s) > 0) AS value FROM {TEXTS}")(lambda s, d: texts(s).select("s", X.lenient_bool(F.col("s")).alias("value")))
 query("operational_from_name", f"SELECT s, CASE WHEN lower(trim(s)) IN ('online', 'active', 'available', 'running') THEN true WHEN lower(trim(s)) IN ('offline', 'paused', 'maintenance', 'unavailable') THEN false END AS value FROM {TEXTS}")(lambda s, d: texts(s).select("s", X.operational_from_name(F.col("s")).alias("value")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caldrift.functions.expr import edge_id, operational_from_name, operational_value, parse_timestamp
+from caldrift.functions.expr import edge_id, operational_from_name, parse_timestamp, variant_kind, variant_operational, variant_truth
 
 
 def _get(v: str, path: str, kind: str = "string") -> Column:
@@ -14,127 +14,154 @@ def _get(v: str, path: str, kind: str = "string") -> Column:
 
 def parse_status(raw: DataFrame) -> DataFrame:
     """``raw`` (poll, status, summary as JSON texts) with pending_jobs, operational, status_name and status_msg, each the first
-    of its sources that can be read."""
+    of its sources that can be read; any ``state`` or ``operational`` but null is read, leniently."""
     v = raw.withColumn("s", F.expr("try_parse_json(status)")).withColumn("m", F.expr("try_parse_json(summary)"))
     name = F.coalesce(_get("s", "$.status"), _get("m", "$.status.name"))
     return v.select(
         "poll",
         F.coalesce(_get("m", "$.queue_length", "int"), _get("s", "$.length_queue", "int"), _get("s", "$.pending_jobs", "int")).alias("pending_jobs"),
-        F.coalesce(_get("s", "$.state", "boolean"), _get("s", "$.operational", "boolean"), operational_from_name(name)).alias("operational"),
+        F.coalesce(*[variant_truth(F.expr(f"try_variant_get(s, '$.{c}', 'variant')")) for c in ("state", "operational")], operational_from_name(name)).alias("operational"),
         name.alias("status_name"),
         F.coalesce(_get("s", "$.message"), _get("s", "$.status_msg"), _get("m", "$.status.reason")).alias("status_msg"),
     )
 
 
+def _variant(v: str, path: str) -> Column:
+    return F.try_variant_get(F.col(v), path, "variant")
+
+
+def _named(item: Column) -> Column:
+    """The name of a property object, in any case and trimmed; null for what isn't one."""
+    return F.when(variant_kind(item).startswith("OBJECT"), F.lower(F.trim(F.try_variant_get(item, "$.name", "string"))))
+
+
+def _first_named(items: Column, name: str) -> Column:
+    """The first property object of a name in an array of variants, or null."""
+    return F.try_element_at(F.filter(items, lambda x: _named(x) == name), F.lit(1))
+
+
+def _entries(item: Column, path: str) -> Column:
+    """A list in a variant, empty where there is nothing that counts; null where something else stands there."""
+    inner = F.try_variant_get(item, path, "variant")
+    return F.when(F.coalesce(variant_truth(inner), F.lit(False)), F.try_variant_get(item, path, "array<variant>")).otherwise(F.array().cast("array<variant>"))
+
+
+def _has(item: Column, key: str) -> Column:
+    return F.coalesce(F.map_contains_key(F.try_variant_get(item, "$", "map<string, variant>"), key), F.lit(False))
+
+
+def _integers(item: Column) -> Column:
+    """The qubits of a gate; null where one isn't an integer."""
+    numbers = F.transform(_entries(item, "$.qubits"), lambda x: F.coalesce(F.try_variant_get(x, "$", "int"), F.try_variant_get(x, "$", "string").try_cast("int")))
+    return F.when(F.forall(numbers, lambda x: x.isNotNull()), numbers)
+
+
+def _gate_name(item: Column) -> Column:
+    return F.coalesce(F.try_variant_get(item, "$.gate", "string"), F.try_variant_get(item, "$.name", "string"))
+
+
+def _is_gate(item: Column) -> Column:
+    """Whether an entry of ``gates`` counts: an object with a name, integer qubits and a list of parameters."""
+    return F.coalesce(variant_kind(item).startswith("OBJECT") & _gate_name(item).isNotNull() & _integers(item).isNotNull() & _entries(item, "$.parameters").isNotNull(), F.lit(False))
+
+
+def _gate_operational(item: Column) -> tuple[Column, Column]:
+    """(reported as a variant, whether there is one) of a gate: the first parameter of that name, or else its own key."""
+    own = _first_named(_entries(item, "$.parameters"), "operational")
+    return F.when(own.isNotNull(), F.try_variant_get(own, "$.value", "variant")).otherwise(F.try_variant_get(item, "$.operational", "variant")), own.isNotNull() | _has(item, "operational")
+
+
 def payload_error(v: str = "v") -> Column:
-    """Why a properties payload is invalid, or null: missing, not an object, with errors, or without qubits or gates."""
-    kind = F.expr(f"schema_of_variant({v})")
-    errors = F.expr(f"try_variant_get({v}, '$.errors', 'variant')")
-    of = F.expr(f"schema_of_variant(try_variant_get({v}, '$.errors', 'variant'))")
-    size = F.expr(f"size(try_variant_get({v}, '$.errors', 'array<variant>'))")
-    blank = (
-        errors.isNull() | (of == "VOID") | (of.startswith("ARRAY") & (F.coalesce(size, F.lit(0)) == 0)) | of.isin("OBJECT<>")
-        | ((of == "STRING") & (_get(v, "$.errors") == "")) | ((of == "BOOLEAN") & ~_get(v, "$.errors", "boolean")) | (of.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (_get(v, "$.errors", "double") == 0))
-    )
-    has = lambda c: F.expr(f"array_contains(map_keys(try_variant_get({v}, '$', 'map<string, variant>')), '{c}')")
+    """Why a properties payload fails as a whole, or null: missing, not an object, with errors, without qubits or gates, one of them
+    not a list, or an operational state of a qubit or a gate that can't be read."""
+    kind = variant_kind(F.col(v))
+    lists = {c: _entries(F.col(v), f"$.{c}") for c in ("qubits", "gates")}
+
+    def bad_qubit(props: Column) -> Column:
+        own = _first_named(F.try_variant_get(props, "$", "array<variant>"), "operational")
+        return variant_kind(props).startswith("ARRAY") & own.isNotNull() & variant_operational(F.try_variant_get(own, "$.value", "variant")).isNull()
+
+    def bad_gate(gate: Column) -> Column:
+        reported, found = _gate_operational(gate)
+        return _is_gate(gate) & found & variant_operational(reported).isNull()
+
     return (
         F.when(F.col(v).isNull() | (kind == "VOID"), "payload is null")
         .when(~kind.startswith("OBJECT"), "payload is not an object")
-        .when(~F.coalesce(blank, F.lit(True)), "payload reports errors")
-        .when(~has("qubits") | ~has("gates"), "backend properties JSON missing required qubits/gates fields")
+        .when(F.coalesce(variant_truth(_variant(v, "$.errors")), F.lit(False)), "payload reports errors")
+        .when(~_has(F.col(v), "qubits") | ~_has(F.col(v), "gates"), "payload lacks qubits or gates")
+        .when(lists["qubits"].isNull(), "qubits is no list")
+        .when(F.coalesce(F.exists(lists["qubits"], bad_qubit), F.lit(False)), "a qubit's operational state is unreadable")
+        .when(lists["gates"].isNull(), "gates is no list")
+        .when(F.coalesce(F.exists(lists["gates"], bad_gate), F.lit(False)), "a gate's operational state is unreadable")
     )
 
 
 def payloads(raw: DataFrame) -> DataFrame:
     """``raw`` (poll, properties as a JSON text) with the payload as VARIANT ``v`` and its ``error``."""
-    v = raw.withColumn("v", F.expr("try_parse_json(properties)"))
-    return v.withColumn("error", payload_error())
-
+    return raw.withColumn("v", F.expr("try_parse_json(properties)")).withColumn("error", payload_error())
 
-def _list(v: str, path: str) -> str:
-    return f"variant_explode_outer(try_variant_get({v}, '{path}', 'variant'))"
 
+def _good(raw: DataFrame) -> DataFrame:
+    return payloads(raw).where("error IS NULL").select("poll", "v")
 
-def _is(kind: str, v: str) -> Column:
-    return F.expr(f"schema_of_variant({v}) LIKE '{kind}%'")
 
-
-def _qubit_rows(good: DataFrame) -> DataFrame:
-    """(poll, qubit, place, p): each property object of each list in ``qubits``; the qubit is its list's place."""
-    good.select("poll", "v").createOrReplaceTempView("caldrift_payloads")
-    spark = good.sparkSession
-    lists = spark.sql("SELECT poll, q.pos AS qubit, q.value AS props FROM caldrift_payloads, LATERAL variant_explode(try_variant_get(v, '$.qubits', 'variant')) q").where(_is("ARRAY", "props"))
-    lists.createOrReplaceTempView("caldrift_qubits")
-    return spark.sql("SELECT poll, qubit, p.pos AS place, p.value AS p FROM caldrift_qubits, LATERAL variant_explode(props) p").where(_is("OBJECT", "p"))
+def _qubit_lists(good: DataFrame) -> DataFrame:
+    """(poll, qubit, props): each list in ``qubits``; the qubit is its place."""
+    return good.select("poll", F.posexplode(_entries(F.col("v"), "$.qubits")).alias("qubit", "props")).where(variant_kind(F.col("props")).startswith("ARRAY")).select("poll", "qubit", F.try_variant_get("props", "$", "array<variant>").alias("props"))
 
 
 def qubit_properties(raw: DataFrame) -> DataFrame:
     """(poll, qubit, property_name, value, unit, date): nameless and non-object properties are skipped."""
-    rows = _qubit_rows(payloads(raw).where("error IS NULL"))
+    rows = _qubit_lists(_good(raw)).select("poll", "qubit", F.explode("props").alias("p")).where(variant_kind(F.col("p")).startswith("OBJECT"))
     name = _get("p", "$.name")
     return rows.where(name.isNotNull()).select("poll", "qubit", name.alias("property_name"), _get("p", "$.value", "double").alias("value"), _get("p", "$.unit").alias("unit"), parse_timestamp(_get("p", "$.date")).alias("date"))
 
 
 def qubit_properties_named(raw: DataFrame, name: str) -> DataFrame:
     """(poll, qubit, text): the value of each qubit's first property of a name, trimmed and in any case."""
-    rows = _qubit_rows(payloads(raw).where("error IS NULL"))
-    return rows.where(F.lower(F.trim(_get("p", "$.name"))) == name.strip().lower()).groupBy("poll", "qubit").agg(F.min_by(_get("p", "$.value"), "place").alias("text"))
+    rows = _qubit_lists(_good(raw)).withColumn("p", _first_named(F.col("props"), name.strip().lower()))
+    return rows.where("p IS NOT NULL").select("poll", "qubit", _get("p", "$.value").alias("text"))
 
 
 def qubit_operational(raw: DataFrame) -> DataFrame:
-    """(poll, qubit, reported, effective, is_explicit, error): from the first property named operational; a row for every listed qubit."""
-    good = payloads(raw).where("error IS NULL")
-    rows = _qubit_rows(good)
-    listed = raw.sparkSession.table("caldrift_qubits").select("poll", "qubit")
-    own = rows.where(F.lower(F.trim(_get("p", "$.name"))) == "operational").groupBy("poll", "qubit").agg(F.min_by(_get("p", "$.value"), "place").alias("text"), F.lit(True).alias("found"))
-    out = listed.join(own, ["poll", "qubit"], "left")
-    value, bad = operational_value(F.col("text"))
-    return out.select(
-        "poll", "qubit", F.when(F.col("found"), value).alias("reported"), F.coalesce(F.when(F.col("found"), value), F.lit(True)).alias("effective"), F.coalesce("found", F.lit(False)).alias("is_explicit"),
-        F.when(F.col("found") & bad, F.concat(F.lit("invalid operational value for qubit "), F.col("qubit"))).alias("error"),
-    )
+    """(poll, qubit, reported, effective, is_explicit, date): from the first property named operational; a row for every listed qubit.
+
+    A state that can't be read fails its whole payload (``payload_error``), so none is left here.
+    """
+    rows = _qubit_lists(_good(raw)).withColumn("p", _first_named(F.col("props"), "operational"))
+    value = variant_operational(_variant("p", "$.value"))
+    return rows.select("poll", "qubit", value.alias("reported"), F.coalesce(value, F.lit(True)).alias("effective"), F.col("p").isNotNull().alias("is_explicit"), parse_timestamp(_get("p", "$.date")).alias("date"))
 
 
 def _gate_rows(good: DataFrame) -> DataFrame:
-    """(poll, gate_no, gate_name, qubits, g): gates whose qubits are all integers."""
-    good.select("poll", "v").createOrReplaceTempView("caldrift_payloads")
-    gates = good.sparkSession.sql("SELECT poll, g.pos AS gate_no, g.value AS g FROM caldrift_payloads, LATERAL variant_explode(try_variant_get(v, '$.gates', 'variant')) g").where(_is("OBJECT", "g"))
-    listed = F.expr("try_variant_get(g, '$.qubits', 'array<string>')")
-    rows = gates.select("poll", "gate_no", F.coalesce(_get("g", "$.gate"), _get("g", "$.name")).alias("gate_name"), F.transform(listed, lambda x: x.try_cast("int")).alias("qubits"), "g")
-    return rows.where("qubits IS NOT NULL AND forall(qubits, q -> q IS NOT NULL)")
+    """(poll, gate_name, qubits, g): gates that count."""
+    gates = good.select("poll", F.explode(_entries(F.col("v"), "$.gates")).alias("g")).where(_is_gate(F.col("g")))
+    return gates.select("poll", _gate_name(F.col("g")).alias("gate_name"), _integers(F.col("g")).alias("qubits"), "g")
+
+
+def _gate_keys(mode: str) -> list[Column]:
+    q = F.col("qubits")
+    return [F.array_join(q.cast("array<string>"), ",").alias("qubits_key"), F.when(F.size(q) == 2, edge_id(F.try_element_at(q, F.lit(1)), F.try_element_at(q, F.lit(2)), mode)).alias("edge_id")]
 
 
 def gate_properties(raw: DataFrame, mode: str = "undirected") -> DataFrame:
     """(poll, gate_name, qubits_key, edge_id, parameter_name, value, unit, date)."""
-    rows = _gate_rows(payloads(raw).where("error IS NULL"))
-    rows.createOrReplaceTempView("caldrift_gates")
-    params = raw.sparkSession.sql("SELECT poll, gate_name, qubits, p.value AS p FROM caldrift_gates, LATERAL variant_explode(try_variant_get(g, '$.parameters', 'variant')) p").where(_is("OBJECT", "p"))
-    name, q = _get("p", "$.name"), F.col("qubits")
-    return params.where(name.isNotNull()).select(
-        "poll", "gate_name", F.array_join(q.cast("array<string>"), ",").alias("qubits_key"), F.when(F.size(q) == 2, edge_id(F.try_element_at(q, F.lit(1)), F.try_element_at(q, F.lit(2)), mode)).alias("edge_id"),
-        name.alias("parameter_name"), _get("p", "$.value", "double").alias("value"), _get("p", "$.unit").alias("unit"), parse_timestamp(_get("p", "$.date")).alias("date"),
-    )
+    params = _gate_rows(_good(raw)).select("poll", "gate_name", "qubits", F.explode(_entries(F.col("g"), "$.parameters")).alias("p")).where(variant_kind(F.col("p")).startswith("OBJECT"))
+    name = _get("p", "$.name")
+    return params.where(name.isNotNull()).select("poll", "gate_name", *_gate_keys(mode), name.alias("parameter_name"), _get("p", "$.value", "double").alias("value"), _get("p", "$.unit").alias("unit"), parse_timestamp(_get("p", "$.date")).alias("date"))
 
 
 def gate_operational(raw: DataFrame, mode: str = "undirected") -> DataFrame:
-    """(poll, gate_name, qubits_key, edge_id, reported, effective, is_explicit, error): a parameter named operational, or else the
-    gate's own key; a row also for gates without parameters."""
-    rows = _gate_rows(payloads(raw).where("error IS NULL"))
-    params = F.expr("try_variant_get(g, '$.parameters', 'array<variant>')")
-    texts = F.transform(F.filter(params, lambda x: F.lower(F.trim(F.try_variant_get(x, "$.name", "string"))) == "operational"), lambda x: F.try_variant_get(x, "$.value", "string"))
-    by_key = F.expr("array_contains(map_keys(try_variant_get(g, '$', 'map<string, variant>')), 'operational')")
-    found = (F.coalesce(F.size(texts), F.lit(0)) > 0) | F.coalesce(by_key, F.lit(False))
-    text = F.when(F.coalesce(F.size(texts), F.lit(0)) > 0, F.try_element_at(texts, F.lit(1))).otherwise(_get("g", "$.operational"))
-    value, bad = operational_value(text)
-    q = F.col("qubits")
-    return rows.select(
-        "poll", "gate_name", F.array_join(q.cast("array<string>"), ",").alias("qubits_key"), F.when(F.size(q) == 2, edge_id(F.try_element_at(q, F.lit(1)), F.try_element_at(q, F.lit(2)), mode)).alias("edge_id"),
-        F.when(found, value).alias("reported"), F.coalesce(F.when(found, value), F.lit(True)).alias("effective"), found.alias("is_explicit"), F.when(found & bad, F.lit("invalid operational value for gate")).alias("error"),
-    )
+    """(poll, gate_name, qubits_key, edge_id, reported, effective, is_explicit): a parameter named operational, or else the
+    gate's own key; a row also for gates without parameters. A state that can't be read fails its whole payload."""
+    reported, found = _gate_operational(F.col("g"))
+    value = F.when(found, variant_operational(reported))
+    return _gate_rows(_good(raw)).select("poll", "gate_name", *_gate_keys(mode), value.alias("reported"), F.coalesce(value, F.lit(True)).alias("effective"), found.alias("is_explicit"))
 
 
 def device_index(raw: DataFrame) -> DataFrame:
     """(name, device): the last object of each name in ``devices``; others are skipped."""
-    raw.select(F.expr("try_parse_json(body)").alias("v")).createOrReplaceTempView("caldrift_devices")
-    rows = raw.sparkSession.sql("SELECT d.pos, d.value AS d FROM caldrift_devices, LATERAL variant_explode(try_variant_get(v, '$.devices', 'variant')) d").where(_is("OBJECT", "d"))
+    v = raw.select(F.expr("try_parse_json(body)").alias("v"))
+    rows = v.select(F.posexplode(_entries(F.col("v"), "$.devices")).alias("pos", "d")).where(variant_kind(F.col("d")).startswith("OBJECT"))
     return rows.withColumn("name", _get("d", "$.name")).where("name IS NOT NULL").groupBy("name").agg(F.max_by(F.to_json("d"), "pos").alias("device"))
