@@ -172,7 +172,7 @@ def standardized_ols(df: DataFrame, groups: list[str], y: str, predictors: list[
         sd = np.sqrt(np.maximum(np.diag(c), 0))
         use = [i for i in range(1, len(names)) if sd[i] > 1e-12]
         betas, r2 = [None] * len(predictors), None
-        if use and sd[0] > 1e-12 and r["n"] > len(use) + 2:
+        if use and sd[0] > 1e-12 and r["n"] > len(predictors) + 2:
             corr = c / np.outer(np.where(sd > 0, sd, 1), np.where(sd > 0, sd, 1))
             b = np.linalg.lstsq(corr[np.ix_(use, use)], corr[use, 0], rcond=None)[0]
             r2 = float(b @ corr[use, 0])

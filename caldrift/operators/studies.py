@@ -8,12 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caldrift.functions.expr import HOUR, flag, ratio
+from caldrift.functions.expr import HOUR, MINUTE, flag, ratio
 
+from . import stats
 from .grid import nearest
 
 WEEK = 7 * 24 * HOUR
-TOLERANCES = (0, 1, 2, 5, 10, 15, 30, 60, 120, 240)
+#: Minutes for which the shares of aligned changes are told.
+TOLERANCES = (1, 5, 15, 30, 60, 120, 240, 480, 720, 1440)
 
 
 def weekly_counts(events: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -49,9 +51,9 @@ def value_change(events: DataFrame, peaks: DataFrame) -> DataFrame:
     return e.groupBy("backend", "component_id").agg(F.count("*").alias("events"), F.sum(flag(F.col("drift_property_count") > 0)).alias("events_with_change"), F.sum(flag(F.col("quality_property_count") > 0)).alias("events_with_adverse")).withColumn("change_fraction", ratio(F.col("events_with_change"), F.col("events")))
 
 
-def constant_one(obs: DataFrame, name: str = "readout_error") -> DataFrame:
-    """Series of an edge property and whether they only ever read one."""
-    return obs.where((F.col("component_type") == "edge") & (F.col("property_name") == name)).groupBy("backend", "component_id", "property_key").agg(
+def constant_one(obs: DataFrame, part: str = "gate_error") -> DataFrame:
+    """Series of the edge properties whose names contain a text, and whether they only ever read one."""
+    return obs.where((F.col("component_type") == "edge") & F.lower("property_name").contains(part.lower())).groupBy("backend", "component_id", "property_key").agg(
         F.count("value").alias("n"), F.countDistinct("value").alias("distinct_values"), F.min("value").alias("least"), F.max("value").alias("most"), F.coalesce(F.bool_and(F.col("value") == 1.0), F.lit(False)).alias("constant_one")
     )
 
@@ -72,13 +74,16 @@ def aligned(changes: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def alignment_summary(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """Distances to the nearest anchor; an unknown distance counts as not within, in the denominators."""
+    """Distances to the nearest anchor, and to the next and the previous one; an unknown distance counts as not within, in the denominators."""
     signed, size = F.col("signed_minutes"), F.col("absolute_minutes")
+    to_next, since = ((F.col(a) - F.col(b)) / F.lit(float(MINUTE)) for a, b in (("anchor_after_t", "t"), ("t", "anchor_before_t")))
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     return rows.groupBy(*groups).agg(
         F.count("*").alias("n"), F.expr("percentile(signed_minutes, 0.5D)").alias("median_signed"), F.expr("percentile(absolute_minutes, array(0.5D, 0.9D, 0.95D))").alias("q"),
         share(signed < 0).alias("fraction_before"), share(signed == 0).alias("fraction_exact"), share(signed > 0).alias("fraction_after"),
         *[share(size <= t).alias(f"fraction_within_{t}m") for t in TOLERANCES],
+        *[share(to_next.between(0, t)).alias(f"fraction_before_next_{t}m") for t in TOLERANCES],
+        *[share(since.between(0, t)).alias(f"fraction_after_previous_{t}m") for t in TOLERANCES],
     ).select("*", F.col("q")[0].alias("median_absolute"), F.col("q")[1].alias("p90_absolute"), F.col("q")[2].alias("p95_absolute")).drop("q")
 
 
@@ -145,7 +150,7 @@ def topology_table(edges: DataFrame, cadence: DataFrame) -> DataFrame:
     """Nodes and edges of the coupling graph with their rates, in one tidy table."""
     nodes = edges.select("backend", F.explode(F.array("a", "b")).alias("n")).distinct().select("backend", F.lit("qubit").alias("component_type"), F.col("n").cast("string").alias("component_id"))
     links = edges.select("backend", F.lit("edge").alias("component_type"), F.concat_ws("-", "a", "b").alias("component_id"))
-    return nodes.unionByName(links).join(cadence.select("component_type", "component_id", "rate", "n"), ["component_type", "component_id"], "left")
+    return nodes.unionByName(links).join(cadence.select("backend", "component_type", "component_id", "rate", "n"), ["backend", "component_type", "component_id"], "left")
 
 
 # ---------------------------------------------------------------- compiler usage
@@ -159,12 +164,46 @@ def run_share(usage: DataFrame) -> DataFrame:
 
 
 def edge_usage(usage: DataFrame) -> DataFrame:
-    """By edge: runs that used it, operations, mean share within runs, presence among all runs, share of all operations."""
+    """By edge: runs that used it, operations, mean share within the runs that used it, presence among all runs, share of all operations."""
     shares = run_share(usage)
     runs = usage.groupBy("backend", "level").agg(F.countDistinct("run_id").alias("total_runs"))
     out = shares.groupBy("backend", "level", "component_id").agg(F.countDistinct("run_id").alias("used_runs"), F.sum("ops").alias("ops"), F.sum("within_run_share").alias("s")).join(runs, ["backend", "level"])
     everything = F.sum("ops").over(Window.partitionBy("backend", "level"))
-    return out.select("backend", "level", "component_id", "total_runs", "used_runs", "ops", ratio(F.col("s"), F.col("total_runs")).alias("mean_share"), ratio(F.col("used_runs"), F.col("total_runs")).alias("presence"), ratio(F.col("ops"), everything).alias("global_share"))
+    return out.select("backend", "level", "component_id", "total_runs", "used_runs", "ops", ratio(F.col("s"), F.col("used_runs")).alias("mean_share"), ratio(F.col("used_runs"), F.col("total_runs")).alias("presence"), ratio(F.col("ops"), everything).alias("global_share"))
+
+
+def edge_table(topology: DataFrame, usage: DataFrame, cadence: DataFrame, constants: DataFrame) -> DataFrame:
+    """Every edge of each device's coupling graph at every level it was compiled at, with its usage, calibration rate and flags.
+
+    Edges that no run used have no operations and no presence; those never calibrated keep null rates; those without a
+    flag are not constant. Keys are (backend, component_id), and level where there is one.
+    """
+    used = edge_usage(usage).select("backend", "level", "component_id", "used_runs", "ops", "mean_share")
+    runs = usage.groupBy("backend", "level").agg(F.countDistinct("run_id").alias("total_runs"))
+    rates = cadence.where("component_type = 'edge'").select("backend", "component_id", "calibration_event_count", "calibration_events_per_day")
+    full = topology.join(runs, "backend").join(used, ["backend", "level", "component_id"], "left").join(rates, ["backend", "component_id"], "left").join(constants, ["backend", "component_id"], "left")
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("used_runs", "ops", "mean_share", "constant_series")}
+    full = full.withColumns(zero | {"any_constant_one": F.coalesce("any_constant_one", F.lit(False))})
+    everything = F.sum("ops").over(Window.partitionBy("backend", "level"))
+    return full.withColumn("presence", ratio(F.col("used_runs"), F.col("total_runs"))).withColumn("global_share", ratio(F.col("ops"), everything))
+
+
+def scoped(table: DataFrame) -> DataFrame:
+    """The edges twice: all of them, and those that aren't constantly one."""
+    return table.withColumn("scope", F.explode(F.when(F.col("any_constant_one"), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("filtered")))))
+
+
+def backend_summary(table: DataFrame, controls: tuple[str, ...] = ("edge_betweenness", "degree_sum"), rate: str = "calibration_events_per_day") -> DataFrame:
+    """By device and level: edges, the share that the compiler used, rank correlations of usage with the calibration rate, and the usage's
+    beta and R2 beside the topology's controls; for all edges and for those that aren't constantly one."""
+    groups, both = ["backend", "level"], scoped(table)
+    rho = stats.correlations(both, [*groups, "scope"], [rate], ["mean_share", "presence"]).where("method = 'spearman'")
+    beta = stats.standardized_ols(both, [*groups, "scope"], rate, ["mean_share", *controls])
+    base = table.groupBy(*groups).agg(F.count("*").alias("edges"), F.count_if("any_constant_one").alias("constant_edges"), F.avg((F.col("used_runs") > 0).cast("double")).alias("used_all"), F.avg(F.when(~F.col("any_constant_one"), (F.col("used_runs") > 0).cast("double"))).alias("used_filtered"))
+    pick = lambda value, scope, extra=F.lit(True): F.max(F.when((F.col("scope") == scope) & extra, F.col(value)))
+    rhos = rho.groupBy(*groups).agg(*[pick("correlation", scope, F.col("predictor") == p).alias(f"rho_{name}_{scope}") for name, p in (("share", "mean_share"), ("presence", "presence")) for scope in ("all", "filtered")])
+    betas = beta.groupBy(*groups).agg(*[pick(v, scope).alias(f"{name}_{scope}") for name, v in (("beta", "beta_mean_share"), ("r2", "r2")) for scope in ("all", "filtered")])
+    return base.join(rhos, groups, "left").join(betas, groups, "left")
 
 
 def instruction_pairs(instructions: DataFrame) -> DataFrame:
@@ -173,13 +212,26 @@ def instruction_pairs(instructions: DataFrame) -> DataFrame:
     return instructions.where(F.size(q) == 2).select("circuit", F.least(q[0], q[1]).alias("a"), F.greatest(q[0], q[1]).alias("b")).groupBy("circuit", "a", "b").agg(F.count("*").alias("n"))
 
 
+#: Families of the circuit suite, the names of their circuits, their sizes and layers.
+SUITE = (
+    ("GHZ", "ghz_{n}", (4, 8, 16, 24), 1),
+    ("QFT", "qft_{n}", (4, 8, 12), 1),
+    ("Bernstein-Vazirani", "bv_{n}", (5, 9, 17, 25), 1),
+    ("QAOA-ring", "qaoa_ring_{n}_p2", (6, 12, 18, 24), 2),
+    ("Ising-Trotter", "ising_{n}_l4", (8, 16, 24), 4),
+    ("Random-brickwork", "random_brickwork_{n}_l6", (8, 16, 24), 6),
+    ("Dense-entangling", "dense_{n}_l2", (6, 10, 14), 2),
+)
+
+
 def circuit_suite(spark) -> DataFrame:
-    """Seven families of benchmark circuits at several sizes, with their closed-form numbers of two-qubit operations."""
-    sql = """
-      SELECT family, n, layers, concat_ws('_', family, cast(n AS string), cast(layers AS string)) AS circuit_name,
-        cast(CASE family WHEN 'ghz' THEN n - 1 WHEN 'qft' THEN n * (n - 1) div 2 + n div 2 WHEN 'bernstein_vazirani' THEN (n - 1 + 1) div 2 WHEN 'qaoa_ring' THEN layers * n WHEN 'ising_line' THEN layers * (n - 1)
-          WHEN 'brickwork' THEN ((layers + 1) div 2) * (n div 2) + (layers div 2) * ((n - 1) div 2) WHEN 'dense' THEN layers * (n * (n - 1) div 2) END AS bigint) AS two_qubit_ops
-      FROM (SELECT explode(array('ghz', 'qft', 'bernstein_vazirani', 'qaoa_ring', 'ising_line', 'brickwork', 'dense')) AS family) f
-      CROSS JOIN (SELECT explode(array(4, 8, 12, 16)) AS n) s CROSS JOIN (SELECT explode(array(1, 2, 4)) AS layers) l
-      WHERE layers = 1 OR family IN ('qaoa_ring', 'ising_line', 'brickwork', 'dense')"""
-    return spark.sql(sql)
+    """The suite's circuits with the numbers of their logical two-qubit operations, in closed form from size and layers."""
+    rows = spark.createDataFrame([(family, name.format(n=n), n, layers) for family, name, sizes, layers in SUITE for n in sizes], "family string, circuit_name string, n int, layers int")
+    n, layers = F.col("n"), F.col("layers")
+    pairs = F.expr("n * (n - 1) div 2")
+    ops = {
+        "GHZ": n - 1, "QFT": pairs + F.expr("n div 2"), "Bernstein-Vazirani": F.expr("n div 2"), "QAOA-ring": layers * n, "Ising-Trotter": layers * (n - 1),
+        "Random-brickwork": F.expr("(layers + 1) div 2 * (n div 2) + layers div 2 * ((n - 1) div 2)"), "Dense-entangling": layers * pairs,
+    }
+    count = F.coalesce(*[F.when(F.col("family") == f, x.cast("long")) for f, x in ops.items()])
+    return rows.withColumn("two_qubit_ops", count)

@@ -40,7 +40,7 @@ CTES = {
         avg(adverse_drift_score) AS adverse_drift_mean, count(*) FILTER (adverse_drift_score > 0) AS degraded_property_count, count(*) FILTER (adverse_drift_score < 0) AS improved_property_count,
         sqrt(avg(drift_score * drift_score)) AS drift_rms FROM grouped GROUP BY ALL""",
     "coverage": "SELECT event_type AS backend, min(epoch_us(ts)) AS study_start, max(epoch_us(ts)) AS study_end, count(*) AS successful_fetch_count FROM events GROUP BY 1",
-    "status": "SELECT event_type AS backend, epoch_us(ts) AS t, CAST(floor(value) AS INT) AS pending_jobs FROM events WHERE event_id % 3 = 0",
+    "status": "SELECT event_type AS backend, epoch_us(ts) AS t, CAST(floor(value) AS INT) AS pending_jobs FROM events",
     "grid": f"SELECT backend, unnest(range((study_start + {GRID * MINUTE} - 1) // {GRID * MINUTE}, study_end // {GRID * MINUTE} + 1)) * {GRID * MINUTE} AS t FROM coverage",
     "cells": "SELECT c.*, g.t FROM (SELECT DISTINCT backend, component_type, component_id FROM ev) c JOIN grid g USING (backend)",
     "freq": f"""SELECT c.*, w.h AS window_hours, count(e.t) AS count, least(w.h::DOUBLE, greatest(0.0::DOUBLE, (c.t - v.study_start) / {HOUR}.0::DOUBLE)) AS exposure, c.t - v.study_start >= w.h * {HOUR} AS complete
@@ -59,7 +59,8 @@ CTES = {
         CASE WHEN l_linestatus = 'O' THEN true WHEN l_quantity >= 10 THEN false END AS reported, epoch_us(l_shipdate) AS date, l_extendedprice AS value FROM lineitem""",
     "valid": "SELECT *, lag(cycle) OVER w AS prev, lag(started) OVER w AS prev_started FROM cycles WHERE success WINDOW w AS (PARTITION BY backend ORDER BY started, cycle)",
     "usage": "SELECT l_orderkey AS run_id, l_returnflag AS backend, l_linenumber % 2 AS level, CAST(l_suppkey AS VARCHAR) AS component_id, CAST(l_quantity AS BIGINT) AS ops FROM lineitem",
-    "edges": "SELECT DISTINCT 'device' AS backend, least(a, b) AS a, greatest(a, b) AS b FROM (SELECT user_id % 30 AS a, (user_id * 7 + event_id) % 30 AS b FROM events WHERE event_id < 60) WHERE a <> b",
+    "edges": "SELECT DISTINCT backend, least(a, b) AS a, greatest(a, b) AS b FROM (SELECT event_type AS backend, user_id % 400 AS a, (user_id + event_id % 4) % 400 AS b FROM events) WHERE a <> b",
+    "compiled": "SELECT event_id // 40 AS run_id, event_type AS backend, event_id // 40 % 2 AS level, CAST(least(a, b) AS VARCHAR) || '-' || CAST(greatest(a, b) AS VARCHAR) AS component_id, user_id % 7 + 1 AS ops FROM (SELECT *, user_id % 400 AS a, (user_id + event_id % 4) % 400 AS b FROM events WHERE event_id % 4 IN (1, 2))",
     "anchors": f"SELECT event_type AS backend, epoch_us(ts) AS observed, epoch_us(ts) // {24 * HOUR} * {24 * HOUR} AS t FROM events",
 }
 

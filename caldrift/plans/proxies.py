@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caldrift.functions.expr import HOUR, micros
@@ -30,7 +30,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 3 = 0")
+    e = table(spark, sf_dir, "events")
     return e.select(F.col("event_type").alias("backend"), micros("ts").alias("t"), F.floor("value").cast("int").alias("pending_jobs"))
 
 
@@ -70,7 +70,27 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.col("l_orderkey").alias("run_id"), F.col("l_returnflag").alias("backend"), (F.col("l_linenumber") % 2).alias("level"), F.col("l_suppkey").cast("string").alias("component_id"), F.col("l_quantity").cast("long").alias("ops"))
 
 
+NODES = 400
+
+
 def topology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Couplings as they are listed: both directions, repeats and loops among them."""
-    e = table(spark, sf_dir, "events").where("event_id < 60")
-    return e.select(F.lit("device").alias("backend"), (F.col("user_id") % 30).alias("a"), ((F.col("user_id") * 7 + F.col("event_id")) % 30).alias("b"))
+    """Couplings as they are listed: of near nodes, both directions, repeats and loops among them."""
+    e = table(spark, sf_dir, "events")
+    near = (F.col("user_id") + F.col("event_id") % 4) % NODES
+    turned = F.col("event_id") % 8 > 3
+    node = F.col("user_id") % NODES
+    return e.select(F.col("event_type").alias("backend"), F.when(turned, near).otherwise(node).alias("a"), F.when(turned, node).otherwise(near).alias("b"))
+
+
+def compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-qubit operations of compiled runs on the couplings of ``topology``, some of which no run uses."""
+    e = table(spark, sf_dir, "events").where("event_id % 4 in (1, 2)")
+    a, b = F.col("user_id") % NODES, (F.col("user_id") + F.col("event_id") % 4) % NODES
+    run = F.expr("event_id div 40")
+    return e.select(run.alias("run_id"), F.col("event_type").alias("backend"), (run % 2).alias("level"), F.concat_ws("-", F.least(a, b), F.greatest(a, b)).alias("component_id"), (F.col("user_id") % 7 + 1).alias("ops"))
+
+
+def coupling_id(component_id: Column, component_type: Column) -> Column:
+    """The name in ``topology`` of a component of ``observations``: a node, or a node and the next one."""
+    n = component_id.cast("long") % NODES
+    return F.when(component_type == "qubit", n.cast("string")).otherwise(F.concat_ws("-", F.least(n, (n + 1) % NODES), F.greatest(n, (n + 1) % NODES)))

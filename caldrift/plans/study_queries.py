@@ -28,8 +28,8 @@ CTES |= {
     "near": f"""SELECT d.backend, d.component_id, d.property_key, d.t, p.t AS previous_t, q.t AS next_t, CASE WHEN q.t IS NULL OR d.t - p.t <= q.t - d.t THEN p.t ELSE q.t END AS nearest_t FROM dedup d
         ASOF LEFT JOIN (SELECT DISTINCT backend, t FROM anchors) p ON d.backend = p.backend AND d.t >= p.t ASOF LEFT JOIN (SELECT DISTINCT backend, t FROM anchors) q ON d.backend = q.backend AND d.t <= q.t""",
     "shares": "SELECT *, ops / sum(ops) OVER (PARTITION BY backend, level, run_id)::DOUBLE AS within_run_share FROM (SELECT backend, level, run_id, component_id, CAST(sum(ops) AS BIGINT) AS ops FROM usage GROUP BY ALL)",
-    "edge_use": "SELECT backend, level, component_id, total_runs, count(DISTINCT run_id) AS used_runs, CAST(sum(ops) AS BIGINT) AS ops, sum(within_run_share) / max(total_runs) AS mean_share, count(DISTINCT run_id) / max(total_runs)::DOUBLE AS presence FROM shares JOIN (SELECT backend, level, count(DISTINCT run_id) AS total_runs FROM usage GROUP BY ALL) USING (backend, level) GROUP BY ALL",
-    "degree": "SELECT node, count(*) AS d FROM (SELECT a AS node FROM edges UNION ALL SELECT b FROM edges) GROUP BY 1",
+    "edge_use": "SELECT backend, level, component_id, total_runs, count(DISTINCT run_id) AS used_runs, CAST(sum(ops) AS BIGINT) AS ops, sum(within_run_share) / count(DISTINCT run_id) AS mean_share, count(DISTINCT run_id) / max(total_runs)::DOUBLE AS presence FROM shares JOIN (SELECT backend, level, count(DISTINCT run_id) AS total_runs FROM usage GROUP BY ALL) USING (backend, level) GROUP BY ALL",
+    "degree": "SELECT backend, node, count(*) AS d FROM (SELECT backend, a AS node FROM edges UNION ALL SELECT backend, b FROM edges) GROUP BY ALL",
 }
 
 
@@ -88,7 +88,7 @@ query("distinct_on_edge_latest", "SELECT gate AS backend, edge_id, date, value F
     lambda s, d: P.properties(s, d).groupBy(F.col("gate").alias("backend"), "edge_id").agg(F.max(F.struct("date", "value")).alias("v")).select("backend", "edge_id", "v.date", "v.value")
 )
 query("top_n_recent", "SELECT cycle, started FROM cycles ORDER BY started DESC, cycle LIMIT 10")(lambda s, d: P.cycles(s, d).select("cycle", "started").orderBy(F.desc("started"), "cycle").limit(10))
-query("sort_multi", "SELECT backend, cycle, started FROM cycles ORDER BY backend, started DESC, cycle LIMIT 50")(lambda s, d: P.cycles(s, d).select("backend", "cycle", "started").orderBy("backend", F.desc("started"), "cycle").limit(50))
+query("sort_multi", "SELECT backend, cycle, started FROM cycles ORDER BY backend, started DESC, cycle")(lambda s, d: P.cycles(s, d).select("backend", "cycle", "started").orderBy("backend", F.desc("started"), "cycle"))
 SEQ = "SELECT *, row_number() OVER (ORDER BY backend, started, cycle) AS sequence_no FROM valid"
 
 
@@ -222,8 +222,8 @@ query("agg_value_change_diag", "SELECT backend, component_id, count(*) AS events
     lambda s, d: U.value_change(events(s, d), U.full_period_ratio(cad(s, d)))
 )
 CONST = "SELECT backend, component_id, property_key, count(value) AS n, count(DISTINCT value) AS distinct_values, min(value) AS least, max(value) AS most, coalesce(bool_and(value = 1.0), false) AS constant_one FROM obs WHERE component_type = 'edge' AND property_name = 'readout_error' GROUP BY ALL"
-query("agg_constant_one", CONST)(lambda s, d: U.constant_one(P.observations(s, d)))
-query("agg_constant_one_edge", f"SELECT backend, component_id, bool_or(constant_one) AS any_constant_one, count(*) FILTER (constant_one) AS constant_series FROM ({CONST}) GROUP BY ALL")(lambda s, d: U.constant_one_edge(U.constant_one(P.observations(s, d))))
+query("agg_constant_one", CONST)(lambda s, d: U.constant_one(P.observations(s, d), "readout_error"))
+query("agg_constant_one_edge", f"SELECT backend, component_id, bool_or(constant_one) AS any_constant_one, count(*) FILTER (constant_one) AS constant_series FROM ({CONST}) GROUP BY ALL")(lambda s, d: U.constant_one_edge(U.constant_one(P.observations(s, d), "readout_error")))
 query("agg_anchor_observations", "SELECT backend, t, min(observed) AS first_observed, max(observed) AS last_observed, count(*) AS poll_count FROM anchors GROUP BY ALL")(lambda s, d: U.anchor_observations(P.anchors(s, d)))
 
 
@@ -234,12 +234,14 @@ def near(s: SparkSession, d: str) -> D:
 query("join_asof_nearest", f"SELECT backend, component_id, property_key, t, previous_t AS anchor_before_t, next_t AS anchor_after_t, nearest_t, (t - nearest_t) / {MINUTE}.0::DOUBLE AS signed_minutes, abs(t - nearest_t) / {MINUTE}.0::DOUBLE AS absolute_minutes FROM near", "signed_minutes absolute_minutes")(
     lambda s, d: near(s, d).select("backend", "component_id", "property_key", "t", "anchor_before_t", "anchor_after_t", "nearest_t", "signed_minutes", "absolute_minutes")
 )
-WITHIN_T = ", ".join(f"avg(CASE WHEN abs(t - nearest_t) <= {t * MINUTE} THEN 1.0 ELSE 0.0 END) AS fraction_within_{t}m" for t in U.TOLERANCES)
+MINUTES_T = (1, 5, 15, 30, 60, 120, 240, 480, 720, 1440)
+DISTANCES = {"within": "abs(t - nearest_t)", "before_next": "next_t - t", "after_previous": "t - previous_t"}
+WITHIN_T = ", ".join(f"avg(CASE WHEN {x} BETWEEN 0 AND {t * MINUTE} THEN 1.0 ELSE 0.0 END) AS fraction_{k}_{t}m" for k, x in DISTANCES.items() for t in MINUTES_T)
 query(
     "agg_alignment_summary",
     f"""SELECT backend, count(*) AS n, median((t - nearest_t) / {MINUTE}.0::DOUBLE) AS median_signed, median(abs(t - nearest_t) / {MINUTE}.0::DOUBLE) AS median_absolute, quantile_cont(abs(t - nearest_t) / {MINUTE}.0::DOUBLE, 0.9) AS p90_absolute, quantile_cont(abs(t - nearest_t) / {MINUTE}.0::DOUBLE, 0.95) AS p95_absolute,
         avg(CASE WHEN t < nearest_t THEN 1.0 ELSE 0.0 END) AS fraction_before, avg(CASE WHEN t = nearest_t THEN 1.0 ELSE 0.0 END) AS fraction_exact, avg(CASE WHEN t > nearest_t THEN 1.0 ELSE 0.0 END) AS fraction_after, {WITHIN_T} FROM near GROUP BY 1""",
-    "median_signed median_absolute p90_absolute p95_absolute fraction_before fraction_exact fraction_after " + " ".join(f"fraction_within_{t}m" for t in U.TOLERANCES),
+    "median_signed median_absolute p90_absolute p95_absolute fraction_before fraction_exact fraction_after " + " ".join(f"fraction_{k}_{t}m" for k in DISTANCES for t in MINUTES_T),
 )(lambda s, d: U.alignment_summary(near(s, d), ["backend"]))
 GROUPED_CHANGE = f"SELECT g.*, coalesce(g.value <> g.previous_value, false) AS value_changed FROM grouped g"
 query("sess_anchor_bucket", f"SELECT {C}, property_key, t, number FROM grouped")(lambda s, d: S.anchored(S.reported_change(P.observations(s, d)), S.COMPONENT, "t", TOLERANCE * MINUTE).select(*C.split(", "), "property_key", "t", "number"))
@@ -255,22 +257,48 @@ def coupling(s: SparkSession, d: str) -> D:
 
 
 query("graph_undirected_edges", "SELECT * FROM edges")(coupling)
-DEG = "SELECT backend, CAST(a AS VARCHAR) || '-' || CAST(b AS VARCHAR) AS component_id, a, b, x.d + y.d AS degree_sum, greatest(x.d, y.d) AS degree_max, least(x.d, y.d) AS degree_min FROM edges JOIN degree x ON x.node = a JOIN degree y ON y.node = b"
+DEG = "SELECT edges.backend, CAST(a AS VARCHAR) || '-' || CAST(b AS VARCHAR) AS component_id, a, b, x.d + y.d AS degree_sum, greatest(x.d, y.d) AS degree_max, least(x.d, y.d) AS degree_min FROM edges JOIN degree x ON x.node = a AND x.backend = edges.backend JOIN degree y ON y.node = b AND y.backend = edges.backend"
 query("graph_degree", DEG)(lambda s, d: U.edge_degrees(coupling(s, d)))
 QUERIES["graph_edge_betweenness"] = lambda s, d: U.edge_betweenness(coupling(s, d))
-RATE = "SELECT component_type, component_id, CAST(sum(n) AS BIGINT) AS n, round(sum(n) / 30.0::DOUBLE, 6) AS rate FROM cad GROUP BY ALL"
+NAMED = "SELECT *, CASE component_type WHEN 'qubit' THEN CAST(x AS VARCHAR) ELSE CAST(least(x, (x + 1) % 400) AS VARCHAR) || '-' || CAST(greatest(x, (x + 1) % 400) AS VARCHAR) END AS name FROM (SELECT *, CAST(component_id AS BIGINT) % 400 AS x FROM {0})"
+CTES["rates"] = f"SELECT backend, component_type, name AS component_id, CAST(sum(n) AS BIGINT) AS n, round(sum(n) / 30.0::DOUBLE, 6) AS rate FROM ({NAMED.format('cad')}) GROUP BY ALL"
 
 
 def rates(s: SparkSession, d: str) -> D:
-    return cad(s, d).groupBy("component_type", "component_id").agg(F.sum("calibration_event_count").alias("n"), F.round(F.sum("calibration_event_count") / 30.0, 6).alias("rate"))
+    named = cad(s, d).withColumn("component_id", P.coupling_id(F.col("component_id"), F.col("component_type")))
+    return named.groupBy("backend", "component_type", "component_id").agg(F.sum("calibration_event_count").alias("n"), F.round(F.sum("calibration_event_count") / 30.0, 6).alias("rate"))
 
 
-query("graph_topology_table", f"SELECT k.*, r.n, r.rate FROM (SELECT DISTINCT backend, 'qubit' AS component_type, CAST(unnest([a, b]) AS VARCHAR) AS component_id FROM edges UNION ALL SELECT backend, 'edge', CAST(a AS VARCHAR) || '-' || CAST(b AS VARCHAR) FROM edges) k LEFT JOIN ({RATE}) r USING (component_type, component_id)", "rate")(
+query("graph_topology_table", "SELECT k.*, r.n, r.rate FROM (SELECT DISTINCT backend, 'qubit' AS component_type, CAST(unnest([a, b]) AS VARCHAR) AS component_id FROM edges UNION ALL SELECT backend, 'edge', CAST(a AS VARCHAR) || '-' || CAST(b AS VARCHAR) FROM edges) k LEFT JOIN rates r USING (backend, component_type, component_id)", "rate")(
     lambda s, d: U.topology_table(coupling(s, d), rates(s, d))
 )
-same("topology_frequency", "graph_topology_table")
-query("join_topology_left", f"SELECT g.component_id, g.degree_sum, coalesce(r.n, 0) AS n FROM ({DEG}) g LEFT JOIN ({RATE}) r USING (component_id)")(lambda s, d: U.edge_degrees(coupling(s, d)).join(rates(s, d), "component_id", "left").select("component_id", "degree_sum", F.coalesce("n", F.lit(0)).alias("n")))
-same("fillna_cast", "join_topology_left")
+query("topology_frequency", "SELECT backend, component_type, count(*) AS components, count(r.n) AS calibrated, CAST(sum(coalesce(r.n, 0)) AS BIGINT) AS events FROM (SELECT DISTINCT backend, 'qubit' AS component_type, CAST(unnest([a, b]) AS VARCHAR) AS component_id FROM edges UNION ALL SELECT backend, 'edge', CAST(a AS VARCHAR) || '-' || CAST(b AS VARCHAR) FROM edges) k LEFT JOIN rates r USING (backend, component_type, component_id) GROUP BY ALL")(
+    lambda s, d: U.topology_table(coupling(s, d), rates(s, d)).groupBy("backend", "component_type").agg(F.count("*").alias("components"), F.count("n").alias("calibrated"), F.sum(F.coalesce("n", F.lit(0))).alias("events"))
+)
+CTES |= {
+    "cusage": "SELECT backend, level, component_id, count(DISTINCT run_id) AS used_runs, sum(ops) AS ops, avg(share) AS mean_share FROM (SELECT *, ops / sum(ops) OVER (PARTITION BY backend, level, run_id)::DOUBLE AS share FROM (SELECT backend, level, run_id, component_id, CAST(sum(ops) AS BIGINT) AS ops FROM compiled GROUP BY ALL)) GROUP BY ALL",
+    "cruns": "SELECT backend, level, count(DISTINCT run_id) AS total_runs FROM compiled GROUP BY ALL",
+    "cconst": f"SELECT backend, name AS component_id, bool_or(one) AS any_constant_one, count(*) FILTER (one) AS constant_series FROM (SELECT backend, name, property_key, coalesce(bool_and(value = 1.0), false) AS one FROM (SELECT *, CASE WHEN x % 6 = 1 THEN 1.0 ELSE v END AS value FROM ({NAMED.format('(SELECT *, value AS v FROM obs)').replace('SELECT *, CASE', 'SELECT * EXCLUDE (value), CASE', 1)})) WHERE component_type = 'edge' AND property_name = 'readout_error' GROUP BY ALL) GROUP BY ALL",
+    "etab": f"""SELECT g.backend, c.level, g.component_id, g.degree_sum, c.total_runs, coalesce(u.used_runs, 0) AS used_runs, CAST(coalesce(u.ops, 0) AS BIGINT) AS ops, coalesce(u.mean_share, 0.0::DOUBLE) AS mean_share, r.n AS calibration_event_count, r.rate AS calibration_events_per_day,
+        coalesce(k.any_constant_one, false) AS any_constant_one, coalesce(k.constant_series, 0) AS constant_series, coalesce(u.used_runs, 0) / c.total_runs::DOUBLE AS presence, coalesce(u.ops, 0) / sum(coalesce(u.ops, 0)) OVER (PARTITION BY g.backend, c.level)::DOUBLE AS global_share
+      FROM ({DEG}) g JOIN cruns c USING (backend) LEFT JOIN cusage u ON u.backend = g.backend AND u.level = c.level AND u.component_id = g.component_id
+      LEFT JOIN (SELECT * FROM rates WHERE component_type = 'edge') r ON r.backend = g.backend AND r.component_id = g.component_id LEFT JOIN cconst k ON k.backend = g.backend AND k.component_id = g.component_id""",
+    "escoped": "SELECT *, 'all' AS scope FROM etab UNION ALL SELECT *, 'filtered' FROM etab WHERE NOT any_constant_one",
+}
+
+
+def edge_table(s: SparkSession, d: str) -> D:
+    obs = P.observations(s, d)
+    ones = obs.withColumn("value", F.when(F.col("component_id").cast("long") % P.NODES % 6 == 1, 1.0).otherwise(F.col("value")))
+    ones = ones.withColumn("component_id", P.coupling_id(F.col("component_id"), F.col("component_type")))
+    rate = rates(s, d).withColumnsRenamed({"n": "calibration_event_count", "rate": "calibration_events_per_day"})
+    return U.edge_table(U.edge_degrees(coupling(s, d)).select("backend", "component_id", "degree_sum"), P.compiled(s, d), rate, U.constant_one_edge(U.constant_one(ones, "readout_error")))
+
+
+query("join_topology_left", "SELECT * FROM etab", "mean_share calibration_events_per_day presence global_share", 6)(edge_table)
+query("fillna_cast", "SELECT backend, level, CAST(sum(used_runs) AS BIGINT) AS used_runs, count(*) FILTER (used_runs = 0) AS unused, count(*) FILTER (any_constant_one) AS constant_edges, CAST(sum(constant_series) AS BIGINT) AS constant_series FROM etab GROUP BY ALL")(
+    lambda s, d: edge_table(s, d).groupBy("backend", "level").agg(F.sum("used_runs").alias("used_runs"), F.count_if(F.col("used_runs") == 0).alias("unused"), F.count_if("any_constant_one").alias("constant_edges"), F.sum("constant_series").alias("constant_series"))
+)
 query("circ_run_share", "SELECT * FROM shares", "within_run_share")(lambda s, d: U.run_share(P.usage(s, d)))
 query("win_transform_total", "SELECT backend, level, component_id, ops, ops / sum(ops) OVER (PARTITION BY backend, level)::DOUBLE AS global_share FROM edge_use", "global_share", 6)(lambda s, d: U.edge_usage(P.usage(s, d)).select("backend", "level", "component_id", "ops", "global_share"))
 query("agg_edge_usage", "SELECT *, ops / sum(ops) OVER (PARTITION BY backend, level)::DOUBLE AS global_share FROM edge_use", "mean_share presence global_share", 6)(lambda s, d: U.edge_usage(P.usage(s, d)))
@@ -282,9 +310,11 @@ query("circ_logical_2q", "SELECT l_orderkey AS circuit, count(*) FILTER (l_quant
 )
 query(
     "circ_suite",
-    """SELECT family, CAST(n AS INT) AS n, CAST(layers AS INT) AS layers, family || '_' || n || '_' || layers AS circuit_name, CAST(CASE family WHEN 'ghz' THEN n - 1 WHEN 'qft' THEN n * (n - 1) // 2 + n // 2 WHEN 'bernstein_vazirani' THEN n // 2
-        WHEN 'qaoa_ring' THEN layers * n WHEN 'ising_line' THEN layers * (n - 1) WHEN 'brickwork' THEN (layers + 1) // 2 * (n // 2) + layers // 2 * ((n - 1) // 2) WHEN 'dense' THEN layers * (n * (n - 1) // 2) END AS BIGINT) AS two_qubit_ops
-      FROM (SELECT unnest(['ghz', 'qft', 'bernstein_vazirani', 'qaoa_ring', 'ising_line', 'brickwork', 'dense']) AS family), (SELECT unnest([4, 8, 12, 16]) AS n), (SELECT unnest([1, 2, 4]) AS layers) WHERE layers = 1 OR family IN ('qaoa_ring', 'ising_line', 'brickwork', 'dense')""",
+    """SELECT family, replace(name, '#', CAST(n AS VARCHAR)) AS circuit_name, CAST(n AS INT) AS n, CAST(layers AS INT) AS layers,
+        CAST(CASE family WHEN 'GHZ' THEN n - 1 WHEN 'QFT' THEN n * (n - 1) // 2 + n // 2 WHEN 'Bernstein-Vazirani' THEN ceil((n - 1) / 2) WHEN 'QAOA-ring' THEN layers * n WHEN 'Ising-Trotter' THEN layers * (n - 1)
+          WHEN 'Random-brickwork' THEN layers // 2 * (n // 2 + (n - 1) // 2) ELSE layers * (n * (n - 1) // 2) END AS BIGINT) AS two_qubit_ops
+      FROM (SELECT family, name, unnest(sizes) AS n, layers FROM (VALUES ('GHZ', 'ghz_#', [4, 8, 16, 24], 1), ('QFT', 'qft_#', [4, 8, 12], 1), ('Bernstein-Vazirani', 'bv_#', [5, 9, 17, 25], 1), ('QAOA-ring', 'qaoa_ring_#_p2', [6, 12, 18, 24], 2),
+        ('Ising-Trotter', 'ising_#_l4', [8, 16, 24], 4), ('Random-brickwork', 'random_brickwork_#_l6', [8, 16, 24], 6), ('Dense-entangling', 'dense_#_l2', [6, 10, 14], 2)) v(family, name, sizes, layers))""",
 )(lambda s, d: U.circuit_suite(s))
 
 
@@ -307,11 +337,21 @@ query(
       FROM (SELECT backend, level, count(*) AS n, corr(ln(1 + ops), degree) AS ry1, corr(ln(1 + ops), load) AS ry2, corr(degree, load) AS r12 FROM ({USE}) GROUP BY ALL)""",
     "beta_degree beta_load r2",
 )(lambda s, d: Z.standardized_ols(usage_study(s, d), ["backend", "level"], "ops", ["degree", "load"]))
+RANKED = "rank() OVER (PARTITION BY backend, level, scope, p ORDER BY {0}) + (count(*) OVER (PARTITION BY backend, level, scope, p, {0}) - 1) / 2.0::DOUBLE"
+CTES |= {
+    "erho": f"""SELECT backend, level, scope, p, CASE WHEN max(x) > min(x) AND max(y) > min(y) THEN corr(rx, ry) END AS rho FROM
+      (SELECT *, {RANKED.format('x')} AS rx, {RANKED.format('y')} AS ry FROM (SELECT backend, level, scope, 'share' AS p, mean_share AS x, calibration_events_per_day AS y FROM escoped UNION ALL SELECT backend, level, scope, 'presence', presence, calibration_events_per_day FROM escoped) WHERE y IS NOT NULL) GROUP BY ALL HAVING count(*) >= 8""",
+    "ebeta": """SELECT backend, level, scope, (ry1 - r12 * ry2) / (1 - r12 * r12) AS beta, ((ry1 - r12 * ry2) * ry1 + (ry2 - r12 * ry1) * ry2) / (1 - r12 * r12) AS r2 FROM
+      (SELECT backend, level, scope, corr(ln(1 + calibration_events_per_day), mean_share) AS ry1, corr(ln(1 + calibration_events_per_day), degree_sum) AS ry2, corr(mean_share, degree_sum) AS r12 FROM escoped WHERE calibration_events_per_day IS NOT NULL GROUP BY ALL HAVING count(*) > 4)""",
+}
+SCOPED = ", ".join(f"max({v}) FILTER (scope = '{k}'{e}) AS {n}_{k}" for n, v, e in (("rho_share", "rho", " AND p = 'share'"), ("rho_presence", "rho", " AND p = 'presence'")) for k in ("all", "filtered"))
+BETAS = ", ".join(f"max({v}) FILTER (scope = '{k}') AS {v}_{k}" for v in ("beta", "r2") for k in ("all", "filtered"))
 query(
     "agg_backend_summary",
-    f"SELECT backend, max(n) FILTER (level = 0) AS edges_level_0, max(n) FILTER (level = 1) AS edges_level_1, max(p) FILTER (level = 0) AS presence_level_0, max(p) FILTER (level = 1) AS presence_level_1 FROM (SELECT backend, level, count(*) AS n, avg(presence) AS p FROM edge_use GROUP BY ALL) GROUP BY 1",
-    "presence_level_0 presence_level_1", 6,
-)(lambda s, d: (lambda u: u.groupBy("backend").agg(*[F.max(F.when(F.col("level") == k, F.col("n"))).alias(f"edges_level_{k}") for k in (0, 1)], *[F.max(F.when(F.col("level") == k, F.col("p"))).alias(f"presence_level_{k}") for k in (0, 1)]))(U.edge_usage(P.usage(s, d)).groupBy("backend", "level").agg(F.count("*").alias("n"), F.avg("presence").alias("p"))))
-query("join_summary_lookup", "SELECT u.backend, u.level, u.component_id, s.n FROM edge_use u LEFT JOIN (SELECT backend, level, count(*) AS n FROM edge_use GROUP BY ALL) s USING (backend, level)")(
-    lambda s, d: (lambda u: u.select("backend", "level", "component_id").join(u.groupBy("backend", "level").agg(F.count("*").alias("n")), ["backend", "level"], "left"))(U.edge_usage(P.usage(s, d)))
+    f"""SELECT * FROM (SELECT backend, level, count(*) AS edges, count(*) FILTER (any_constant_one) AS constant_edges, avg(CASE WHEN used_runs > 0 THEN 1.0 ELSE 0.0 END) AS used_all, avg(CASE WHEN used_runs > 0 THEN 1.0 ELSE 0.0 END) FILTER (NOT any_constant_one) AS used_filtered FROM etab GROUP BY ALL)
+      LEFT JOIN (SELECT backend, level, {SCOPED} FROM erho GROUP BY ALL) USING (backend, level) LEFT JOIN (SELECT backend, level, {BETAS} FROM ebeta GROUP BY ALL) USING (backend, level)""",
+    "used_all used_filtered rho_share_all rho_share_filtered rho_presence_all rho_presence_filtered beta_all beta_filtered r2_all r2_filtered",
+)(lambda s, d: U.backend_summary(edge_table(s, d), ("degree_sum",)))
+query("join_summary_lookup", "SELECT backend, max(edges) FILTER (level = 0) AS edges_0, max(edges) FILTER (level = 1) AS edges_1, max(rho) FILTER (level = 0) AS rho_0, max(rho) FILTER (level = 1) AS rho_1 FROM (SELECT backend, level, count(*) AS edges FROM etab GROUP BY ALL) LEFT JOIN (SELECT backend, level, rho FROM erho WHERE scope = 'all' AND p = 'share') USING (backend, level) GROUP BY 1", "rho_0 rho_1")(
+    lambda s, d: U.backend_summary(edge_table(s, d), ("degree_sum",)).groupBy("backend").agg(*[F.max(F.when(F.col("level") == k, F.col(v))).alias(f"{n}_{k}") for n, v in (("edges", "edges"), ("rho", "rho_share_all")) for k in (0, 1)])
 )
