@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from caldrift.functions.expr import HOUR, MINUTE
 
 
+#: Time of one key that a task takes at once.
+STRETCH = 7 * 24 * HOUR
+
+
 def make_grid(coverage: DataFrame, grid_minutes: int = 60) -> DataFrame:
     """(backend, t): every grid time within a backend's study; none where the study ends before it starts."""
     if grid_minutes <= 0:
@@ -28,28 +32,37 @@ def slot(time: str, grid_minutes: int) -> Column:
     return F.expr(f"(({time} + {step - 1}) div {step}) * {step}")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], prefix: str, forward: bool = False, time: str = "t") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], prefix: str, forward: bool = False, time: str = "t", crowded: bool = False) -> DataFrame:
     """``left`` with the values and the time of the last row of ``right`` at or before its time (or the first at or after).
 
     Both sides lie in one window per key, so a left row needs no join; rows of ``right`` at the same time are decided by the
-    largest values.
+    largest values. Where a few keys hold all rows (``crowded``: devices, not components) a task has a stretch of a key's time, and what
+    lies before it is carried in from the stretches' ends; rows without a key or a time are then left out.
     """
     names = [c for c in left.columns if c not in keys and c != time]
     picked = F.struct(F.col(time).alias("at"), *values)
     one = right.groupBy(*keys, time).agg(F.max(F.struct(*values)).alias("v")).select(*keys, time, *[F.col(f"v.{v}").alias(v) for v in values])
     both = left.select(*keys, time, F.lit(True).alias("is_left"), F.struct(*names).alias("l") if names else F.lit(None).alias("l"), F.lit(None).cast(one.select(picked.alias("p")).schema["p"].dataType).alias("r"))
     other = one.select(*keys, time, F.lit(False).alias("is_left"), F.lit(None).cast(both.schema["l"].dataType).alias("l"), picked.alias("r"))
-    w = Window.partitionBy(*keys).orderBy(time)
-    found = F.first("r", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)) if forward else F.last("r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    out = both.unionByName(other).withColumn("m", found).where("is_left")
-    return out.select(*keys, time, *[F.col(f"l.{c}").alias(c) for c in names], F.col("m.at").alias(f"{prefix}_t"), *[F.col(f"m.{v}").alias(f"{prefix}_{v}") for v in values])
+    shown = lambda df: df.select(*keys, time, *[F.col(f"l.{c}").alias(c) for c in names], F.col("m.at").alias(f"{prefix}_t"), *[F.col(f"m.{v}").alias(f"{prefix}_{v}") for v in values])
+    if not crowded:
+        w = Window.partitionBy(*keys).orderBy(time)
+        found = F.first("r", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)) if forward else F.last("r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+        return shown(both.unionByName(other).withColumn("m", found).where("is_left"))
+    rows = both.unionByName(other).withColumn("stretch", F.expr(f"{time} div {STRETCH}"))
+    w = Window.partitionBy(*keys, "stretch").orderBy(time)
+    over = Window.partitionBy(*keys).orderBy(F.desc("stretch") if forward else F.col("stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.first("r", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)) if forward else F.last("r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    ends = rows.groupBy(*keys, "stretch").agg((F.min if forward else F.max)("r").alias("end"))
+    carried = ends.select(*keys, "stretch", F.last("end", ignorenulls=True).over(over).alias("carried"))
+    return shown(rows.withColumn("own", inside).where("is_left").join(carried, [*keys, "stretch"]).withColumn("m", F.coalesce("own", "carried")))
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """``left`` with the nearest time of ``right`` by key, the earlier one at a tie, and the distance in minutes."""
     stamped = right.select(*keys, "t", F.lit(1).alias("one"))
-    back = as_of(left, stamped, keys, ["one"], "anchor_before").drop("anchor_before_one")
-    both = as_of(back, stamped, keys, ["one"], "anchor_after", forward=True).drop("anchor_after_one")
+    back = as_of(left, stamped, keys, ["one"], "anchor_before", crowded=True).drop("anchor_before_one")
+    both = as_of(back, stamped, keys, ["one"], "anchor_after", forward=True, crowded=True).drop("anchor_after_one")
     before, after = F.col("t") - F.col("anchor_before_t"), F.col("anchor_after_t") - F.col("t")
     anchor = F.when(F.col("anchor_after_t").isNull() | (before <= after), F.col("anchor_before_t")).otherwise(F.col("anchor_after_t"))
     return (
@@ -65,14 +78,17 @@ def device_load(targets: DataFrame, status: DataFrame, windows: list[int], max_s
     The value at t goes when it is older than the staleness, its time and age stay.
     """
     load = status.where(F.col("pending_jobs").isNotNull())
-    at = as_of(targets, load, ["backend"], ["pending_jobs"], "current")
+    at = as_of(targets, load, ["backend"], ["pending_jobs"], "current", crowded=True)
     age = (F.col("t") - F.col("current_t")) / F.lit(float(MINUTE))
     at = at.withColumn("current_age_minutes", age).withColumn("load_current", F.when(age <= max_staleness_minutes, F.col("current_pending_jobs").cast("double"))).drop("current_pending_jobs")
     names = [c for c in at.columns if c not in ("backend", "t")]
     rows = at.select("backend", "t", F.struct(*names).alias("l"), F.lit(None).cast("double").alias("x"))
     seen = load.select("backend", "t", F.lit(None).cast(rows.schema["l"].dataType).alias("l"), F.col("pending_jobs").cast("double").alias("x"))
-    both = rows.unionByName(seen)
-    w = Window.partitionBy("backend").orderBy("t")
+    # a device's rows are dealt by stretches no shorter than the longest window, and a value also goes to the stretch after its own
+    length = max(STRETCH, max(windows, default=0) * HOUR)
+    own = F.expr(f"t div {length}")
+    both = rows.withColumn("stretch", own).unionByName(seen.withColumn("stretch", F.explode(F.array(own, own + 1))))
+    w = Window.partitionBy("backend", "stretch").orderBy("t")
     for h in windows:
         prior = w.rangeBetween(-h * HOUR, -1)
         for name, agg in (("mean", F.avg), ("max", F.max), ("std", F.stddev_samp), ("count", F.count)):

@@ -98,12 +98,20 @@ def reported_change(obs: DataFrame) -> DataFrame:
 
 def anchored(df: DataFrame, keys: list[str], time: str, tolerance_us: int) -> DataFrame:
     """``df`` with ``anchor`` and ``number``: a session begins when a time is more than the tolerance after its anchor, the
-    session's first time, which doesn't slide. A fold over each key's distinct times; rows find theirs by an equi-join."""
+    session's first time, which doesn't slide.
+
+    A time more than the tolerance after the one before it always begins a session, so each key's distinct times are first cut
+    there; only within such a chain are they folded, and rows find theirs by an equi-join.
+    """
     empty = F.expr("cast(array() as array<struct<at: bigint, anchor: bigint, number: int>>)")
     step = lambda acc, x: F.concat(acc, F.array(_next(F.try_element_at(acc, F.lit(-1)), x, tolerance_us)))
-    times = df.groupBy(*keys).agg(F.array_sort(F.collect_set(time)).alias("times"))
-    folded = times.select(*keys, F.explode(F.aggregate("times", empty, step)).alias("s")).select(*keys, F.col("s.at").alias(time), F.col("s.anchor").alias("anchor"), F.col("s.number").alias("number"))
-    return df.join(folded, [*keys, time])
+    w = Window.partitionBy(*keys).orderBy(time)
+    times = df.select(*keys, time).where(F.col(time).isNotNull()).distinct()
+    begins = F.coalesce(F.col(time) - F.lag(time).over(w) > tolerance_us, F.lit(True)).cast("int")
+    chains = times.withColumn("begins", begins).withColumn("chain", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "chain").agg(F.array_sort(F.collect_list(time)).alias("times"))
+    folded = chains.select(*keys, F.explode(F.aggregate("times", empty, step)).alias("s")).select(*keys, F.col("s.at").alias(time), F.col("s.anchor").alias("anchor"))
+    numbered = folded.withColumn("number", (F.sum((F.col(time) == F.col("anchor")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int"))
+    return df.join(numbered, [*keys, time])
 
 
 def _next(last: Column, x: Column, tolerance_us: int) -> Column:

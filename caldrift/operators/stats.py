@@ -84,11 +84,17 @@ def cluster_meat(df: DataFrame, groups: list[str], cluster: str, score: str) ->
 
 
 def two_way_balanced(df: DataFrame, groups: list[str], entity: str, time: str, y: str, x: str) -> DataFrame:
-    """Fixed-effects slope of balanced panels with errors clustered both ways (entity plus time less white); all JVM."""
+    """Fixed-effects slope of balanced panels with errors clustered both ways (entity plus time less white); all JVM.
+
+    Means in one step are right for full panels only: a group in which an entity lacks a time, or has one twice, has null results
+    (``two_way`` finds them).
+    """
     own = df.where(F.col(y).isNotNull() & F.col(x).isNotNull())
     d = demeaned(own, groups, entity, time, [y, x]).select(*groups, entity, time, F.col(f"{y}_within").alias("yw"), F.col(f"{x}_within").alias("xw"))
     sums = d.groupBy(*groups).agg(F.count("*").alias("n"), F.countDistinct(entity).alias("entities"), F.countDistinct(time).alias("times"), F.sum(F.col("xw") * F.col("xw")).alias("sxx"), F.sum(F.col("xw") * F.col("yw")).alias("sxy"), F.sum(F.col("yw") * F.col("yw")).alias("syy"))
-    slope = sums.withColumn("coefficient", F.when(F.col("sxx") > 1e-12, F.col("sxy") / F.col("sxx")))
+    cells = own.groupBy(*groups, entity, time).agg(F.count("*").alias("k")).groupBy(*groups).agg(F.max("k").alias("most"), F.count("*").alias("cells"))
+    full = (F.col("most") == 1) & (F.col("cells") == F.col("entities") * F.col("times"))
+    slope = sums.join(cells, groups).withColumn("coefficient", F.when(full & (F.col("sxx") > 1e-12), F.col("sxy") / F.col("sxx"))).drop("most", "cells")
     e = d.join(slope.select(*groups, "coefficient"), groups).withColumn("u", F.col("yw") - F.col("coefficient") * F.col("xw")).withColumn("score", F.col("xw") * F.col("u"))
     by_entity = cluster_meat(e, groups, entity, "score").withColumnRenamed("meat", "m_entity")
     by_time = cluster_meat(e, groups, time, "score").withColumnRenamed("meat", "m_time")

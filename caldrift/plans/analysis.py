@@ -15,6 +15,14 @@ from caldrift.sinks import files
 WINDOWS = (1, 2, 8, 24, 48)
 LAGS = (-48, -24, -8, -2, -1, 0, 1, 2, 8, 24, 48)
 
+#: Columns of microseconds that are written as ISO-8601 times.
+TIMES = frozenset("t observed previous_t current_t last_t event_start first_event last_event episode_start episode_end study_start study_end".split())
+CAVEATS = [
+    "Report times of properties are taken as they are; a calibration that changed no reported value shows as an update without drift.",
+    "Queue lengths between polls are unknown; a value older than the staleness bound counts as none.",
+    "Correlations and fixed effects describe association, not cause.",
+]
+
 
 def run_analysis(
     observations: DataFrame,
@@ -29,12 +37,18 @@ def run_analysis(
     min_n: int = 8,
     output: str | None = None,
 ) -> dict[str, DataFrame]:
-    """All outputs by name; written as gzip CSV with run_metadata.json under ``output`` if it is given."""
+    """All outputs by name. With ``output`` they are written there as gzip CSV, with ISO-8601 times, beside run_metadata.json, and the
+    frames that they share are let go; without, they stay for the caller to read and unpersist."""
     hours = S.positive_windows(list(windows))
     for name, df in (("observations", observations), ("coverage", coverage)):
         if df.isEmpty():
             raise ValueError(f"{name} is empty")
-    keep = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
+    shared: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        shared.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return shared[-1]
+
     drift = keep(S.property_drift(observations))
     every = keep(S.component_events(drift, tolerance_minutes))
     study = M.in_study(every, coverage).where("in_study_period")
@@ -77,5 +91,14 @@ def run_analysis(
     if output:
         for key, df in out.items():
             flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes])
-            files.write_csv(flat, f"{output}/{key}")
+            files.write_csv(flat, f"{output}/{key}", times=tuple(c for c, t in flat.dtypes if t == "bigint" and c in TIMES))
+        parameters = {"windows": list(windows), "lags": list(lags), "tolerance_minutes": tolerance_minutes, "grid_minutes": grid_minutes, "max_staleness_minutes": max_staleness_minutes, "min_n": min_n}
+        files.write_metadata(f"{output}/run_metadata.json", parameters, out, CAVEATS)
+        release(shared)
     return out
+
+
+def release(shared: list[DataFrame]) -> None:
+    """Let go of the frames that outputs share; they are worked out anew if asked again."""
+    for df in shared:
+        df.unpersist()

@@ -20,22 +20,28 @@ def _log(spark: SparkSession, root: str, row: tuple) -> None:
     spark.createDataFrame([row], RUN).coalesce(1).write.mode("append").parquet(f"{root}/runs")
 
 
+def states(spark: SparkSession, root: str) -> DataFrame:
+    """The newest state of each run; none where no run has begun. Other failures to read are raised."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/runs")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], RUN)
+    log = spark.read.schema(RUN).parquet(f"{root}/runs")
+    return log.groupBy("run_id").agg(F.max_by(F.struct("version", "status", "total", "last_sequence_no", "at", "error"), "at").alias("s")).select("run_id", "s.*")
+
+
 def runs(spark: SparkSession, root: str) -> DataFrame:
     """The newest state of each run, the latest ten first."""
-    log = spark.read.schema(RUN).parquet(f"{root}/runs")
-    return log.groupBy("run_id").agg(F.max_by(F.struct("version", "status", "total", "last_sequence_no", "at", "error"), "at").alias("s")).select("run_id", "s.*").orderBy(F.desc("at")).limit(10)
+    return states(spark, root).orderBy(F.desc("at")).limit(10)
 
 
 def start(spark: SparkSession, root: str, cycles: DataFrame, run_id: str | None = None, new_run: bool = False) -> tuple[str, int]:
     """(run, last sequence done): a run by id, else the newest unfinished one of this version, else a new one whose inputs are frozen."""
     if run_id and new_run:
         raise ValueError("a new run can't have a given id")
-    try:
-        known = [] if new_run else [r for r in runs(spark, root).collect() if (r.run_id == run_id if run_id else r.version == VERSION and r.status in ("running", "failed"))]
-    except Exception:
-        known = []
+    wanted = F.col("run_id") == run_id if run_id else (F.col("version") == VERSION) & F.col("status").isin("running", "failed")
+    known = None if new_run else states(spark, root).where(wanted).orderBy(F.desc("at")).first()
     if known:
-        return known[0].run_id, known[0].last_sequence_no
+        return known.run_id, known.last_sequence_no
     if run_id:
         raise LookupError(f"no run {run_id}")
     run = uuid.uuid4().hex
@@ -44,6 +50,13 @@ def start(spark: SparkSession, root: str, cycles: DataFrame, run_id: str | None
     return run, 0
 
 
+def dry_run(spark: SparkSession, root: str, cycles: DataFrame, compute: Callable[[DataFrame], DataFrame], batch_size: int = 500) -> DataFrame:
+    """What the first batch of a new run would give; nothing is written, neither results nor a run."""
+    if batch_size <= 0:
+        raise ValueError("batch size must be positive")
+    return compute(Y.batch(Y.sequence(Y.previous_cycle(cycles)), 0, batch_size))
+
+
 def execute(spark: SparkSession, root: str, cycles: DataFrame, compute: Callable[[DataFrame], DataFrame], batch_size: int = 500, **options: object) -> str:
     """Every batch's results under its own folder (a repeated batch overwrites itself), then the run is complete."""
     if batch_size <= 0:

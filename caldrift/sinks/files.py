@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +18,13 @@ def write_csv(df: DataFrame, path: str, compress: bool = True, times: tuple[str,
 
 
 def write_metadata(path: str, parameters: dict, frames: dict[str, DataFrame], caveats: list[str]) -> dict:
-    """run_metadata.json with parameters, row counts and caveats; written by the driver."""
+    """A JSON file with parameters, row counts and caveats, in any file system that Spark reaches."""
     meta = {"parameters": parameters, "row_counts": {k: v.count() for k, v in frames.items()}, "caveats": caveats}
-    Path(path).write_text(json.dumps(meta, indent=2, sort_keys=True))
+    sc = next(iter(frames.values())).sparkSession.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(json.dumps(meta, indent=2, sort_keys=True).encode()))
+    out.close()
     return meta
 
 

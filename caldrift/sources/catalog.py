@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zipfile
 from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Names by which an anchor's columns go, the best first.
-ANCHOR_NAMES = {"backend_last_update_date": 100, "properties_last_update_date": 80, "last_update_date": 60}
-BACKEND_NAMES = ("backend", "backend_name", "device")
-POLL_NAMES = ("poll_timestamp_utc", "poll_started_at", "observed_at_utc", "created_at")
+#: Names by which an anchor's, a device's and a poll's columns go, the best first.
+ANCHOR_NAMES = ("last_update_date", "last_updated", "last_update", "backend_last_update_date", "backend_last_updated", "calibration_date", "backend_calibration_date")
+BACKEND_NAMES = ("backend", "backend_name", "device", "device_name")
+POLL_NAMES = ("poll_timestamp_utc", "observed_at_utc", "snapshot_timestamp_utc", "timestamp_utc", "poll_started_at", "created_at", "updated_at")
+#: Points of the anchor's name, the best names first; all others have the last.
+ANCHOR_POINTS = (("last_update_date",), 100), (("last_updated", "last_update"), 80), (ANCHOR_NAMES, 60)
 
 
 @dataclass(frozen=True)
@@ -72,21 +76,50 @@ class AnchorSource:
     score: int
 
 
-def discover_anchor_source(inventory: list[tuple[str, str, str]]) -> AnchorSource:
-    """The table whose columns look most like anchors: by the anchor's name, and by what the table's name says; of equal scores
-    the last description. Works on catalog metadata alone."""
+def _first(names: tuple[str, ...], columns: list[str]) -> str | None:
+    """The column, as it is spelt, that has the best of the names in any case."""
+    known = {c.lower(): c for c in columns}
+    return next((known[n] for n in names if n in known), None)
+
+
+def _by_table(inventory: list[tuple[str, str, str]]) -> dict[str, list[str]]:
     tables: dict[str, list[str]] = {}
     for t, c, _ in inventory:
         tables.setdefault(t, []).append(c)
+    return tables
+
+
+def discover_anchor_source(inventory: list[tuple[str, str, str]]) -> AnchorSource:
+    """The table whose columns look most like anchors: by the anchor's name, and by what the table's name says; of equal scores
+    the last description. Works on catalog metadata alone."""
     found = []
-    for t, columns in tables.items():
-        backend = next((b for b in BACKEND_NAMES if b in columns), None)
-        poll = next((p for p in POLL_NAMES if p in columns), None)
-        for anchor, points in ANCHOR_NAMES.items():
-            if anchor in columns and backend and poll:
-                low = t.lower()
-                score = points + 20 * ("backend" in low) + 20 * ("propert" in low or "calibr" in low) + 10 * ("snapshot" in low) + 5 * low.startswith("public.")
-                found.append(AnchorSource(t, anchor, backend, poll, score))
+    for t, columns in _by_table(inventory).items():
+        anchor, backend, poll = (_first(names, columns) for names in (ANCHOR_NAMES, BACKEND_NAMES, POLL_NAMES))
+        if anchor and backend and poll:
+            low, points = t.lower(), next(n for names, n in ANCHOR_POINTS if anchor.lower() in names)
+            found.append(AnchorSource(t, anchor, backend, poll, points + 20 * ("backend" in low) + 20 * ("propert" in low or "calibr" in low) + 10 * ("snapshot" in low) + 5 * low.startswith("public.")))
     if not found:
         raise LookupError("no table has anchor, backend and poll columns")
     return max(found, key=lambda s: (s.score, s.table, s.anchor))
+
+
+def discover_json_anchor(spark: SparkSession, inventory: list[tuple[str, str, str]], rows: int = 20) -> tuple[AnchorSource, str]:
+    """Where no table has an anchor column: a table with device and poll columns and a JSON text in whose objects an anchor's name
+    stands, at the top or one level down, in the first ``rows`` that aren't null; and the path to it. ``anchor`` is the JSON column."""
+    for t, columns in sorted(_by_table(inventory).items()):
+        backend, poll = _first(BACKEND_NAMES, columns), _first(POLL_NAMES, columns)
+        texts = [c for table, c, kind in inventory if table == t and kind in ("string", "variant")]
+        for c in texts if backend and poll else ():
+            value = F.to_json(c) if dict((x, k) for table, x, k in inventory if table == t)[c] == "variant" else F.col(c)
+            for (text,) in spark.table(t).where(F.col(c).isNotNull()).select(value).limit(rows).collect():
+                try:
+                    body = json.loads(text)
+                except (TypeError, ValueError):
+                    continue
+                if not isinstance(body, dict):
+                    continue
+                inner = [(k, v) for k, v in body.items() if isinstance(v, dict)]
+                paths = [[n] for n in ANCHOR_NAMES if n in body] + [[k, n] for k, v in inner for n in ANCHOR_NAMES if n in v]
+                if paths:
+                    return AnchorSource(t, c, backend, poll, 0), "$." + ".".join(paths[0])
+    raise LookupError("no table has an anchor in a JSON column")
