@@ -31,11 +31,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where none is configured, as in tests."""
+    """The folder that the cluster shares; one of our own only where none is configured on a local master, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = got.get() if got.isDefined() else None
+    if not where and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
     if not where:
         import tempfile
 
