@@ -1,4 +1,7 @@
-"""The whole analysis on the small fixture, and a backfill that fails, resumes and completes."""
+"""The whole analysis with its files on disk, and the life of a backfill."""
+
+import json
+import random
 
 import pytest
 
@@ -6,42 +9,95 @@ from caldrift.functions.expr import HOUR, MINUTE
 from caldrift.plans import backfill
 from caldrift.plans.analysis import run_analysis
 
-T0 = 1767225600000000
+BEGIN = 1_700_000_000_000_000 // HOUR * HOUR
+OBS = "backend string, component_type string, component_id string, property_key string, property_name string, unit string, t long, observed long, value double"
 
 
-def test_analysis_end_to_end(spark):
-    rows = [("b", "qubit", "0", "T1[s]", "T1", "s", T0 + k * HOUR, T0 + k * HOUR + 5 * MINUTE, v) for k, v in enumerate((100.0, 110.0, 121.0))]
-    rows.append(("b", "qubit", "1", "T1[s]", "T1", "s", T0, T0 + 5 * MINUTE, 100.0))
-    obs = spark.createDataFrame(rows, "backend string, component_type string, component_id string, property_key string, property_name string, unit string, t long, observed long, value double")
-    status = spark.createDataFrame([("b", T0 + k * HOUR, k) for k in range(4)], "backend string, t long, pending_jobs int")
-    cover = spark.createDataFrame([("b", T0, T0 + 3 * HOUR, 13)], "backend string, study_start long, study_end long, successful_fetch_count long")
-    out = run_analysis(obs, status, cover, windows=(1, 2), lags=(-1, 0, 1), tolerance_minutes=0, min_n=2)
-    want = {"property_drift": 4, "component_events": 4, "calibration_frequency": 8, "calibration_concentration": 8, "timing_discrepancy": 4, "component_cadence": 2, "property_staleness": 4, "synchrony_episodes": 3, "device_load": 4, "event_load": 4, "grid_outcomes": 4, "snapshot_drift": 4, "lagged_correlations": 18}
-    assert {k: out[k].count() for k in want} == want
-    with pytest.raises(ValueError):
-        run_analysis(obs.limit(0), status, cover)
+def tables(spark):
+    rng = random.Random(3)
+    rows = []
+    for device in ("left", "right"):
+        for c in range(3):
+            t = BEGIN
+            for _ in range(9):
+                t += rng.randrange(1, 200) * MINUTE
+                rows += [(device, "qubit", str(c), f"{n}[us]", n, "us", t, t + MINUTE, rng.uniform(10, 90)) for n in ("T1", "T2")]
+    obs = spark.createDataFrame(rows, OBS)
+    status = spark.createDataFrame([(d, BEGIN + k * 17 * MINUTE, rng.randrange(40)) for d in ("left", "right") for k in range(90)], "backend string, t long, pending_jobs int")
+    cover = spark.createDataFrame([(d, BEGIN, BEGIN + 20 * HOUR, 90) for d in ("left", "right")], "backend string, study_start long, study_end long, successful_fetch_count long")
+    return obs, status, cover
+
+
+def test_analysis_writes_what_it_returns(spark, tmp_path):
+    obs, status, cover = tables(spark)
+    out = run_analysis(obs, status, cover, windows=(3, 5), lags=(-1, 0, 2), tolerance_minutes=30, min_n=4, output=f"file://{tmp_path}/run")
+    meta = json.loads((tmp_path / "run" / "run_metadata.json").read_text())
+    assert meta["parameters"]["windows"] == [3, 5] and meta["caveats"] and set(meta["row_counts"]) == set(out)
+    # 21 grid hours, two devices of three components; every reading has its own place in its series
+    assert (meta["row_counts"]["property_drift"], meta["row_counts"]["calibration_frequency"], meta["row_counts"]["device_load"], meta["row_counts"]["component_cadence"]) == (108, 126, 42, 6)
+    for name, n in meta["row_counts"].items():
+        assert spark.read.csv(f"file://{tmp_path}/run/{name}", header=True).count() == n
+    assert all(r.t.endswith("Z") and r.t[10] == "T" for r in spark.read.csv(f"file://{tmp_path}/run/device_load", header=True).select("t").collect())
+    for bad in ((obs.limit(0), status, cover), (obs, status, cover.limit(0))):
+        with pytest.raises(ValueError):
+            run_analysis(*bad)
+
+
+def cycles(spark, n):
+    return spark.createDataFrame([(100 + k, "abc"[k % 3], 10 * k, 10 * k + 1, k % 5 != 4) for k in range(n)], "cycle long, backend string, started long, finished long, success boolean")
+
+
+def test_a_dry_run_writes_nothing(spark, tmp_path):
+    got = backfill.dry_run(spark, f"{tmp_path}/dry", cycles(spark, 20), lambda items: items.select("cycle"), batch_size=6)
+    assert got.count() == 6 and not (tmp_path / "dry").exists()
 
 
-def test_backfill_resumes(spark, tmp_path):
-    cycles = spark.createDataFrame([(k, "b", k, k, True) for k in range(5)], "cycle long, backend string, started long, finished long, success boolean")
-    root, calls = f"{tmp_path}/bf", []
+def test_backfill_goes_on_where_it_stopped(spark, tmp_path):
+    root, seen = f"{tmp_path}/bf", []
 
-    def compute(items):
-        calls.append(1)
-        if len(calls) == 2:
-            raise RuntimeError("lost")
-        return items.select("cycle", "prev")
+    def failing(after):
+        def compute(items):
+            if len(seen) == after:
+                raise ConnectionError("gone")
+            seen.append(items.count())
+            return items.select("cycle", "prev")
 
-    with pytest.raises(RuntimeError):
-        backfill.execute(spark, root, cycles, compute, batch_size=2)
+        return compute
+
+    for stop in (1, 2):
+        with pytest.raises(ConnectionError):
+            backfill.execute(spark, root, cycles(spark, 20), failing(stop), batch_size=5)
     state = backfill.runs(spark, root).first()
-    assert (state.status, state.last_sequence_no) == ("failed", 2)
-    run = backfill.execute(spark, root, cycles, compute, batch_size=2)
-    assert run == state.run_id and spark.read.parquet(f"{root}/metrics/{run}").count() == 5
+    assert (state.status, state.last_sequence_no, state.total) == ("failed", 10, 16) and "gone" in state.error
+    run = backfill.execute(spark, root, cycles(spark, 0), failing(99), batch_size=5)  # its inputs were frozen when it began
+    done = spark.read.parquet(f"{root}/metrics/{run}")
+    assert run == state.run_id and sum(seen) == 16 and done.count() == done.select("cycle").distinct().count() == 16
     assert backfill.runs(spark, root).first().status == "completed"
+
+
+def test_any_run_can_be_named(spark, tmp_path):
+    root = f"{tmp_path}/many"
+    known = [backfill.start(spark, root, cycles(spark, 3), new_run=True)[0] for _ in range(12)]
+    assert backfill.runs(spark, root).count() == 10
+    assert backfill.start(spark, root, cycles(spark, 3), run_id=known[0]) == (known[0], 0)  # older than the ten that are shown
+    with pytest.raises(LookupError):
+        backfill.start(spark, root, cycles(spark, 3), run_id="nobody")
     with pytest.raises(ValueError):
-        backfill.start(spark, root, cycles, run_id="x", new_run=True)
-    waits = []
+        backfill.start(spark, root, cycles(spark, 3), run_id=known[0], new_run=True)
+
+
+def test_retries():
+    waits, tries = [], []
+
+    def flaky():
+        tries.append(1)
+        if len(tries) < 5:
+            raise TimeoutError
+        return "ok"
+
+    assert backfill.with_retries(flaky, sleep=waits.append) == "ok" and waits == [1, 2, 4, 8]
     with pytest.raises(OSError):
-        backfill.with_retries(lambda: (_ for _ in ()).throw(OSError("down")), most=3, sleep=waits.append)
-    assert waits == [1.0, 2.0, 4.0]
+        backfill.with_retries(lambda: (_ for _ in ()).throw(OSError()), most=7, sleep=waits.append)
+    assert waits[-1] == 60
+    with pytest.raises(KeyError):
+        backfill.with_retries(lambda: {}["x"], sleep=waits.append)
