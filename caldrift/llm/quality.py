@@ -2,7 +2,7 @@
 
 A document's histograms of character classes and of common words are compared with references of several languages
 by Jensen-Shannon distance (the square root of the divergence in bits). The nearest language counts; texts too short
-for a histogram to mean anything pass by the guards.
+for a histogram to mean anything, and texts in scripts that no reference is in, pass by the guards.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ WORDS = {
 #: A document goes when its classes are farther than MOST_CLASS from every language, or when both its classes and its
 #: words are rather far (BOTH); asked from so many code points and words on.
 MOST_CLASS, BOTH, LEAST_CHARS, LEAST_WORDS = 0.26, (0.18, 0.33), 200, 100
+#: Texts with a larger share of code points beyond ASCII among their letters are in a script that no reference is in, and pass.
+OWN_SCRIPTS = 0.3
 SIGNS = np.zeros(256, bool)
 SIGNS[list(b"#*$%&|<>")] = True
 
@@ -124,6 +126,7 @@ def measures(s: T.Slice) -> dict[str, np.ndarray]:
         "n_dup_lines": np.bincount(line_doc, minlength=n) - np.bincount(distinct, minlength=n),
         "n_repeat_words": repeated(ids, doc, max(1, len(words)), n),
         "n_chars": s.per_doc(lead),
+        "beyond": kinds[:, 6] / np.maximum(1, kinds[:, [0, 1, 6]].sum(axis=1)),
         "class_distance": far_class.min(axis=1),
         "word_distance": far_word.min(axis=1),
     }
@@ -135,7 +138,7 @@ def verdicts(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     failed = (n < 50) | (100 * m["n_repeat_words"] > 50 * n)
     far = (m["n_chars"] >= LEAST_CHARS) & (m["class_distance"] > MOST_CLASS)
     far |= (m["n_chars"] >= LEAST_CHARS) & (n >= LEAST_WORDS) & (m["class_distance"] > BOTH[0]) & (m["word_distance"] > BOTH[1])
-    return failed, ~failed & ~far
+    return failed, ~failed & ~(far & (m["beyond"] <= OWN_SCRIPTS))
 
 
 def rules(docs: DataFrame) -> DataFrame:
@@ -144,7 +147,8 @@ def rules(docs: DataFrame) -> DataFrame:
 
     A narrow map over the scan. Null, empty and blank texts have no words and fail; a null doc_id stays null; repeated
     rows each give a row; other columns are ignored; an empty table gives no rows. The distances are asked from
-    LEAST_CHARS code points and LEAST_WORDS words on; shorter texts fail by the base rule or pass.
+    LEAST_CHARS code points and LEAST_WORDS words on; shorter texts, and those in other scripts, fail by the base rule or pass. Very
+    long texts are counted whole, in arrays of a few times their size.
     """
     T.bound_batches(docs.sparkSession)
 
