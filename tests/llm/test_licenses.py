@@ -1,6 +1,8 @@
 """Notices that share most words with another license's, and licenses beyond the short notices."""
 
 import pyarrow as pa
+import random
+
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -36,3 +38,28 @@ def test_named_licenses():
     found = [{scanner.names[t] for t, *_ in x} for x in scanner.scan(s)]
     assert [",".join(sorted(x)) for x in found[: len(CASES)]] == list(CASES.values())
     assert all(name in x for name, x in zip(licenses.TEMPLATES, found[len(CASES) :], strict=True))
+
+
+def test_whole_texts(spark):
+    """Long templates, with other words between and some words gone, wrapped in lines; and the alignment against the longest common run."""
+    rng = random.Random(6)
+    docs = []
+    for k, name in enumerate(("MIT-text", "ISC-text", "BSD-2-Clause-text", "BSD-3-Clause-text")):
+        words = licenses.TEMPLATES[name].split()
+        for at in sorted(rng.sample(range(40, len(words)), 8), reverse=True):
+            words[at : at + 1] = rng.choice([[], [words[at], "qqq", "zzz"]])
+        docs.append((k, "some words before\n" + "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9)) + "\nand after", name))
+    df = spark.createDataFrame(docs, "doc_id long, text string, want string")
+    got = {r.doc_id: {n.license: n.coverage for n in r.notices} for r in licenses.scan(df).collect()}
+    assert all(got[k].get(name, 0) > 0.9 for k, _, name in docs), got
+    assert "BSD-2-Clause-text" not in got[3] and "BSD-3-Clause-text" not in got[2]
+    for _ in range(300):
+        a, b = (rng.choices(range(30), k=rng.randint(0, 14)) for _ in range(2))
+        pairs = licenses.align(a, b)
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:])) and len(pairs) <= table[-1][-1]
+        if len(set(a)) == len(a) and len(set(b)) == len(b):  # with no repeated word patience finds a longest one
+            assert len(pairs) == table[-1][-1]
