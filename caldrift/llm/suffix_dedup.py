@@ -509,7 +509,9 @@ def remove_repeats(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM, sa
     known = T.materialize(grouped(docs.mapInArrow(cut, ROW)).mapInArrow(meet, ROW), "stretches")
     held = table.mapInArrow(texts, ROW)
     open_ = grouped(held.unionByName(known.where(F.col("kind") == OPEN))).mapInArrow(bytes_of_open, ROW)
-    later = grouped(open_).mapInArrow(decide, ROW)
+    # written, so that the shuffles behind it are gone before the texts are shuffled again
+    later = T.materialize(grouped(open_).mapInArrow(decide, ROW), "later")
+    T.release(spark)
     return grouped(held.unionByName(known.where(F.col("kind") == GONE)).unionByName(later)).mapInArrow(
         finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
