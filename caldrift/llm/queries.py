@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, packing, pii, piece_codec, quality, simhash, suffix_dedup, token_counts, topk
+from . import filter_audit, licenses, line_dedup, packing, pii, piece_codec, quality, simhash, suffix_dedup, token_counts, topk
 from .textops import documents
 
 
@@ -59,9 +59,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_suffix_dedup, op3_piece_codec, op4_license_scan, op5_personal_data, op6_quality_rules, op7_exact_top_k, op8_line_dedup, op9_packing, op10_simhash)
+    for f in (op1_token_counts, op2_suffix_dedup, op3_piece_codec, op4_license_scan, op5_personal_data, op6_quality_rules, op7_exact_top_k, op8_line_dedup, op9_packing, op10_simhash, op13_filter_audit)
 }
 
 ORACLES: dict[str, str] = {
@@ -76,4 +80,37 @@ ORACLES: dict[str, str] = {
           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 5""",
+    "op13_filter_audit": r"""
+        WITH docs AS (
+          SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        bits AS (
+          SELECT d.part, coalesce(l.quality, 0) = 1 AS good, coalesce(l.toxic, 0) = 1 AS toxic,
+                 [len(words) < 50, 100 * list_unique(words) < 65 * len(words),
+                  100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 5 * length(d.text), regexp_matches(d.text, '[#$%&*|]'),
+                  coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY d.text), false)] AS fails
+          FROM docs d LEFT JOIN (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS quality, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id),
+        masks AS (SELECT part, good, toxic, fails, count(*) AS n FROM bits GROUP BY ALL),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+        orders AS (
+          SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM f a, f b, f c, f d, f e
+          WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+        steps AS (
+          SELECT filter_order, CAST(step AS INTEGER) AS step, ascii(filter_order[step]) - 64 AS letter,
+                 list_transform(range(1, step), lambda k: ascii(filter_order[k]) - 64) AS before
+          FROM orders, range(1, 6) r(step)),
+        each AS (
+          SELECT part, filter_order, step, letter, n, good, toxic, fails[letter] AS fails_here,
+                 len(list_filter(before, lambda k: fails[k])) > 0 AS gone, len(list_filter(fails, lambda x: x)) = 1 AS one_only
+          FROM masks, steps),
+        sums AS (
+          SELECT part, filter_order, step, letter, CAST(sum(CASE WHEN NOT gone AND NOT fails_here THEN n ELSE 0 END) AS BIGINT) AS kept,
+                 CAST(sum(CASE WHEN NOT gone AND fails_here THEN n ELSE 0 END) AS BIGINT) AS removed,
+                 CAST(sum(CASE WHEN gone AND fails_here THEN n ELSE 0 END) AS BIGINT) AS redundant,
+                 CAST(sum(CASE WHEN fails_here AND one_only THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+                 CAST(sum(CASE WHEN NOT gone AND fails_here AND good THEN n ELSE 0 END) AS BIGINT) AS good_lost,
+                 CAST(sum(CASE WHEN NOT gone AND fails_here AND toxic THEN n ELSE 0 END) AS BIGINT) AS toxic_lost
+          FROM each GROUP BY part, filter_order, step, letter)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+        FROM sums""",
 }
