@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, licenses, line_dedup, manifest, packing, pii, piece_codec, quality, simhash, suffix_dedup, token_counts, topk
+from . import filter_audit, licenses, line_dedup, manifest, packing, page_text, pii, piece_codec, quality, simhash, suffix_dedup, token_counts, topk
 from .textops import documents
 
 
@@ -59,6 +59,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.manifest(documents(spark, sf_dir)).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", "source", "leaf_index", "tampered")
 
@@ -69,7 +73,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_suffix_dedup, op3_piece_codec, op4_license_scan, op5_personal_data, op6_quality_rules, op7_exact_top_k, op8_line_dedup, op9_packing, op10_simhash, op12_merkle_manifest, op13_filter_audit)
+    for f in (op1_token_counts, op2_suffix_dedup, op3_piece_codec, op4_license_scan, op5_personal_data, op6_quality_rules, op7_exact_top_k, op8_line_dedup, op9_packing, op10_simhash, op11_page_text, op12_merkle_manifest, op13_filter_audit)
 }
 
 ORACLES: dict[str, str] = {
