@@ -131,12 +131,12 @@ def failures(docs: DataFrame, part: str = "source") -> DataFrame:
     """doc_id, part and the mask of failures of each row.
 
     Equal texts meet by their SHA-256, only as the smallest doc_id of each that stands more than once; one text on a third of all rows is a
-    hot key of a join whose other side has one row for it, which adaptive execution splits.
+    hot key of a join whose other side has one row for it, which adaptive execution splits (that side is written first: the rows of an aggregate can't be split).
     """
     bound_batches(docs.sparkSession)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"))
     rows = materialize(read.mapInArrow(_features, FEATURES), "failures")
-    firsts = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    firsts = materialize(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"), "firsts")
     again = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
     return rows.join(firsts, "digest", "left").select("doc_id", "part", F.when(again, F.col("mask") + 16).otherwise(F.col("mask")).alias("mask"))
 
