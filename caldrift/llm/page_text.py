@@ -3,12 +3,13 @@
 1. Each page is read into a tree of its block elements, bottom-up hashed (tag, text, children's hashes), and its main region is chosen
    by the page's own marks: ``article``, else ``main``, else an element named as content, else the body; within it menus, asides, footers, forms, notices,
    adverts and reader comments are known by tag, role or name.
-2. Spark counts, for each host and subtree, the pages of different main text that hold it. Exact copies of a page count once.
-3. A subtree on ``MANY_PAGES`` pages or more outside the main region, or on half of the host's pages within it, is a template; each page's
-   templates come back to it by (host, hash), and their blocks go. The rest is joined in page order.
+2. Spark counts, for each host and subtree of the main regions, the pages of different main text that hold it. Exact copies of a page count once.
+3. A subtree on ``MANY_PAGES`` pages or more and on a share of the host's pages is a template; each page's templates come back to it by
+   (host, hash), and their blocks go. The rest is joined in page order.
 
-What recurs within an article may be the article: its paragraphs and headings are never templates, other subtrees not if they hold
-over half of the page's main text. A page without article or main has no such marks, so there any subtree may be one.
+What recurs within an article may be the article: its paragraphs, headings and list items are never templates, other subtrees not if they hold
+over half of the page's main text. A page without article or main has no such marks, so there any subtree may be one, and one without
+paragraphs or headings (a menu, a box) needs a smaller share. Pages with no subtree in question, as articles of plain paragraphs, need no join.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by one space.
 
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .textops import bound_batches, materialize
 
-#: Pages of different main text that make a subtree outside the main region a template; within it, this share of the host's too.
-MANY_PAGES, SHARE = 4, 0.5
+#: Pages of different main text that make a subtree a template, and their shares of the host's pages: of any subtree, and of one without prose on an unmarked page.
+MANY_PAGES, SHARE, BOX_SHARE = 4, 0.5, 0.1
 
 # Elements of HTML, and names that pages give to what isn't the article.
 RAW = set("script style title textarea xmp iframe noembed noframes".split())
@@ -70,8 +71,8 @@ ATTRIBUTE = re.compile(r"""(?:^|\s|["'/])(class|id|role|hidden|style)(?=[\s=/]|$
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 HOST = re.compile(r"\s*[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:\s]+)")
 
-#: A page's blocks that stay by its own marks; its subtrees as hash, range of those blocks and kind; where it stands and what it says.
-OUTSIDE, WITHIN = 0, 1
+#: A page's blocks that stay by its own marks; the subtrees among them as hash, range and kind.
+ANY, BOX = 0, 1
 PARSED = "page_id long, url string, host string, digest long, blocks array<string>, subtrees array<struct<hash: long, a: int, b: int, kind: int>>"
 SUBTREES = pa.list_(pa.struct([("hash", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("kind", pa.int32())]))
 
@@ -280,14 +281,14 @@ class Tree:
                 drop(e)
         keep = [r > 0 and g <= 0 for r, g in zip(accumulate(region), accumulate(gone), strict=True)][: len(self.blocks)]
         place = [0, *accumulate(map(int, keep))]
+        prose = [tag in PROSE for tag in self.tag]
+        for e in reversed(range(1, n)):
+            prose[self.up[e]] |= prose[e]
         subtrees = []
         for e in range(1, n):
-            if self.end[e] > self.first[e] and not inside_of[e]:
-                a, b = place[self.first[e]], place[self.end[e]]
-                if a == b:
-                    subtrees.append({"hash": self.hash[e], "a": 0, "b": 0, "kind": OUTSIDE})
-                elif not (marked and (self.tag[e] in PROSE or self.tag[e] == "li")) and not of_root[e]:
-                    subtrees.append({"hash": self.hash[e], "a": a, "b": b, "kind": WITHIN})
+            a, b = place[self.first[e]], place[max(self.first[e], self.end[e])]
+            if a < b and not inside_of[e] and not of_root[e] and not (marked and (self.tag[e] in PROSE or self.tag[e] == "li")):
+                subtrees.append({"hash": self.hash[e], "a": a, "b": b, "kind": ANY if marked or prose[e] else BOX})
         return [t for t, k in zip(self.blocks, keep, strict=True) if k], subtrees, [self.tag[e] for e in roots]
 
     def _wrappers(self, size) -> list[bool]:
@@ -381,7 +382,7 @@ def without(blocks: list[str], templates: list[dict]) -> str:
 def _join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         templates = batch.column("templates").to_pylist()
-        texts = [without(b, [t for t in found or () if t["kind"] == WITHIN]) for b, found in zip(batch.column("blocks").to_pylist(), templates, strict=True)]
+        texts = [without(b, found or []) for b, found in zip(batch.column("blocks").to_pylist(), templates, strict=True)]
         columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t or ()) for t in templates], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars", "n_templates"])
 
@@ -394,12 +395,16 @@ def templates(pages: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars and n_templates (subtrees of the page that are templates of its host) of each page."""
+    """page_id, url, text, n_chars and n_templates (subtrees of the page's main region that are templates of its host) of each page."""
     bound_batches(pages.sparkSession)
     read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     parsed = materialize(read.mapInArrow(_parse, PARSED).withColumn("no", F.monotonically_increasing_id()), "pages")
-    own = parsed.where("host IS NOT NULL").select("no", "host", F.explode("subtrees").alias("t")).select("no", "host", "t", F.col("t.hash").alias("hash"))
-    found = own.join(templates(parsed), ["host", "hash"]).where((F.col("t.kind") == OUTSIDE) | (F.col("n") >= SHARE * F.col("pages")))
-    by_page = found.groupBy("no").agg(F.collect_list("t").alias("templates"))
-    joined = parsed.select("no", "page_id", "url", "blocks").join(by_page, "no", "left").drop("no")
-    return joined.mapInArrow(_join, "page_id long, url string, text string, n_chars long, n_templates long")
+    asked = (F.size("subtrees") > 0) & F.col("host").isNotNull()
+    own = parsed.where(asked).select("no", "host", F.explode("subtrees").alias("t")).select("no", "host", "t", F.col("t.hash").alias("hash"))
+    share = F.when(F.col("t.kind") == BOX, BOX_SHARE).otherwise(SHARE)
+    by_page = own.join(templates(parsed), ["host", "hash"]).where(F.col("n") >= share * F.col("pages")).groupBy("no").agg(F.collect_list("t").alias("templates"))
+    joined = parsed.where(asked).select("no", "page_id", "url", "blocks").join(by_page, "no", "left").drop("no")
+    some = joined.mapInArrow(_join, "page_id long, url string, text string, n_chars long, n_templates long")
+    text = F.array_join("blocks", " ")
+    rest = parsed.where(~asked).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.lit(0).cast("long").alias("n_templates"))
+    return some.unionByName(rest)

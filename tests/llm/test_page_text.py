@@ -73,6 +73,14 @@ def test_templates_of_unmarked_pages(spark):
     assert got[20].text.startswith("Read all about us") and got[20].n_templates == 0
 
 
+def test_menu_of_a_section_of_a_site(spark):
+    """On unmarked pages a box without prose goes at a tenth of the host's pages, a paragraph only at half of them."""
+    rng = random.Random(4)
+    pages = [(i, f"http://a.example/{i}", f"<p>{words(rng, 12)} {i}</p>" + ("<p>A passage on some pages.</p><div><span>Go up</span></div>" if i % 5 == 0 else "")) for i in range(40)]
+    got = {r.page_id: r for r in page_text.main_text(rows(spark, pages)).collect()}
+    assert all(got[i].text.endswith("A passage on some pages." if i % 5 == 0 else f" {i}") and got[i].n_templates == (i % 5 == 0) for i in range(40))
+
+
 def test_copies_and_shared_passages_stay(spark):
     """Exact copies count once, and paragraphs of an article stay however often they recur."""
     passage = "A passage that very many articles of this host have in common, word for word."
