@@ -45,14 +45,13 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], values: list[str],
     both = left.select(*keys, time, F.lit(True).alias("is_left"), F.struct(*names).alias("l") if names else F.lit(None).alias("l"), F.lit(None).cast(one.select(picked.alias("p")).schema["p"].dataType).alias("r"))
     other = one.select(*keys, time, F.lit(False).alias("is_left"), F.lit(None).cast(both.schema["l"].dataType).alias("l"), picked.alias("r"))
     shown = lambda df: df.select(*keys, time, *[F.col(f"l.{c}").alias(c) for c in names], F.col("m.at").alias(f"{prefix}_t"), *[F.col(f"m.{v}").alias(f"{prefix}_{v}") for v in values])
+    # a frame up to the current row is read once, one from the current row on would be read anew for each row
+    seen = lambda *of: Window.partitionBy(*of).orderBy(F.desc(time) if forward else F.col(time)).rangeBetween(Window.unboundedPreceding, 0)
     if not crowded:
-        w = Window.partitionBy(*keys).orderBy(time)
-        found = F.first("r", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)) if forward else F.last("r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-        return shown(both.unionByName(other).withColumn("m", found).where("is_left"))
+        return shown(both.unionByName(other).withColumn("m", F.last("r", ignorenulls=True).over(seen(*keys))).where("is_left"))
     rows = both.unionByName(other).withColumn("stretch", F.expr(f"{time} div {STRETCH}"))
-    w = Window.partitionBy(*keys, "stretch").orderBy(time)
     over = Window.partitionBy(*keys).orderBy(F.desc("stretch") if forward else F.col("stretch")).rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.first("r", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing)) if forward else F.last("r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    inside = F.last("r", ignorenulls=True).over(seen(*keys, "stretch"))
     ends = rows.groupBy(*keys, "stretch").agg((F.min if forward else F.max)("r").alias("end"))
     carried = ends.select(*keys, "stretch", F.last("end", ignorenulls=True).over(over).alias("carried"))
     return shown(rows.withColumn("own", inside).where("is_left").join(carried, [*keys, "stretch"]).withColumn("m", F.coalesce("own", "carried")))

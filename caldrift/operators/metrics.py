@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caldrift.functions.expr import HOUR, MINUTE, ratio, rms
+from caldrift.functions.scratch import Scratch
 
+from . import ranks, sessions
 from .grid import as_of, slot
-from .series import COMPONENT, IDENTITY, anchored
+from .series import COMPONENT, IDENTITY
 
 KIND = ["backend", "component_type"]
 
@@ -26,13 +28,9 @@ def study_coverage(cycles: DataFrame) -> DataFrame:
 def concentration(freq: DataFrame) -> DataFrame:
     """How unevenly a window's events fall on a type's components, from the long form of ``frequency``."""
     keys = [*KIND, "t", "window_hours"]
-    w = Window.partitionBy(*keys)
-    ranked = (
-        freq.withColumn("total", F.sum("count").over(w))
-        .withColumn("up", F.row_number().over(w.orderBy("count", "component_id")))
-        .withColumn("down", F.row_number().over(w.orderBy(F.desc("count"), "component_id")))
-        .withColumn("n", F.count("*").over(w))
-    )
+    w = Window.partitionBy(*keys).orderBy("count", "component_id")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = freq.withColumn("up", F.row_number().over(w)).withColumn("total", F.sum("count").over(whole)).withColumn("n", F.count("*").over(whole))
     share = F.when(F.col("total") > 0, F.col("count") / F.col("total"))
     top = F.greatest(F.lit(1), F.ceil(F.col("n") * 0.1))
     out = ranked.withColumn("p", share).groupBy(*keys).agg(
@@ -42,7 +40,7 @@ def concentration(freq: DataFrame) -> DataFrame:
         F.sum(F.col("p") * F.col("p")).alias("hhi"),
         (-F.sum(F.when(F.col("p") > 0, F.col("p") * F.log(F.when(F.col("p") > 0, F.col("p")))).otherwise(F.when(F.col("p").isNotNull(), 0.0)))).alias("entropy"),
         F.max("p").alias("top_share"),
-        F.sum(F.when(F.col("down") <= top, F.col("p"))).alias("top_decile_share"),
+        F.sum(F.when(F.col("n") - F.col("up") < top, F.col("p"))).alias("top_decile_share"),
         F.sum((2 * F.col("up") - F.col("n") - 1) * F.col("count")).alias("weighted"),
         F.avg("count").alias("mean"),
         F.stddev_samp("count").alias("sd"),
@@ -74,39 +72,38 @@ def _ages(events: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys, "t", ((F.col("t") - F.col("last_t")) / F.lit(float(HOUR))).alias("age"))
 
 
+AGE_QUANTILES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+
+
 def timing_discrepancy(events: DataFrame, grid: DataFrame, thresholds: list[int]) -> DataFrame:
-    """Spread of the components' ages at each grid time."""
+    """Spread of the components' ages at each grid time; quantiles, gaps and Gini are read off the ages' ranks."""
     keys = [*KIND, "t"]
-    ages = _ages(events, grid, COMPONENT)
-    w = Window.partitionBy(*keys)
-    ranked = ages.withColumn("up", F.row_number().over(w.orderBy(F.asc_nulls_last("age"), "component_id"))).withColumn("known", F.count("age").over(w)).withColumn("med", F.expr("percentile(age, 0.5D)").over(w))
-    out = ranked.groupBy(*keys).agg(
-        F.count("*").alias("component_count"),
-        F.count("age").alias("known_count"),
-        F.avg("age").alias("age_mean_hours"),
-        F.expr("percentile(age, array(0.1D, 0.25D, 0.5D, 0.75D, 0.9D))").alias("q"),
-        F.stddev_samp("age").alias("age_std_hours"),
-        F.expr("percentile(abs(age - med), 0.5D)").alias("age_mad_hours"),
-        (F.max("age") - F.min("age")).alias("age_range_hours"),
-        F.sum((2 * F.col("up") - F.col("known") - 1) * F.col("age")).alias("weighted"),
-        F.sum("age").alias("total"),
-        *[F.avg(F.when(F.col("age").isNotNull(), F.when(F.col("age") > h, 1.0).otherwise(0.0))).alias(f"fraction_age_gt_{h}h") for h in thresholds],
-    )
-    n, q = F.col("known_count"), F.col("q")
-    return out.select(
-        *keys,
+    scratch = Scratch(events.sparkSession)
+    ages = scratch.write(_ages(events, grid, COMPONENT).select(*keys, "age"), "ages")
+    values = scratch.write(ranks.cumulative(ages, keys, "age"), "ranks")
+    picks, quantiles = ranks.at_quantiles(AGE_QUANTILES)
+    n, x = F.col("n"), F.col("value")
+    known = values.groupBy("g").agg(
+        F.max("total").alias("total"), (F.sum(n * x) / F.sum("n")).alias("mean"), F.sum(n * x).alias("sum"), (F.max("value") - F.min("value")).alias("range"), ranks.weighted_by_rank().alias("weighted"), *picks,
+        *[(F.sum(F.when(x > h, n).otherwise(0)) / F.sum("n")).alias(f"fraction_age_gt_{h}h") for h in thresholds],
+    ).select("g", F.col("total").alias("known"), "mean", "sum", "range", "weighted", *quantiles, *[f"fraction_age_gt_{h}h" for h in thresholds])
+    both = ranks.spread(values, known, "p50", "mean")
+    cells = ages.groupBy(ranks.group(keys).alias("g")).agg(F.count("*").alias("component_count"))
+    known_count = F.coalesce("known", F.lit(0))
+    return cells.join(both, "g", "left").select(
+        "g.*",
         "component_count",
-        "known_count",
-        ratio(n, F.col("component_count")).alias("known_fraction"),
-        "age_mean_hours",
-        q[2].alias("age_median_hours"),
-        "age_std_hours",
-        "age_mad_hours",
-        (q[3] - q[1]).alias("age_iqr_hours"),
-        (q[4] - q[0]).alias("age_p90_p10_hours"),
-        "age_range_hours",
-        F.when(n == 1, 0.0).otherwise(ratio(2 * F.col("weighted"), n * (n - 1))).alias("mean_pairwise_age_gap_hours"),
-        F.when(n > 0, F.coalesce(ratio(F.col("weighted"), n * F.col("total")), F.lit(0.0))).alias("age_gini"),
+        known_count.alias("known_count"),
+        ratio(known_count, F.col("component_count")).alias("known_fraction"),
+        F.col("mean").alias("age_mean_hours"),
+        F.col("p50").alias("age_median_hours"),
+        F.sqrt(ratio(F.col("squares"), F.col("known") - 1)).alias("age_std_hours"),
+        F.col("mad").alias("age_mad_hours"),
+        (F.col("p75") - F.col("p25")).alias("age_iqr_hours"),
+        (F.col("p90") - F.col("p10")).alias("age_p90_p10_hours"),
+        F.col("range").alias("age_range_hours"),
+        F.when(F.col("known") == 1, 0.0).otherwise(ratio(2 * F.col("weighted"), F.col("known") * (F.col("known") - 1))).alias("mean_pairwise_age_gap_hours"),
+        F.when(F.col("known") > 0, F.coalesce(ratio(F.col("weighted"), F.col("known") * F.col("sum")), F.lit(0.0))).alias("age_gini"),
         *[f"fraction_age_gt_{h}h" for h in thresholds],
     )
 
@@ -160,12 +157,20 @@ def cadence(events: DataFrame, coverage: DataFrame) -> DataFrame:
     )
 
 
+def episodes(events: DataFrame, coverage: DataFrame, tolerance_minutes: int = 15) -> DataFrame:
+    """The events within the study with the ``anchor`` and ``number`` of their episode: events of any component of a type within the tolerance of an anchor.
+
+    The events are written first; a type's times, of which a device may have very many in a row, are anchored by jump pointers.
+    """
+    inside = Scratch(events.sparkSession).write(in_study(events, coverage).where("in_study_period"), "events")
+    return sessions.dense(inside, KIND, "t", tolerance_minutes * MINUTE)
+
+
 def synchrony(events: DataFrame, coverage: DataFrame, tolerance_minutes: int = 15) -> DataFrame:
     """Episodes: events of any component of a type within the tolerance of an anchor."""
     universe = events.groupBy(*KIND).agg(F.countDistinct("component_id").alias("component_count"))
-    inside = in_study(events, coverage).where("in_study_period")
     return (
-        anchored(inside, KIND, "t", tolerance_minutes * MINUTE).groupBy(*KIND, F.col("number").alias("episode_number"))
+        episodes(events, coverage, tolerance_minutes).groupBy(*KIND, F.col("number").alias("episode_number"))
         .agg(
             F.min("t").alias("episode_start"),
             F.max("t").alias("episode_end"),
@@ -184,22 +189,31 @@ def synchrony(events: DataFrame, coverage: DataFrame, tolerance_minutes: int = 1
 def property_summary(drift: DataFrame, coverage: DataFrame) -> DataFrame:
     """Values and drift of each component's properties within the study; a null unit is a group of its own."""
     keys = [*COMPONENT, "property_name", "unit"]
-    inside = in_study(drift, coverage).where("in_study_period")
-    w = Window.partitionBy(*keys)
-    out = inside.withColumn("med", F.expr("percentile(value, 0.5D)").over(w)).groupBy(*keys).agg(
+    scratch = Scratch(drift.sparkSession)
+    inside = scratch.write(in_study(drift, coverage).where("in_study_period").select(*keys, "value", "drift_score", "symmetric_relative_change"), "within")
+    sums = inside.groupBy(ranks.group(keys).alias("key")).agg(
         F.count("value").alias("calibration_value_count"),
         F.avg("value").alias("value_mean"),
-        F.expr("percentile(value, 0.5D)").alias("value_median"),
         F.stddev_samp("value").alias("value_std"),
-        F.expr("percentile(abs(value - med), 0.5D)").alias("value_mad"),
         F.min("value").alias("value_min"),
         F.max("value").alias("value_max"),
         F.count("drift_score").alias("drift_observation_count"),
         F.avg("drift_score").alias("drift_mean"),
         rms(F.col("drift_score")).alias("drift_rms"),
-        F.expr("percentile(drift_score, 0.9D)").alias("drift_p90"),
         F.max("drift_score").alias("drift_max"),
-        F.expr("percentile(symmetric_relative_change, 0.5D)").alias("symmetric_relative_drift_median"),
+    )
+    # the three quantities whose quantiles are asked for, in one scan
+    measures = {"value": ("value_median", 0.5), "drift_score": ("drift_p90", 0.9), "symmetric_relative_change": ("symmetric_relative_drift_median", 0.5)}
+    long = inside.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in measures])).alias("m")).select(*keys, "m.measure", "m.x")
+    values = scratch.write(ranks.cumulative(long, [*keys, "measure"], "x"), "ranks")
+    picks, quantiles = ranks.at_quantiles({"median": 0.5, "p90": 0.9})
+    found = values.groupBy("g").agg(F.max("total").alias("total"), *picks).select("g", *quantiles, F.lit(0.0).alias("zero"))
+    apart = ranks.spread(values.where("g.measure = 'value'"), found.where("g.measure = 'value'"), "median", "zero").select("g", F.col("mad").alias("value_mad"))
+    key = F.struct(*[F.col(f"g.{k}").alias(k) for k in keys])
+    pick = lambda m, q: F.max(F.when(F.col("g.measure") == m, F.col("p90" if q == 0.9 else "median")))
+    wide = found.join(apart, "g", "left").groupBy(key.alias("key")).agg(*[pick(m, q).alias(name) for m, (name, q) in measures.items()], F.max("value_mad").alias("value_mad"))
+    out = sums.join(wide, "key", "left").select(
+        "key.*", "calibration_value_count", "value_mean", "value_median", "value_std", "value_mad", "value_min", "value_max", "drift_observation_count", "drift_mean", "drift_rms", "drift_p90", "drift_max", "symmetric_relative_drift_median"
     )
     return out.withColumn("value_cv", F.when((F.col("calibration_value_count") >= 2) & (F.col("value_mean") != 0), F.col("value_std") / F.abs("value_mean")))
 
@@ -245,8 +259,10 @@ def grid_outcomes(events: DataFrame, grid: DataFrame, grid_minutes: int = 60) ->
     found = events.withColumn("slot", slot("t", grid_minutes)).groupBy(*KIND, F.col("slot").alias("t")).agg(
         F.count("*").alias("n"), F.countDistinct("component_id").alias("m"), F.count("drift_rms").alias("k"), F.avg("drift_rms").alias("drift_mean"), rms(F.col("drift_rms")).alias("drift_rms"), F.max("drift_rms").alias("drift_max")
     )
-    types = events.where("component_type is not null").select("component_type").distinct()
-    cells = grid.select("backend", "t", F.lit(1).alias("one")).join(types.withColumn("one", F.lit(1)), "one").drop("one")
+    # types and backends, both few and distinct, meet first; the grid then finds its types by backend
+    types = events.where("component_type is not null").select("component_type").distinct().withColumn("one", F.lit(1))
+    kinds = grid.select("backend").distinct().withColumn("one", F.lit(1)).join(types, "one").drop("one")
+    cells = grid.select("backend", "t").join(kinds, "backend")
     return cells.join(found, [*KIND, "t"], "left").select(
         *KIND, "t", F.coalesce("n", F.lit(0)).alias("calibration_event_count"), F.coalesce("m", F.lit(0)).alias("calibrated_component_count"), F.coalesce("k", F.lit(0)).alias("drift_event_count"), "drift_mean", "drift_rms", "drift_max"
     )
@@ -254,15 +270,12 @@ def grid_outcomes(events: DataFrame, grid: DataFrame, grid_minutes: int = 60) ->
 
 def gini(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Null for no values or a negative one; 0 where they sum to 0."""
-    w = Window.partitionBy(*keys)
-    x = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("x")).withColumn("i", F.row_number().over(w.orderBy("x"))).withColumn("n", F.count("*").over(w))
-    out = x.groupBy(*keys).agg(F.sum((2 * F.col("i") - F.col("n") - 1) * F.col("x")).alias("s"), F.max("n").alias("n"), F.sum("x").alias("t"), F.min("x").alias("least"))
-    return out.select(*keys, F.when(F.col("least") < 0, None).when(F.col("t") == 0, 0.0).otherwise(ratio(F.col("s"), F.col("n") * F.col("t"))).alias("gini"))
+    x = F.col("value")
+    out = ranks.cumulative(df, keys, value).groupBy("g").agg(ranks.weighted_by_rank().alias("s"), F.max("total").alias("n"), F.sum(F.col("n") * x).alias("t"), F.min("value").alias("least"))
+    return out.select("g.*", F.when(F.col("least") < 0, None).when(F.col("t") == 0, 0.0).otherwise(ratio(F.col("s"), F.col("n") * F.col("t"))).alias("gini"))
 
 
 def pairwise_gap(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean absolute difference of all pairs, from ranks: no pair is formed."""
-    w = Window.partitionBy(*keys)
-    x = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("x")).withColumn("i", F.row_number().over(w.orderBy("x"))).withColumn("n", F.count("*").over(w))
-    out = x.groupBy(*keys).agg(F.sum((2 * F.col("i") - F.col("n") - 1) * F.col("x")).alias("s"), F.max("n").alias("n"))
-    return out.select(*keys, F.when(F.col("n") == 1, 0.0).otherwise(ratio(2 * F.col("s"), F.col("n") * (F.col("n") - 1))).alias("gap"))
+    out = ranks.cumulative(df, keys, value).groupBy("g").agg(ranks.weighted_by_rank().alias("s"), F.max("total").alias("n"))
+    return out.select("g.*", F.when(F.col("n") == 1, 0.0).otherwise(ratio(2 * F.col("s"), F.col("n") * (F.col("n") - 1))).alias("gap"))

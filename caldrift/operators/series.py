@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caldrift.functions.expr import HOUR, MINUTE, quality_direction, ratio, rms
+from caldrift.functions.scratch import Scratch
+
+from . import ranks
 
 IDENTITY = ["backend", "component_type", "component_id", "property_key"]
 COMPONENT = ["backend", "component_type", "component_id"]
@@ -31,20 +34,24 @@ def latest_observation(obs: DataFrame) -> DataFrame:
 
 
 def robust_scale(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, scale): 1.4826 MAD; if tiny IQR/1.349; if tiny the sample deviation; if tiny a billionth of the median."""
-    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("x"))
-    first = known.groupBy(*keys).agg(
-        F.expr("percentile(x, array(0.25D, 0.5D, 0.75D))").alias("q"), F.stddev_samp("x").alias("sd"), F.count("*").alias("n")
-    )
-    mad = known.join(first.select(*keys, F.col("q")[1].alias("med")), keys).groupBy(*keys).agg(F.expr("percentile(abs(x - med), 0.5D)").alias("mad"))
-    iqr = (F.col("q")[2] - F.col("q")[0]) / 1.349
+    """(keys, scale): 1.4826 MAD; if tiny IQR/1.349; if tiny the sample deviation; if tiny a billionth of the median.
+
+    Exact, from the distinct values' ranks (``ranks``), which are written: no buffer grows with a property's observations, and what
+    ``df`` comes from is computed once for all of it.
+    """
+    values = Scratch(df.sparkSession).write(ranks.cumulative(df, keys, value), "changes")
+    picks, quartiles = ranks.at_quantiles({"lower": 0.25, "med": 0.5, "upper": 0.75})
+    first = values.groupBy("g").agg(F.max("total").alias("total"), (F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("mean"), *picks).select("g", F.col("total").alias("n"), "mean", *quartiles)
+    both = ranks.spread(values, first, "med", "mean")
+    iqr = (F.col("upper") - F.col("lower")) / 1.349
+    sd = F.sqrt(F.try_divide(F.col("squares"), (F.col("n") - 1).cast("double")))
     scale = (
         F.when(1.4826 * F.col("mad") > TINY, 1.4826 * F.col("mad"))
         .when((F.col("n") >= 2) & (iqr > TINY), iqr)
-        .when((F.col("n") >= 2) & (F.col("sd") > TINY), F.col("sd"))
-        .otherwise(F.greatest(F.abs(F.col("q")[1]) * 1e-9, F.lit(TINY)))
+        .when((F.col("n") >= 2) & (sd > TINY), sd)
+        .otherwise(F.greatest(F.abs("med") * 1e-9, F.lit(TINY)))
     )
-    return first.join(mad, keys).select(*keys, scale.alias("scale"))
+    return both.select(*[F.col(f"g.{k}").alias(k) for k in keys], scale.alias("scale"))
 
 
 def property_drift(obs: DataFrame) -> DataFrame:
@@ -100,8 +107,9 @@ def anchored(df: DataFrame, keys: list[str], time: str, tolerance_us: int) -> Da
     """``df`` with ``anchor`` and ``number``: a session begins when a time is more than the tolerance after its anchor, the
     session's first time, which doesn't slide.
 
-    A time more than the tolerance after the one before it always begins a session, so each key's distinct times are first cut
-    there; only within such a chain are they folded, and rows find theirs by an equi-join.
+    For keys with few times in a dense run each, as a component's: each key's distinct times are cut where a time is more than the tolerance after the
+    one before it, which always begins a session; only such a run is folded, and rows find theirs by an equi-join. ``sessions.dense``
+    is for the others.
     """
     empty = F.expr("cast(array() as array<struct<at: bigint, anchor: bigint, number: int>>)")
     step = lambda acc, x: F.concat(acc, F.array(_next(F.try_element_at(acc, F.lit(-1)), x, tolerance_us)))

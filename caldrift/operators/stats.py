@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from caldrift.functions.expr import ratio
 from caldrift.functions.pvalues import normal_p, student_p
+from caldrift.functions.scratch import Scratch
+
+from . import ranks
 
 
 def finite(c: Column) -> Column:
@@ -25,26 +28,36 @@ def pairs(df: DataFrame, groups: list[str], outcomes: list[str], predictors: lis
     return df.select(*groups, F.explode(F.array(*cells)).alias("c")).select(*groups, "c.*")
 
 
+def ranked(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """``df`` with the average ranks of columns within the keys' groups: {column: name of its rank}. Null and NaN have none.
+
+    Ranks are of distinct values and written, so a value that many rows share is one row of a table whose size the optimizer knows, and its
+    join can be broadcast or split.
+    """
+    scratch = Scratch(df.sparkSession)
+    for c, name in columns.items():
+        of = scratch.write(ranks.average_ranks(ranks.cumulative(df, keys, c)), f"ranks-of-{c}")
+        df = df.withColumn("caldrift_key", ranks.group(keys)).join(of.select(F.col("g").alias("caldrift_key"), F.col("value").alias(c), F.col("rank").alias(name)), ["caldrift_key", c], "left").drop("caldrift_key")
+    return df
+
+
 def correlations(df: DataFrame, groups: list[str], outcomes: list[str], predictors: list[str], min_n: int = 8) -> DataFrame:
-    """Pearson and Spearman for every group, outcome and predictor: from moments, and moments of average ranks."""
+    """Pearson and Spearman for every group, outcome and predictor: from moments, and moments of average ranks.
+
+    The pairs are written once; a group's ranks are a prefix scan (``ranks``), so groups may be few and large.
+    """
     keys = [*groups, "outcome", "predictor"]
-    long = pairs(df, groups, outcomes, predictors)
-    whole = long.select(*keys).distinct()
+    long = Scratch(df.sparkSession).write(pairs(df, groups, outcomes, predictors), "pairs")
     full = long.where("x IS NOT NULL AND y IS NOT NULL")
-
-    def ranked(c: str) -> Column:
-        w = Window.partitionBy(*keys).orderBy(c)
-        return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*keys, c)) - 1) / 2.0
-
-    spearman = full.withColumn("rx", ranked("x")).withColumn("ry", ranked("y")).select(*keys, F.col("rx").alias("x"), F.col("ry").alias("y"))
+    spearman = ranked(full, keys, {"x": "rx", "y": "ry"}).select(*keys, F.col("rx").alias("x"), F.col("ry").alias("y"))
     both = full.select(*keys, "x", "y", F.lit("pearson").alias("method")).unionByName(spearman.withColumn("method", F.lit("spearman")))
-    out = both.groupBy(*keys, "method").agg(
+    out = both.groupBy(ranks.group(keys).alias("g"), "method").agg(
         F.count("*").alias("n"), F.covar_pop("x", "y").alias("c"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
     )
     varies = (F.col("n") >= min_n) & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
-    methods = whole.withColumn("method", F.explode(F.array(F.lit("pearson"), F.lit("spearman"))))
-    return methods.join(out, [*keys, "method"], "left").select(
-        *keys, "method", F.coalesce("n", F.lit(0)).alias("sample_count"), F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(F.col("c"), F.col("sx") * F.col("sy"))))).alias("correlation")
+    methods = long.select(ranks.group(keys).alias("g")).distinct().withColumn("method", F.explode(F.array(F.lit("pearson"), F.lit("spearman"))))
+    return methods.join(out, ["g", "method"], "left").select(
+        "g.*", "method", F.coalesce("n", F.lit(0)).alias("sample_count"), F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(F.col("c"), F.col("sx") * F.col("sy"))))).alias("correlation")
     )
 
 
@@ -56,13 +69,14 @@ def with_p(df: DataFrame, families: list[str] | None = None) -> DataFrame:
 
 
 def benjamini_hochberg(df: DataFrame, p: str, out: str, families: list[str]) -> DataFrame:
-    """Adjusted values within each family: the running minimum, from the largest p on, of p times count over rank."""
-    fam = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in families] or [F.lit(0)]
-    w = Window.partitionBy(*fam, F.col(p).isNull())
-    named = df.withColumn("bh_rank", F.row_number().over(w.orderBy(p))).withColumn("bh_n", F.count("*").over(w))
-    raw = F.col(p) * F.col("bh_n") / F.col("bh_rank")
-    down = w.orderBy("bh_rank").rowsBetween(0, Window.unboundedFollowing)
-    return named.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.min(raw).over(down))))).drop("bh_rank", "bh_n")
+    """Adjusted values within each family: the running minimum, from the largest p on, of p times count over rank.
+
+    Both the rank and the minimum are scans in two levels over a family's distinct values (``ranks``), so a family may be the whole table.
+    """
+    family = ranks.group(families).alias("caldrift_key")
+    values = Scratch(df.sparkSession).write(ranks.cumulative(df, families, p), "p-values")
+    found = ranks.adjusted(values).select(F.col("g").alias("caldrift_key"), F.col("value").alias("bh_p"), F.col("adjusted").alias(out))
+    return df.select("*", family, F.nanvl(F.col(p).cast("double"), F.lit(None)).alias("bh_p")).join(found, ["caldrift_key", "bh_p"], "left").drop("caldrift_key", "bh_p")
 
 
 def lagged(df: DataFrame, groups: list[str], time: str, value: str, steps: Sequence[int]) -> DataFrame:
@@ -73,9 +87,21 @@ def lagged(df: DataFrame, groups: list[str], time: str, value: str, steps: Seque
 
 
 def demeaned(df: DataFrame, groups: list[str], entity: str, time: str, columns: list[str]) -> DataFrame:
-    """Balanced panels: each value less its entity's and time's mean, plus the whole mean."""
-    we, wt, w = Window.partitionBy(*groups, entity), Window.partitionBy(*groups, time), Window.partitionBy(*groups)
-    return df.select("*", *[(F.col(c) - F.avg(c).over(we) - F.avg(c).over(wt) + F.avg(c).over(w)).alias(f"{c}_within") for c in columns])
+    """Balanced panels: each value less its entity's and time's mean, plus the whole mean.
+
+    Means are aggregates by key of the panel, written once, and joined back: its rows are dealt by entity or time, or stay where they are when the
+    means are small.
+    """
+    return _demeaned(Scratch(df.sparkSession).write(df, "panel"), groups, entity, time, columns)
+
+
+def _demeaned(df: DataFrame, groups: list[str], entity: str, time: str, columns: list[str]) -> DataFrame:
+    out = df
+    for mark, keys in (("e", [*groups, entity]), ("t", [*groups, time]), ("w", groups)):
+        means = df.groupBy(ranks.group(keys).alias("caldrift_key")).agg(*[F.avg(c).alias(f"{c}_{mark}_mean") for c in columns])
+        out = out.withColumn("caldrift_key", ranks.group(keys)).join(means, "caldrift_key").drop("caldrift_key")
+    within = [(F.col(c) - F.col(f"{c}_e_mean") - F.col(f"{c}_t_mean") + F.col(f"{c}_w_mean")).alias(f"{c}_within") for c in columns]
+    return out.select(*df.columns, *within)
 
 
 def cluster_meat(df: DataFrame, groups: list[str], cluster: str, score: str) -> DataFrame:
@@ -89,8 +115,9 @@ def two_way_balanced(df: DataFrame, groups: list[str], entity: str, time: str, y
     Means in one step are right for full panels only: a group in which an entity lacks a time, or has one twice, has null results
     (``two_way`` finds them).
     """
-    own = df.where(F.col(y).isNotNull() & F.col(x).isNotNull())
-    d = demeaned(own, groups, entity, time, [y, x]).select(*groups, entity, time, F.col(f"{y}_within").alias("yw"), F.col(f"{x}_within").alias("xw"))
+    scratch = Scratch(df.sparkSession)
+    own = scratch.write(df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*groups, entity, time, y, x), "panel")
+    d = _demeaned(own, groups, entity, time, [y, x]).select(*groups, entity, time, F.col(f"{y}_within").alias("yw"), F.col(f"{x}_within").alias("xw"))
     sums = d.groupBy(*groups).agg(F.count("*").alias("n"), F.countDistinct(entity).alias("entities"), F.countDistinct(time).alias("times"), F.sum(F.col("xw") * F.col("xw")).alias("sxx"), F.sum(F.col("xw") * F.col("yw")).alias("sxy"), F.sum(F.col("yw") * F.col("yw")).alias("syy"))
     cells = own.groupBy(*groups, entity, time).agg(F.count("*").alias("k")).groupBy(*groups).agg(F.max("k").alias("most"), F.count("*").alias("cells"))
     full = (F.col("most") == 1) & (F.col("cells") == F.col("entities") * F.col("times"))
@@ -105,58 +132,72 @@ def two_way_balanced(df: DataFrame, groups: list[str], entity: str, time: str, y
     )
 
 
-def residualize(values: np.ndarray, entity: np.ndarray, time: np.ndarray, tolerance: float = 1e-12, most: int = 100) -> np.ndarray:
-    """Entity and time means taken out in turn until they no longer move."""
-    out = values.astype(float).copy()
-    ne, nt = np.bincount(entity), np.bincount(time)
-    for _ in range(most):
-        before = out.copy()
-        out -= (np.bincount(entity, out) / ne)[entity]
-        out -= (np.bincount(time, out) / nt)[time]
-        if np.abs(out - before).max(initial=0.0) <= tolerance:
-            break
-    return out
-
-
-FE_SCHEMA = "n long, entities long, times long, coefficient double, standard_error double, within_r2 double"
-
-
-def fe_fit(y: np.ndarray, x: np.ndarray, entity: np.ndarray, time: np.ndarray, min_n: int = 8) -> tuple:
-    """Slope, error and within R2 of one panel, balanced or not; nulls where it isn't defined."""
-    good = np.isfinite(y) & np.isfinite(x)
-    y, x = y[good], x[good]
-    e, t = np.unique(entity[good], return_inverse=True)[1], np.unique(time[good], return_inverse=True)[1]
-    n, ne, nt = len(y), len(set(e.tolist())), len(set(t.tolist()))
-    none = (n, ne, nt, None, None, None)
-    if n < min_n or ne < 2 or nt < 2 or np.ptp(y) == 0 or np.ptp(x) == 0:
-        return none
-    yw, xw = residualize(y, e, t), residualize(x, e, t)
-    sxx = float(xw @ xw)
-    if sxx <= 1e-12:
-        return none
-    slope = float(xw @ yw) / sxx
-    u = yw - slope * xw
-    score = xw * u
-    meat = lambda k: float((np.bincount(k, score) ** 2).sum())
-    variance = (meat(e) + meat(t) - float((score**2).sum())) / sxx**2
-    sst = float(yw @ yw)
-    return n, ne, nt, slope, float(np.sqrt(variance)) if variance > 0 else None, 1 - float(u @ u) / sst if sst > 0 else None
+#: Alternations in one written round of ``projected``.
+ALTERNATIONS = 4
+
+
+def projected(rows: DataFrame, scratch: Scratch, tolerance: float = 1e-12, most: int = 100) -> DataFrame:
+    """``rows`` (g, e, t, y, x) with yw and xw: y and x less the entity effects (by e) and time effects (by t) of their panel g.
+
+    Alternating projections on the effects: an entity's is the mean of what the times leave, a time's the mean of what the entities leave. Only the effects,
+    a row for each entity and time, go from round to round, written; rows stay as they are and meet them by key. It ends when no effect of a round of
+    ``ALTERNATIONS`` has moved by more than the tolerance, in deviations of its panel, or after ``most``.
+    """
+    columns = ["y", "x"]
+
+    def means(by: str, of: DataFrame, less: list[str]) -> DataFrame:
+        return of.groupBy("g", by).agg(*[F.avg(F.col(c) - F.col(f"{c}_{k}") if k else F.col(c)).alias(f"{c}_{by}") for c in columns for k in (less or [None])])
+
+    size = rows.groupBy("g").agg(*[F.stddev_pop(c).alias(f"{c}_size") for c in columns])
+    times = None
+    for done in range(ALTERNATIONS, most + ALTERNATIONS, ALTERNATIONS):
+        now = times
+        for k in range(ALTERNATIONS):
+            left = rows if now is None else rows.join(now.drop("g"), "t")
+            entities = means("e", left, ["t"] if now is not None else [])
+            if k == ALTERNATIONS - 1:
+                entities = scratch.write(entities, f"entities-{done}")
+            now = means("t", rows.join(entities.drop("g"), "e"), ["e"])
+        now = scratch.write(now, f"times-{done}")
+        if times is not None:
+            before = times.select("t", *[F.col(f"{c}_t").alias(f"{c}_before") for c in columns])
+            moved = now.join(before, "t").join(size, "g")
+            far = [F.max(F.abs(F.col(f"{c}_t") - F.col(f"{c}_before")) / F.when(F.col(f"{c}_size") > 0, F.col(f"{c}_size"))) for c in columns]
+            if (moved.agg(F.greatest(F.coalesce(far[0], F.lit(0.0)), F.coalesce(far[1], F.lit(0.0))).alias("far")).first().far or 0.0) <= tolerance:
+                times = now
+                break
+        times = now
+    return rows.join(entities.drop("g"), "e").join(times.drop("g"), "t").select("g", "e", "t", *columns, *[(F.col(c) - F.col(f"{c}_e") - F.col(f"{c}_t")).alias(f"{c}w") for c in columns])
 
 
 def two_way(df: DataFrame, groups: list[str], entity: str, time: str, outcomes: list[str], predictors: list[str], min_n: int = 8) -> DataFrame:
     """Fixed effects of every group, outcome and predictor, a row for each, also where undefined; panels needn't be balanced.
 
-    A grouped map: a panel is one device type's grid, of bounded size. p by the normal tail, 95 % bounds by 1.96 errors.
+    All panels are projected together (``projected``); slope, clustered errors and R2 are sums by panel, entity and time. p by the normal tail, 95 % bounds
+    by 1.96 errors. Rows with a null or non-finite y or x take no part.
     """
     keys = [*groups, "outcome", "predictor"]
-    long = pairs(df, [*groups, entity, time], outcomes, predictors)
-    fields = {f.name: f.dataType.simpleString() for f in long.schema.fields}
-
-    def fit(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        got = fe_fit(rows["y"].to_numpy(float), rows["x"].to_numpy(float), rows[entity].to_numpy(), rows[time].to_numpy(), min_n)
-        return pd.DataFrame([(*key, *got)], columns=[*keys, *[c.split()[0] for c in FE_SCHEMA.split(", ")]])
-
-    out = long.groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {fields[k]}" for k in keys) + ", " + FE_SCHEMA)
+    scratch = Scratch(df.sparkSession)
+    long = scratch.write(pairs(df, [*groups, entity, time], outcomes, predictors), "pairs")
+    g = ranks.group(keys)
+    rows = scratch.write(long.where("x IS NOT NULL AND y IS NOT NULL").select(g.alias("g"), F.struct(g, F.col(entity)).alias("e"), F.struct(g, F.col(time)).alias("t"), "y", "x"), "rows")
+    within = scratch.write(projected(rows, scratch), "within")
+    xw, yw = F.col("xw"), F.col("yw")
+    sums = within.groupBy("g").agg(
+        F.count("*").alias("n"), F.count_distinct("e").alias("entities"), F.count_distinct("t").alias("times"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x").alias("x0"), F.max("x").alias("x1"),
+        F.sum(xw * xw).alias("sxx"), F.sum(xw * yw).alias("sxy"), F.sum(yw * yw).alias("syy"))
+    defined = (F.col("n") >= min_n) & (F.col("entities") >= 2) & (F.col("times") >= 2) & (F.col("y1") > F.col("y0")) & (F.col("x1") > F.col("x0")) & (F.col("sxx") > 1e-12)
+    slope = sums.select("g", "n", "entities", "times", "sxx", "syy", F.when(defined, F.col("sxy") / F.when(defined, F.col("sxx"))).alias("coefficient"))
+    scores = within.join(slope.select("g", "coefficient"), "g").withColumn("u", yw - F.col("coefficient") * xw).withColumn("score", xw * F.col("u"))
+    by_entity = cluster_meat(scores, ["g"], "e", "score").withColumnRenamed("meat", "m_entity")
+    by_time = cluster_meat(scores, ["g"], "t", "score").withColumnRenamed("meat", "m_time")
+    white = scores.groupBy("g").agg(F.sum(F.col("score") * F.col("score")).alias("m_white"), F.sum(F.col("u") * F.col("u")).alias("ssr"))
+    variance = ratio(F.col("m_entity") + F.col("m_time") - F.col("m_white"), F.col("sxx") * F.col("sxx"))
+    error = F.when(F.col("v") > 0, F.sqrt(F.when(F.col("v") > 0, F.col("v"))))
+    fits = slope.join(by_entity, "g").join(by_time, "g").join(white, "g").withColumn("v", variance)
+    fits = fits.select("g", "n", "entities", "times", "coefficient", error.alias("standard_error"), F.when((F.col("syy") > 0) & F.col("coefficient").isNotNull(), 1 - ratio(F.col("ssr"), F.col("syy"))).alias("within_r2"))
+    count = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "entities", "times")]
+    out = long.select(g.alias("g")).distinct().join(fits, "g", "left").select("g.*", *count, "coefficient", "standard_error", "within_r2")
     z = ratio(F.col("coefficient"), F.col("standard_error"))
     return out.withColumn("p_value", F.when(z.isNotNull(), normal_p(z))).withColumn("ci_low", F.col("coefficient") - 1.96 * F.col("standard_error")).withColumn("ci_high", F.col("coefficient") + 1.96 * F.col("standard_error"))
 

@@ -107,14 +107,18 @@ def edge_degrees(edges: DataFrame) -> DataFrame:
     return edges.join(left, ["backend", "a"]).join(right, ["backend", "b"]).select("backend", F.concat_ws("-", "a", "b").alias("component_id"), "a", "b", (F.col("da") + F.col("db")).alias("degree_sum"), F.greatest("da", "db").alias("degree_max"), F.least("da", "db").alias("degree_min"))
 
 
-def betweenness_of(edges: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
-    """Share of all pairs' shortest paths over each edge, by one breadth-first search and back-propagation from each node."""
+#: Tasks among which the searches of one device's graph are dealt.
+SHARDS = 64
+
+
+def flows_of(edges: list[tuple[int, int]], roots: list[int]) -> dict[tuple[int, int], float]:
+    """What the shortest paths from some roots to all nodes carry over each edge: a breadth-first search and back-propagation from each root."""
     near: dict[int, list[int]] = {}
     for a, b in edges:
         near.setdefault(a, []).append(b)
         near.setdefault(b, []).append(a)
     out = dict.fromkeys(((min(e), max(e)) for e in edges), 0.0)
-    for root in near:
+    for root in roots:
         depth, paths, order, queue = {root: 0}, {root: 1.0}, [], deque([root])
         while queue:
             v = queue.popleft()
@@ -132,18 +136,31 @@ def betweenness_of(edges: list[tuple[int, int]]) -> dict[tuple[int, int], float]
                     c = paths[v] / paths[w] * (1.0 + flow[w])
                     out[min(v, w), max(v, w)] += c
                     flow[v] += c
-    n = len(near)
-    return {e: x / (n * (n - 1)) for e, x in out.items()} if n > 1 else out
+    return out
 
 
-def edge_betweenness(edges: DataFrame) -> DataFrame:
-    """A device's coupling graph has some hundred nodes, so each backend is one group of a grouped map."""
+def edge_betweenness(edges: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """(backend, component_id, edge_betweenness): share of all ordered pairs of a device's nodes whose shortest paths run over each edge.
 
-    def of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = betweenness_of(list(zip(rows["a"].tolist(), rows["b"].tolist(), strict=True)))
-        return pd.DataFrame([(key[0], f"{a}-{b}", x) for (a, b), x in found.items()], columns=["backend", "component_id", "edge_betweenness"])
+    The searches are independent, so their roots are dealt to (backend, shard) by hash and the edges' flows summed by Spark. A task holds one device's
+    edges and one search, and does a shard's part of its searches; edges are sent once for each shard. ``edges`` are distinct with a < b.
+    """
+    nodes = edges.select("backend", F.explode(F.array("a", "b")).alias("root")).distinct()
+    roots = nodes.select("backend", F.pmod(F.xxhash64("root"), F.lit(shards)).cast("int").alias("shard"), F.col("root").alias("a"), F.lit(None).cast("long").alias("b"))
+    used = roots.select("backend", "shard").distinct()
+    sent = edges.select("backend", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).join(used, "backend").select("backend", "shard", "a", "b")
 
-    return edges.groupBy("backend").applyInPandas(of, "backend string, component_id string, edge_betweenness double")
+    def of(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        is_root = rows["b"].isna()
+        pairs = rows[~is_root].astype({"a": int, "b": int})
+        found = flows_of(list(zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)), sorted(rows.loc[is_root, "a"].astype(int)))
+        return pd.DataFrame([(key[0], a, b, x) for (a, b), x in found.items() if x], columns=["backend", "a", "b", "flow"])
+
+    dealt = sent.unionByName(roots.select("backend", "shard", F.col("a").cast("long").alias("a"), "b"))
+    flows = dealt.groupBy("backend", "shard").applyInPandas(of, "backend string, a long, b long, flow double").groupBy("backend", "a", "b").agg(F.sum("flow").alias("flow"))
+    count = nodes.groupBy("backend").agg(F.count("*").alias("n"))
+    share = F.coalesce(ratio(F.col("flow"), F.col("n") * (F.col("n") - 1)), F.lit(0.0))
+    return flows.join(count, "backend").select("backend", F.concat_ws("-", "a", "b").alias("component_id"), share.alias("edge_betweenness"))
 
 
 def topology_table(edges: DataFrame, cadence: DataFrame) -> DataFrame:

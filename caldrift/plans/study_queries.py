@@ -149,8 +149,8 @@ CORR = f"""SELECT backend, component_type, outcome, predictor, method, count(*)
       FROM (SELECT backend, component_type, outcome, predictor, 'pearson' AS method, x, y FROM ({RANKED}) UNION ALL SELECT backend, component_type, outcome, predictor, 'spearman', rx, ry FROM ({RANKED})) GROUP BY ALL"""
 query("stat_correlations", CORR, "correlation")(correlated)
 query("win_rank_avg", f"SELECT backend, component_type, outcome, predictor, x, rx FROM ({RANKED})", "x rx")(
-    lambda s, d: Z.pairs(outcome_load(s, d), M.KIND, ["calibration_event_count", "drift_rms"], ["load_current", "load_mean_8h"]).where("x IS NOT NULL AND y IS NOT NULL").selectExpr(
-        *M.KIND, "outcome", "predictor", "x", "rank() OVER (PARTITION BY backend, component_type, outcome, predictor ORDER BY x) + (count(*) OVER (PARTITION BY backend, component_type, outcome, predictor, x) - 1) / 2D AS rx"
+    lambda s, d: Z.ranked(Z.pairs(outcome_load(s, d), M.KIND, ["calibration_event_count", "drift_rms"], ["load_current", "load_mean_8h"]).where("x IS NOT NULL AND y IS NOT NULL"), [*M.KIND, "outcome", "predictor"], {"x": "rx"}).select(
+        *M.KIND, "outcome", "predictor", "x", "rx"
     )
 )
 QUERIES["stat_correlation_p_values"] = lambda s, d: Z.with_p(correlated(s, d))
