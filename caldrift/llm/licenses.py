@@ -90,6 +90,7 @@ TEMPLATES["ISC-text"] = 'Permission to use, copy, modify, and/or distribute this
 TEMPLATES["BSD-2-Clause-text"] = f"{_BSD} {_BSD_END}"
 TEMPLATES["BSD-3-Clause-text"] = f"{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_END}"
 NAMED["BSD-3-Clause-text"], BARRED["BSD-2-Clause-text"] = "neither endorse promote", "endorse promote"
+NAMED["MIT-text"], NAMED["ISC-text"], NAMED["BSD-2-Clause-text"] = "sublicense noninfringement", "fee disclaims", "redistribution binary disclaimer"
 _STRIP = b".,;:!?'\"()[]{}<>*#$%&|"
 
 
