@@ -161,6 +161,10 @@ def labelled(n: int = 900, seed: int = 7) -> list[tuple[list[str], list[int]]]:
     return out
 
 
+#: Words, padding included, that are decoded at once.
+CELLS = 1 << 16
+
+
 class Field:
     """Weights by feature and label, and by pair of neighbouring labels."""
 
@@ -178,17 +182,29 @@ class Field:
         return out
 
     def decode(self, runs: list[list[str]]) -> list[np.ndarray]:
-        """Best labels of each run of words: Viterbi over all runs at once, padded to the longest."""
-        if not runs:
-            return []
-        n, most = len(runs), max(map(len, runs))
+        """Best labels of each run of words: Viterbi over many runs at once, padded to the longest of them.
+
+        Runs go by length, so that padding is little, and as many at once as ``CELLS`` words hold, or one run that is longer: memory is linear in that.
+        """
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(runs)
+        order = sorted((i for i in range(len(runs)) if runs[i]), key=lambda i: len(runs[i]))
+        while order:
+            most = len(runs[order[-1]])
+            some = order[-max(1, CELLS // most) :]
+            del order[-len(some) :]
+            for i, path in zip(some, self._decode([runs[i] for i in some], most), strict=True):
+                out[i] = path
+        return out
+
+    def _decode(self, runs: list[list[str]], most: int) -> list[np.ndarray]:
+        n = len(runs)
         u = np.zeros((n, most, len(LABELS)))
         for i, words in enumerate(runs):
             u[i, : len(words)] = self.scores(words)
             u[i, len(words) :, 1:] = -1e9
         step = np.where(MAY_FOLLOW, self.pair, -1e9)
         best = u[:, 0] + np.where(np.array(LABELS) == "I-national", -1e9, 0.0)
-        back = np.zeros((n, most, len(LABELS)), np.int64)
+        back = np.zeros((n, most, len(LABELS)), np.int8)
         for t in range(1, most):
             reach = best[:, :, None] + step
             back[:, t] = reach.argmax(axis=1)

@@ -320,3 +320,17 @@ def test_longest_previous_factors():
         got = suffix_dedup.longest_previous_factors(buf, left, at, when, most)
         want = [max((common(a, b) for b, v in zip(at, when, strict=True) if v < w), default=0) for a, w in zip(at, when, strict=True)]
         assert got.tolist() == want
+
+
+def test_long_runs_are_decoded_in_bounded_memory():
+    """A line of a million numbers beside short runs: memory is that of the long run, and the labels are those of each run by itself."""
+    import tracemalloc
+
+    field = pii.default_field()
+    short = [["call", "0171", "2345678", "now"], ["id", "12"], []]
+    tracemalloc.start()
+    got = field.decode([["12"] * 200_000, *short * 200])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got[0]) == 200_000 and peak < 200e6
+    assert all((x == y).all() for x, y in zip(got[1:4], [field.decode([s])[0] for s in short], strict=True))
