@@ -89,11 +89,12 @@ def run_analysis(
         ),
     }
     if output:
+        counts = {}
         for key, df in out.items():
             flat = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes])
-            files.write_csv(flat, f"{output}/{key}", times=tuple(c for c, t in flat.dtypes if t == "bigint" and c in TIMES))
+            counts[key] = files.write_csv(flat, f"{output}/{key}", times=tuple(c for c, t in flat.dtypes if t == "bigint" and c in TIMES))
         parameters = {"windows": list(windows), "lags": list(lags), "tolerance_minutes": tolerance_minutes, "grid_minutes": grid_minutes, "max_staleness_minutes": max_staleness_minutes, "min_n": min_n}
-        files.write_metadata(f"{output}/run_metadata.json", parameters, out, CAVEATS)
+        files.write_metadata(observations.sparkSession, f"{output}/run_metadata.json", parameters, counts, CAVEATS)
         release(shared)
     return out
 

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caldrift.functions.expr import HOUR, MINUTE, seconds_between
+from caldrift.functions.scratch import Scratch
 from caldrift.operators import cycles as Y
 from caldrift.operators import grid as G
 from caldrift.operators import metrics as M
 from caldrift.operators import series as S
 from caldrift.operators import stats as Z
 from caldrift.operators import studies as U
+from caldrift.sinks import files
 
 from . import proxies as P
 from .metric_queries import C, GRID, ORACLES, OUTCOMES, QUERIES, TOLERANCE, drift, events, freq, grid, load, query
@@ -121,8 +123,17 @@ query("bf_quarantine_audit", "SELECT cycle, 'payload is not an object' AS reason
 query("sink_failed_cycle", "SELECT cycle, substr(repeat('x', CAST(cycle % 6000 AS INT)), 1, 5000) AS error_message FROM cycles WHERE NOT success")(
     lambda s, d: Y.failed_rows(P.cycles(s, d).withColumn("error_message", F.expr("repeat('x', cast(cycle % 6000 as int))"))).select("cycle", "error_message")
 )
+def upserted(s: SparkSession, d: str) -> D:
+    """The table is written by backend, a third of its rows are upserted, and it is read again."""
+    rows = P.cycles(s, d).select("cycle", "backend", "price")
+    path = f"{Scratch(s).folder}/cycles"
+    for new in (rows, rows.where("cycle % 3 = 0").withColumn("price", F.col("price") * 2)):
+        files.upsert_table(path, new, ["cycle"], "backend")
+    return s.read.parquet(path).select("cycle", "price")
+
+
 query("sink_upsert", "SELECT cycle, CASE WHEN cycle % 3 = 0 THEN price * 2 ELSE price END AS price FROM cycles")(
-    lambda s, d: Y.upsert(P.cycles(s, d).select("cycle", "price"), P.cycles(s, d).where("cycle % 3 = 0").select("cycle", (F.col("price") * 2).alias("price")), ["cycle"])
+    lambda s, d: upserted(s, d)
 )
 query("union_all_obs", f"SELECT backend, component_id, t FROM dedup WHERE component_type = 'qubit' UNION ALL SELECT backend, component_id, t FROM dedup WHERE component_type = 'edge' UNION ALL SELECT backend, '' , t FROM status")(
     lambda s, d: (lambda o: o.where("component_type = 'qubit'").select("backend", "component_id", "t").unionByName(o.where("component_type = 'edge'").select("backend", "component_id", "t")).unionByName(P.status(s, d).select("backend", F.lit("").alias("component_id"), "t")))(S.latest_observation(P.observations(s, d)))

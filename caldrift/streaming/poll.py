@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SCHEMA = "cycle long, backend string, started long, success boolean, dates string"
 OUT = "cycle long, backend string, started long, success boolean, prev_cycle long, num_calibrated int"
-STATE = "cycle long, started long, dates string"
 
 
 def landed(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,30 +19,51 @@ def landed(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(SCHEMA).json(folder)
 
 
-def _diff(before: dict, now: dict) -> int:
-    return sum(1 for k, d in now.items() if k in before and d > before[k])
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def diff_polls(stream: DataFrame) -> DataFrame:
-    """Each poll against the backend's previous successful one. The state is one poll for each backend; a failed poll leaves it
-    as it is, and is passed on as a row. Polls of one batch are taken by (start, id)."""
-    import json
+class LastPoll(StatefulProcessor):
+    """A backend's last successful poll: its id and start as a value, each component's newest date as a map, so that a poll rewrites only the
+    components that it changes. Polls of one batch are taken by (start, id); a failed poll leaves the state as it is."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.poll = handle.getValueState("poll", "cycle long, started long")
+        self.dates = handle.getMapState("dates", "component string", "date double")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prev, known = (None, None) if not state.exists else (state.get[0], json.loads(state.get[2]))
-        rows = pd.concat(list(batches)).sort_values(["started", "cycle"])
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:  # noqa: N802, ARG002
+        batch = pd.concat(list(rows)).sort_values(["started", "cycle"])
+        prev = int(self.poll.get()[0]) if self.poll.exists() else None
         out = []
-        for r in rows.itertuples(index=False):
+        for r in batch.itertuples(index=False):
             now = json.loads(r.dates) if r.success and r.dates else None
             ok = bool(r.success) and now is not None
-            out.append((r.cycle, r.backend, r.started, ok, prev, _diff(known, now) if ok and known is not None else 0))
+            out.append((r.cycle, r.backend, r.started, ok, prev, self._taken(now) if ok else 0))
             if ok:
-                prev, known = int(r.cycle), now
-                state.update((prev, int(r.started), r.dates))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
-        yield frame.astype({"prev_cycle": "Int64", "num_calibrated": "int32"})
+                prev = int(r.cycle)
+                self.poll.update((prev, int(r.started)))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")]).astype({"prev_cycle": "Int64", "num_calibrated": "int32"})
+
+    def _taken(self, now: dict) -> int:
+        """Take a poll's dates: how many components have a newer one than before. Those that the poll no longer names go."""
+        newer = 0
+        for component, date in now.items():
+            known = self.dates.getValue((component,)) if self.dates.containsKey((component,)) else None
+            newer += known is not None and date > known[0]
+            if known is None or known[0] != date:
+                self.dates.updateValue((component,), (float(date),))
+        gone = [k for (k,) in self.dates.keys() if k not in now] if self.poll.exists() else []
+        for component in gone:
+            self.dates.removeKey((component,))
+        return newer
+
+    def close(self) -> None:
+        pass
 
-    return stream.groupBy("backend").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+def diff_polls(stream: DataFrame) -> DataFrame:
+    """Each poll against the backend's previous successful one, which is keyed state on RocksDB; failed polls are passed on as rows."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return stream.groupBy("backend").transformWithStateInPandas(LastPoll(), OUT, "append", "none")
 
 
 def run_once(stream: DataFrame, target: str, checkpoint: str) -> None:

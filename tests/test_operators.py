@@ -289,6 +289,23 @@ def test_sources(spark, monkeypatch):
     spark.createDataFrame([("d", 1, "no json"), ("d", 2, '{"props": {"last_update": "x"}}')], "device string, created_at int, body string").createOrReplaceTempView("raw_polls_for_test")
     kinds = [("raw_polls_for_test", c, k) for c, k in (("device", "string"), ("created_at", "int"), ("body", "string"))]
     assert catalog.discover_json_anchor(spark, kinds)[1] == "$.props.last_update"
+    spark.createDataFrame([("d", 1, '{"a": [1, {"b c": {"Last_Updated": 1}}], "z": {}}')], "device string, created_at int, raw string").createOrReplaceTempView("backend_calibration_for_test")
+    kinds += [("backend_calibration_for_test", c, k) for c, k in (("device", "string"), ("created_at", "int"), ("raw", "string"))]
+    source, path = catalog.discover_json_anchor(spark, kinds)  # the better name wins over the table's place
+    assert (source.table, source.score, path) == ("backend_calibration_for_test", 80, "$.a[1]['b c'].Last_Updated")
+    names = frozenset(catalog.ANCHOR_NAMES)
+    assert catalog.key_path({"x": {"last_update": 1}, "LAST_UPDATED": 2}, names) == ["LAST_UPDATED"]  # own keys first
+    assert catalog.key_path([0, 1, 2, {"last_update": 1}], names) is None and catalog.key_path("text", names) is None
+    deep: object = {"last_update": 1}
+    for _ in range(5000):
+        deep = {"k": [deep]}
+    assert len(catalog.key_path(deep, names)) == 10001
+    named = catalog.named_anchor_source(inventory, "calibration_snapshot")
+    assert (named.table, named.anchor) == ("public.calibration_snapshot", "last_update_date")
+    assert catalog.named_anchor_source(inventory, "polls", anchor="updated_at").anchor == "updated_at"
+    for bad in (("nothing", None), ("polls", "no_such_column"), ("backend_properties", None)):
+        with pytest.raises(LookupError):
+            catalog.named_anchor_source(inventory, bad[0], anchor=bad[1])
     with pytest.raises(ValueError):
         catalog.CollectorConfig(("a",), -5)
     monkeypatch.setenv("BACKENDS", " p ,, q")
@@ -299,11 +316,113 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(4, BEGIN + 1)], "a long, t long")
     files.write_csv(df, f"{tmp_path}/csv", compress=False, times=("t",))
     assert spark.read.csv(f"{tmp_path}/csv", header=True).first().t == "2023-11-14T22:00:00.000001Z"
-    assert files.write_metadata(f"file://{tmp_path}/meta.json", {"k": [1]}, {"df": df}, ["c"]) == json.loads((tmp_path / "meta.json").read_text()) == {"parameters": {"k": [1]}, "row_counts": {"df": 1}, "caveats": ["c"]}
-    for batch in ("7", "7", "8"):
-        files.write_cycle({"fetch_cycles": df, "facts": df}, f"{tmp_path}/w", batch)
-    spark.range(1).selectExpr("9L AS a", "0L AS t").write.parquet(f"{tmp_path}/w/facts/batch=9")  # facts without their marker
-    assert sorted(r.batch for r in files.read_committed(spark, f"{tmp_path}/w", "facts").collect()) == [7, 8]
+    counts = {"df": files.write_csv(df, f"{tmp_path}/gz"), "none": files.write_csv(df.where("a > 9"), f"{tmp_path}/none")}
+    assert files.write_metadata(spark, f"file://{tmp_path}/meta.json", {"k": [1]}, counts, ["c"]) == json.loads((tmp_path / "meta.json").read_text()) == {"parameters": {"k": [1]}, "row_counts": {"df": 1, "none": 0}, "caveats": ["c"]}
+
+
+def test_batches_are_committed_whole(spark, tmp_path):
+    """A repeat that fails in the middle leaves the batch as it was; one that ends replaces it; folders without a marker are not read."""
+    root, frame = f"{tmp_path}/w", lambda *a: spark.createDataFrame([(x,) for x in a], "a long")
+    files.write_cycle({"fetch_cycles": frame(1), "facts": frame(1, 2)}, root, "7")
+    files.write_cycle({"fetch_cycles": frame(8), "facts": frame(8)}, root, "8")
+    torn = frame(5).selectExpr("assert_true(a < 0) AS bad", "a").select("a", F.coalesce(F.col("bad").cast("int"), F.lit(0)).alias("b"))
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        files.write_cycle({"facts": frame(9, 9, 9), "fetch_cycles": torn}, root, "7")
+    read = lambda t: sorted((r.batch, r.a) for r in files.read_committed(spark, root, t).collect())
+    assert read("facts") == [(7, 1), (7, 2), (8, 8)] and read("fetch_cycles") == [(7, 1), (8, 8)]
+    files.write_cycle({"fetch_cycles": frame(3), "facts": frame(4)}, root, "7")
+    assert read("facts") == [(7, 4), (8, 8)] and read("fetch_cycles") == [(7, 3), (8, 8)]
+    assert files.drop_superseded(spark, root) >= 3 and read("facts") == [(7, 4), (8, 8)] and files.drop_superseded(spark, root) == 0
+
+
+def test_upsert_rewrites_touched_partitions_only(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    frame = lambda *rows: spark.createDataFrame(rows, "k int, p string, v int")
+    state = lambda: {str(f.relative_to(path)): f.read_bytes() for f in (tmp_path / "t").rglob("*.parquet")}
+    files.upsert_table(path, frame((1, "a", 1), (2, "a", 2), (3, "b", 3), (4, None, 4), (5, "c", 5)), ["k"], "p")
+    before = state()
+    for _ in range(2):  # a repeat changes nothing; key 5 moves out of c, which is then empty
+        files.upsert_table(path, frame((2, "a", 20), (5, "a", 50), (6, "d", 6)), ["k"], "p")
+        assert sorted(((r.k, r.p, r.v) for r in spark.read.parquet(path).collect()), key=str) == [(1, "a", 1), (2, "a", 20), (3, "b", 3), (4, None, 4), (5, "a", 50), (6, "d", 6)]
+    after = state()
+    assert {f: x for f, x in before.items() if f.startswith(("p=b", "p=__H"))}.items() <= after.items()
+    assert {f.split("/")[0] for f in after} == {"p=a", "p=b", "p=d", "p=__HIVE_DEFAULT_PARTITION__"}
+
+
+def test_csv_in_archives(spark, tmp_path):
+    import gzip
+    import zipfile
+
+    text = "a,b,c,t\n1,x,0.5,2031-02-03T04:05:06.000007Z\n2,,,\n" + "".join(f"{k},\"q,{k}\",1,\n" for k in range(3, 30000))
+    for n in range(2):
+        with zipfile.ZipFile(tmp_path / f"{n}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("in/data.csv.gz", gzip.compress(text.encode()))
+            z.writestr("in/plain.csv", text)
+    schema = spark.createDataFrame([], "a int, b string, c double, t timestamp").schema
+    for member in ("in/data.csv.gz", "in/plain.csv"):
+        df = catalog.read_csv_from_zip(spark, f"file://{tmp_path}/*.zip", member, schema)
+        assert df.count() == 2 * 29999 and df.where("a = 2").distinct().collect() == [(2, None, None, None)]
+        assert df.where("a = 1").selectExpr("b", "c", "unix_micros(t) % 60000000 AS us").distinct().collect() == [("x", 0.5, 6000007)]
+        assert catalog.read_csv_from_zip(spark, f"file://{tmp_path}/1.zip", member, schema, ["b"]).where("b = 'q,9'").count() == 1
+
+
+def test_device_service(spark):
+    """The data source against a local server: tokens, devices side by side, answers that are no object or have errors, a device that isn't there."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from caldrift.sources import rest
+
+    asked, tokens = [], []
+
+    class Handler(BaseHTTPRequestHandler):
+        def answer(self, body, code=200):
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(body if isinstance(body, bytes) else json.dumps(body).encode())
+
+        def do_POST(self):
+            tokens.append(self.rfile.read(int(self.headers["Content-Length"])).decode())
+            self.answer({"access_token": f"t{len(tokens)}", "expires_in": 100})
+
+        def do_GET(self):
+            asked.append((self.path, self.headers["Authorization"], self.headers["X-Version"]))
+            name = self.path.split("/")[4] if self.path.count("/") > 3 else ""
+            bodies = {"": {"devices": [1]}, "fine": {"qubits": [], "é": 1}, "list": [1], "bad": {"errors": [{"code": 7}]}, "torn": b"{", "a%20b": {"errors": []}}
+            self.answer(bodies.get(name, {}), 404 if name == "lost" else 200)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    spark.dataSource.register(rest.DeviceService)
+    read = lambda r, **o: r.format("device_service").options(url=url, token_url=f"{url}/token", api_key="k/e", headers='{"X-Version": "3"}', timeout_seconds="5", **o).load()
+    rows = {(r.backend, r.kind): r for r in read(spark.read, backends="fine, list,bad,torn,lost,a b,fine").collect()}
+    assert len(rows) == 13 and {k for k, r in rows.items() if r.error is None} == {(None, "index"), ("fine", "status"), ("fine", "properties"), ("a b", "status"), ("a b", "properties")}
+    assert json.loads(rows["fine", "status"].body) == {"qubits": [], "é": 1} and all((r.body is None) != (r.error is None) for r in rows.values())
+    assert "object was expected" in rows["list", "status"].error and '"code": 7' in rows["bad", "properties"].error and "404" in rows["lost", "status"].error
+    assert "apikey=k%2Fe" in tokens[0] and all(t.startswith("Bearer t") and v == "3" for _, t, v in asked)
+    clock = [1000.0]
+    service = rest.Service({"url": url, "token_url": f"{url}/token"}, now=lambda: clock[0])
+    first = service.bearer()
+    clock[0] += 39
+    assert service.bearer() == first
+    clock[0] += 1  # sixty seconds before its end
+    assert service.bearer() != first
+    stream = read(spark.readStream, backends="fine,lost", poll_interval_seconds="100000")
+    query = stream.writeStream.format("memory").queryName("device_polls_for_test").trigger(processingTime="1 second").start()
+    try:
+        query.processAllAvailable()
+        got = spark.table("device_polls_for_test").collect()
+    finally:
+        query.stop()
+        server.shutdown()
+    assert sorted((str(r.backend), r.kind, r.error is None) for r in got) == [("None", "index", True), ("fine", "properties", True), ("fine", "status", True), ("lost", "properties", False), ("lost", "status", False)]
+    assert len({r.poll for r in got}) == 1
+    with pytest.raises(ValueError):
+        rest.DeviceService({}).reader(None)
 
 
 def test_stream_carries_state_over_landings(spark, tmp_path):
