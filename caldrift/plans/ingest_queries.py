@@ -67,26 +67,45 @@ query("parse_status", "SELECT event_id AS poll, CASE WHEN event_id % 2 = 0 THEN
         )
     )
 )
-TEXTS = "(SELECT unnest(['true', ' YES ', '1', '1.0', 'no', 'False', '0', 'maybe', '', 'active', 'Paused', ' online', '7', ' 7 ', '1.5', '1e-7', 'x']) AS s)"
+#: Texts of the tables that are read as scalars: flags and names with blanks around them, numbers whole, broken, small and signed, and words.
+TEXTS = """(SELECT DISTINCT unnest([l_returnflag, lower(l_linestatus), CASE WHEN l_quantity < 10 THEN ' YES ' WHEN l_quantity < 20 THEN 'False' WHEN l_quantity < 30 THEN 'true' WHEN l_quantity < 40 THEN '' ELSE ' online' END,
+      CAST(l_linenumber - 1 AS VARCHAR), ' ' || CAST(l_suppkey AS VARCHAR) || ' ', CAST(l_linenumber AS VARCHAR) || '.5', CAST(l_linenumber AS VARCHAR) || 'e-7', '-' || CAST(l_linenumber AS VARCHAR)]) AS s FROM lineitem
+    UNION SELECT DISTINCT unnest([c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN 'Paused' ELSE 'active' END]) FROM customer)"""
 
 
-def texts(spark: SparkSession) -> DataFrame:
-    return spark.sql("SELECT explode(array('true', ' YES ', '1', '1.0', 'no', 'False', '0', 'maybe', '', 'active', 'Paused', ' online', '7', ' 7 ', '1.5', '1e-7', 'x')) AS s")
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, s = F.col("l_linenumber").cast("string"), F.lit
+    quantity = F.col("l_quantity")
+    said = F.when(quantity < 10, " YES ").when(quantity < 20, "False").when(quantity < 30, "true").when(quantity < 40, "").otherwise(" online")
+    lines = F.array("l_returnflag", F.lower("l_linestatus"), said, (F.col("l_linenumber") - 1).cast("string"), F.concat(s(" "), F.col("l_suppkey").cast("string"), s(" ")), F.concat(n, s(".5")), F.concat(n, s("e-7")), F.concat(s("-"), n))
+    names = F.array("c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, "Paused").otherwise("active"))
+    return P.table(spark, sf_dir, "lineitem").select(F.explode(lines).alias("s")).unionByName(P.table(spark, sf_dir, "customer").select(F.explode(names).alias("s"))).distinct()
 
 
 OPV = "CASE WHEN lower(trim(s)) IN ('true', '1', 'yes') THEN true WHEN lower(trim(s)) IN ('false', '0', 'no') THEN false END"
-query("parse_operational_value", f"SELECT s, {OPV} AS value, {OPV} IS NULL AS error FROM {TEXTS}")(lambda s, d: texts(s).select("s", X.operational_value(F.col("s"))[0].alias("value"), X.operational_value(F.col("s"))[1].alias("error")))
-query("as_bool", f"SELECT s, coalesce({OPV}, length(s) > 0) AS value FROM {TEXTS}")(lambda s, d: texts(s).select("s", X.lenient_bool(F.col("s")).alias("value")))
-query("operational_from_name", f"SELECT s, CASE WHEN lower(trim(s)) IN ('online', 'active', 'available', 'running') THEN true WHEN lower(trim(s)) IN ('offline', 'paused', 'maintenance', 'unavailable') THEN false END AS value FROM {TEXTS}")(lambda s, d: texts(s).select("s", X.operational_from_name(F.col("s")).alias("value")))
-query("as_scalars", f"SELECT s, CASE WHEN regexp_full_match(trim(s), '[0-9]+') THEN CAST(trim(s) AS INT) END AS as_int, TRY_CAST(trim(s) AS DOUBLE) AS as_float, s AS as_str FROM {TEXTS}")(lambda s, d: texts(s).select("s", F.col("s").try_cast("int").alias("as_int"), F.col("s").try_cast("double").alias("as_float"), F.col("s").alias("as_str")))
-query("first_of", f"SELECT s, coalesce(CASE WHEN regexp_full_match(trim(s), '[0-9]+') THEN CAST(trim(s) AS INT) END, CAST(length(s) AS INT)) AS value FROM {TEXTS}")(lambda s, d: texts(s).select("s", F.coalesce(F.col("s").try_cast("int"), F.length("s")).alias("value")))
-STAMPS = ["2026-06-15T12:00:00Z", "2026-06-15 12:00:00+0200", "2026-06-15T12:00:00.123456-04:00", "2026-06-15 12:00:00", "2026-06-15", "2026", "garbage", ""]
-MICROS = [1781524800000000, 1781517600000000, 1781539200123456, 1781524800000000, 1781481600000000, None, None, None]
-query("parse_timestamp", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', CAST({'NULL' if b is None else b} AS BIGINT))" for a, b in zip(STAMPS, MICROS, strict=True)) + ") v(s, us)")(
-    lambda s, d: s.createDataFrame([(x,) for x in STAMPS], "s string").select("s", X.parse_timestamp(F.col("s")).alias("us"))
+query("parse_operational_value", f"SELECT s, {OPV} AS value, {OPV} IS NULL AS error FROM {TEXTS}")(lambda s, d: texts(s, d).select("s", X.operational_value(F.col("s"))[0].alias("value"), X.operational_value(F.col("s"))[1].alias("error")))
+query("as_bool", f"SELECT s, coalesce({OPV}, length(s) > 0) AS value FROM {TEXTS}")(lambda s, d: texts(s, d).select("s", X.lenient_bool(F.col("s")).alias("value")))
+query("operational_from_name", f"SELECT s, CASE WHEN lower(trim(s)) IN ('online', 'active', 'available', 'running') THEN true WHEN lower(trim(s)) IN ('offline', 'paused', 'maintenance', 'unavailable') THEN false END AS value FROM {TEXTS}")(lambda s, d: texts(s, d).select("s", X.operational_from_name(F.col("s")).alias("value")))
+query("as_scalars", f"SELECT s, CASE WHEN regexp_full_match(trim(s), '-?[0-9]+') THEN CAST(trim(s) AS INT) END AS as_int, TRY_CAST(trim(s) AS DOUBLE) AS as_float, s AS as_str FROM {TEXTS}")(lambda s, d: texts(s, d).select("s", F.col("s").try_cast("int").alias("as_int"), F.col("s").try_cast("double").alias("as_float"), F.col("s").alias("as_str")))
+query("first_of", f"SELECT s, coalesce(CASE WHEN regexp_full_match(trim(s), '-?[0-9]+') THEN CAST(trim(s) AS INT) END, CAST(length(s) AS INT)) AS value FROM {TEXTS}")(lambda s, d: texts(s, d).select("s", F.coalesce(F.col("s").try_cast("int"), F.length("s")).alias("value")))
+#: Times of the events as seven forms of text, of which the last three are none.
+FORMS = (
+    ("yyyy-MM-dd'T'HH:mm:ss'Z'", "strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ')", "epoch_us(date_trunc('second', ts))"),
+    ("yyyy-MM-dd HH:mm:ss'+0200'", "strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S+0200')", "epoch_us(date_trunc('second', ts)) - 7200000000"),
+    ("yyyy-MM-dd'T'HH:mm:ss.SSSSSS'-04:00'", "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f-04:00')", "epoch_us(ts) + 14400000000"),
+    ("yyyy-MM-dd HH:mm:ss", "strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S')", "epoch_us(date_trunc('second', ts))"),
+    ("yyyy-MM-dd", "strftime(ts, '%Y-%m-%d')", "epoch_us(date_trunc('day', ts))"),
+    ("yyyy", "strftime(ts, '%Y')", "NULL"),
+    ("'at 'HH:mm", "strftime(ts, 'at %H:%M')", "NULL"),
 )
-query("src_device_index", "SELECT CAST(n_nationkey AS VARCHAR) AS name, n_name AS label FROM nation")(
-    lambda s, d: I.device_index(P.table(s, d, "nation").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").cast("string").alias("name"), F.col("n_name").alias("label")))).alias("devices"))).alias("body"))).select("name", F.get_json_object("device", "$.label").alias("label"))
+query("parse_timestamp", "SELECT event_id, v.s, CAST(v.us AS BIGINT) AS us FROM events, LATERAL (VALUES " + ", ".join(f"({text}, {us})" for _, text, us in FORMS) + ") v(s, us)")(
+    lambda s, d: P.table(s, d, "events").select("event_id", F.explode(F.array(*[F.date_format("ts", f) for f, _, _ in FORMS])).alias("s")).select("event_id", "s", X.parse_timestamp(F.col("s")).alias("us"))
+)
+# the index comes in pages of twenty devices, each an answer of the service
+query("src_device_index", "SELECT CAST(s_suppkey AS VARCHAR) AS name, s_name AS label FROM supplier")(
+    lambda s, d: I.device_index(
+        P.table(s, d, "supplier").groupBy(F.expr("s_suppkey div 20").alias("page")).agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("s_suppkey").cast("string").alias("name"), F.col("s_name").alias("label"))).alias("devices"))).alias("body"))
+    ).select("name", F.get_json_object("device", "$.label").alias("label"))
 )
 for other in ("as_int", "as_float", "as_str"):
     QUERIES[other], ORACLES[other] = QUERIES["as_scalars"], ORACLES["as_scalars"]

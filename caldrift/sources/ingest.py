@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caldrift.functions.expr import edge_id, operational_from_name, parse_timestamp, variant_kind, variant_operational, variant_truth
+from caldrift.functions.expr import edge_id, operational_from_name, parse_timestamp, variant_operational, variant_truth
 
 
 def _get(v: str, path: str, kind: str = "string") -> Column:
@@ -30,9 +32,14 @@ def _variant(v: str, path: str) -> Column:
     return F.try_variant_get(F.col(v), path, "variant")
 
 
+def _object(item: Column) -> Column:
+    """The members of an object, by a look at its own keys only (a variant's schema would be that of all that is below it); null for anything else."""
+    return F.try_variant_get(item, "$", "map<string, variant>")
+
+
 def _named(item: Column) -> Column:
     """The name of a property object, in any case and trimmed; null for what isn't one."""
-    return F.when(variant_kind(item).startswith("OBJECT"), F.lower(F.trim(F.try_variant_get(item, "$.name", "string"))))
+    return F.lower(F.trim(F.try_variant_get(item, "$.name", "string")))
 
 
 def _first_named(items: Column, name: str) -> Column:
@@ -40,104 +47,124 @@ def _first_named(items: Column, name: str) -> Column:
     return F.try_element_at(F.filter(items, lambda x: _named(x) == name), F.lit(1))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: within a lambda every mention of an expression is worked out anew."""
+    return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
+
+
 def _entries(item: Column, path: str) -> Column:
     """A list in a variant, empty where there is nothing that counts; null where something else stands there."""
-    inner = F.try_variant_get(item, path, "variant")
-    return F.when(F.coalesce(variant_truth(inner), F.lit(False)), F.try_variant_get(item, path, "array<variant>")).otherwise(F.array().cast("array<variant>"))
+    counts = F.coalesce(variant_truth(F.try_variant_get(item, path, "variant")), F.lit(False))
+    return _let(F.try_variant_get(item, path, "array<variant>"), lambda found: F.when(found.isNotNull(), found).when(~counts, F.array().cast("array<variant>")))
 
 
 def _has(item: Column, key: str) -> Column:
-    return F.coalesce(F.map_contains_key(F.try_variant_get(item, "$", "map<string, variant>"), key), F.lit(False))
+    return F.coalesce(F.map_contains_key(_object(item), key), F.lit(False))
 
 
 def _integers(item: Column) -> Column:
     """The qubits of a gate; null where one isn't an integer."""
     numbers = F.transform(_entries(item, "$.qubits"), lambda x: F.coalesce(F.try_variant_get(x, "$", "int"), F.try_variant_get(x, "$", "string").try_cast("int")))
-    return F.when(F.forall(numbers, lambda x: x.isNotNull()), numbers)
+    return _let(numbers, lambda found: F.when(F.forall(found, lambda x: x.isNotNull()), found))
 
 
-def _gate_name(item: Column) -> Column:
-    return F.coalesce(F.try_variant_get(item, "$.gate", "string"), F.try_variant_get(item, "$.name", "string"))
+def _qubit(item: Column) -> Column:
+    """An entry of ``qubits``: its list of properties, null if it is none, and the first of them named operational."""
+    return _let(F.try_variant_get(item, "$", "array<variant>"), lambda props: F.struct(props.alias("props"), _first_named(props, "operational").alias("own")))
 
 
-def _is_gate(item: Column) -> Column:
-    """Whether an entry of ``gates`` counts: an object with a name, integer qubits and a list of parameters."""
-    return F.coalesce(variant_kind(item).startswith("OBJECT") & _gate_name(item).isNotNull() & _integers(item).isNotNull() & _entries(item, "$.parameters").isNotNull(), F.lit(False))
+def _gate(item: Column) -> Column:
+    """An entry of ``gates``: its name, qubits and list of parameters, null where they are none, the first parameter named operational, and the gate's own
+    key of that name."""
+    name = F.coalesce(F.try_variant_get(item, "$.gate", "string"), F.try_variant_get(item, "$.name", "string"))
+    own = F.try_variant_get(item, "$.operational", "variant")
+    fields = lambda params: F.struct(name.alias("name"), _integers(item).alias("qubits"), params.alias("params"), _first_named(params, "operational").alias("own"), own.alias("state"), _has(item, "operational").alias("has_state"))
+    return _let(_entries(item, "$.parameters"), fields)
 
 
-def _gate_operational(item: Column) -> tuple[Column, Column]:
-    """(reported as a variant, whether there is one) of a gate: the first parameter of that name, or else its own key."""
-    own = _first_named(_entries(item, "$.parameters"), "operational")
-    return F.when(own.isNotNull(), F.try_variant_get(own, "$.value", "variant")).otherwise(F.try_variant_get(item, "$.operational", "variant")), own.isNotNull() | _has(item, "operational")
+def _is_gate(gate: Column) -> Column:
+    """Whether an entry of ``gates`` counts: one with a name, integer qubits and a list of parameters."""
+    return gate["name"].isNotNull() & gate["qubits"].isNotNull() & gate["params"].isNotNull()
 
 
-def payload_error(v: str = "v") -> Column:
-    """Why a properties payload fails as a whole, or null: missing, not an object, with errors, without qubits or gates, one of them
-    not a list, or an operational state of a qubit or a gate that can't be read."""
-    kind = variant_kind(F.col(v))
-    lists = {c: _entries(F.col(v), f"$.{c}") for c in ("qubits", "gates")}
+def _reported(gate: Column) -> Column:
+    """A gate's state as a variant: of the first parameter of that name, or else its own key."""
+    return F.when(gate["own"].isNotNull(), F.try_variant_get(gate["own"], "$.value", "variant")).otherwise(gate["state"])
+
 
-    def bad_qubit(props: Column) -> Column:
-        own = _first_named(F.try_variant_get(props, "$", "array<variant>"), "operational")
-        return variant_kind(props).startswith("ARRAY") & own.isNotNull() & variant_operational(F.try_variant_get(own, "$.value", "variant")).isNull()
+def _found(gate: Column) -> Column:
+    return gate["own"].isNotNull() | gate["has_state"]
 
-    def bad_gate(gate: Column) -> Column:
-        reported, found = _gate_operational(gate)
-        return _is_gate(gate) & found & variant_operational(reported).isNull()
 
+def _payload_error() -> Column:
+    """Why a properties payload fails as a whole, or null: missing, not an object, with errors, without qubits or gates, one of them
+    not a list, or an operational state of a qubit or a gate that can't be read."""
+    v = F.col("v")
+    bad_qubit = lambda q: q["own"].isNotNull() & _let(F.try_variant_get(q["own"], "$.value", "variant"), variant_operational).isNull()
+    bad_gate = lambda g: _is_gate(g) & _found(g) & _let(_reported(g), variant_operational).isNull()
     return (
-        F.when(F.col(v).isNull() | (kind == "VOID"), "payload is null")
-        .when(~kind.startswith("OBJECT"), "payload is not an object")
-        .when(F.coalesce(variant_truth(_variant(v, "$.errors")), F.lit(False)), "payload reports errors")
-        .when(~_has(F.col(v), "qubits") | ~_has(F.col(v), "gates"), "payload lacks qubits or gates")
-        .when(lists["qubits"].isNull(), "qubits is no list")
-        .when(F.coalesce(F.exists(lists["qubits"], bad_qubit), F.lit(False)), "a qubit's operational state is unreadable")
-        .when(lists["gates"].isNull(), "gates is no list")
-        .when(F.coalesce(F.exists(lists["gates"], bad_gate), F.lit(False)), "a gate's operational state is unreadable")
+        F.when(v.isNull() | F.is_variant_null(v), "payload is null")
+        .when(_object(v).isNull(), "payload is not an object")
+        .when(F.coalesce(variant_truth(_variant("v", "$.errors")), F.lit(False)), "payload reports errors")
+        .when(~_has(v, "qubits") | ~_has(v, "gates"), "payload lacks qubits or gates")
+        .when(F.col("decoded_qubits").isNull(), "qubits is no list")
+        .when(F.coalesce(F.exists("decoded_qubits", bad_qubit), F.lit(False)), "a qubit's operational state is unreadable")
+        .when(F.col("decoded_gates").isNull(), "gates is no list")
+        .when(F.coalesce(F.exists("decoded_gates", bad_gate), F.lit(False)), "a gate's operational state is unreadable")
     )
 
 
-def payloads(raw: DataFrame) -> DataFrame:
-    """``raw`` (poll, properties as a JSON text) with the payload as VARIANT ``v`` and its ``error``."""
-    return raw.withColumn("v", F.expr("try_parse_json(properties)")).withColumn("error", payload_error())
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is worked out once a row: as the only element of an exploded array it can't be merged into each expression
+    and filter that uses it, as a projection would be."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _good(raw: DataFrame) -> DataFrame:
-    return payloads(raw).where("error IS NULL").select("poll", "v")
+def _decoded(raw: DataFrame) -> DataFrame:
+    """``raw`` with the payload as VARIANT ``v``, its qubits and gates read once into arrays of structs, and its ``error``."""
+    read = _once(raw, "v", F.expr("try_parse_json(properties)"))
+    read = _once(read, "decoded_qubits", F.transform(_entries(F.col("v"), "$.qubits"), _qubit))
+    read = _once(read, "decoded_gates", F.transform(_entries(F.col("v"), "$.gates"), _gate))
+    return _once(read, "error", _payload_error())
+
+
+def payloads(raw: DataFrame) -> DataFrame:
+    """``raw`` (poll, properties as a JSON text) with the payload as VARIANT ``v`` and its ``error``."""
+    return _decoded(raw).drop("decoded_qubits", "decoded_gates")
 
 
-def _qubit_lists(good: DataFrame) -> DataFrame:
-    """(poll, qubit, props): each list in ``qubits``; the qubit is its place."""
-    return good.select("poll", F.posexplode(_entries(F.col("v"), "$.qubits")).alias("qubit", "props")).where(variant_kind(F.col("props")).startswith("ARRAY")).select("poll", "qubit", F.try_variant_get("props", "$", "array<variant>").alias("props"))
+def _qubit_lists(raw: DataFrame) -> DataFrame:
+    """(poll, qubit, props, own): each list in ``qubits`` of good payloads; the qubit is its place."""
+    good = _decoded(raw).where("error IS NULL")
+    return good.select("poll", F.posexplode("decoded_qubits").alias("qubit", "q")).where("q.props IS NOT NULL").select("poll", "qubit", "q.props", "q.own")
 
 
 def qubit_properties(raw: DataFrame) -> DataFrame:
     """(poll, qubit, property_name, value, unit, date): nameless and non-object properties are skipped."""
-    rows = _qubit_lists(_good(raw)).select("poll", "qubit", F.explode("props").alias("p")).where(variant_kind(F.col("p")).startswith("OBJECT"))
+    rows = _qubit_lists(raw).select("poll", "qubit", F.explode("props").alias("p"))
     name = _get("p", "$.name")
     return rows.where(name.isNotNull()).select("poll", "qubit", name.alias("property_name"), _get("p", "$.value", "double").alias("value"), _get("p", "$.unit").alias("unit"), parse_timestamp(_get("p", "$.date")).alias("date"))
 
 
 def qubit_properties_named(raw: DataFrame, name: str) -> DataFrame:
     """(poll, qubit, text): the value of each qubit's first property of a name, trimmed and in any case."""
-    rows = _qubit_lists(_good(raw)).withColumn("p", _first_named(F.col("props"), name.strip().lower()))
+    rows = _qubit_lists(raw).withColumn("p", _first_named(F.col("props"), name.strip().lower()))
     return rows.where("p IS NOT NULL").select("poll", "qubit", _get("p", "$.value").alias("text"))
 
 
 def qubit_operational(raw: DataFrame) -> DataFrame:
     """(poll, qubit, reported, effective, is_explicit, date): from the first property named operational; a row for every listed qubit.
 
-    A state that can't be read fails its whole payload (``payload_error``), so none is left here.
+    A state that can't be read fails its whole payload, so none is left here.
     """
-    rows = _qubit_lists(_good(raw)).withColumn("p", _first_named(F.col("props"), "operational"))
-    value = variant_operational(_variant("p", "$.value"))
-    return rows.select("poll", "qubit", value.alias("reported"), F.coalesce(value, F.lit(True)).alias("effective"), F.col("p").isNotNull().alias("is_explicit"), parse_timestamp(_get("p", "$.date")).alias("date"))
+    value = variant_operational(_variant("own", "$.value"))
+    return _qubit_lists(raw).select("poll", "qubit", value.alias("reported"), F.coalesce(value, F.lit(True)).alias("effective"), F.col("own").isNotNull().alias("is_explicit"), parse_timestamp(_get("own", "$.date")).alias("date"))
 
 
-def _gate_rows(good: DataFrame) -> DataFrame:
-    """(poll, gate_name, qubits, g): gates that count."""
-    gates = good.select("poll", F.explode(_entries(F.col("v"), "$.gates")).alias("g")).where(_is_gate(F.col("g")))
-    return gates.select("poll", _gate_name(F.col("g")).alias("gate_name"), _integers(F.col("g")).alias("qubits"), "g")
+def _gate_rows(raw: DataFrame) -> DataFrame:
+    """(poll, gate_name, qubits, g): gates of good payloads that count, as ``_gate`` has them."""
+    gates = _decoded(raw).where("error IS NULL").select("poll", F.explode("decoded_gates").alias("g")).where(_is_gate(F.col("g")))
+    return gates.select("poll", F.col("g.name").alias("gate_name"), "g.qubits", "g")
 
 
 def _gate_keys(mode: str) -> list[Column]:
@@ -147,7 +174,7 @@ def _gate_keys(mode: str) -> list[Column]:
 
 def gate_properties(raw: DataFrame, mode: str = "undirected") -> DataFrame:
     """(poll, gate_name, qubits_key, edge_id, parameter_name, value, unit, date)."""
-    params = _gate_rows(_good(raw)).select("poll", "gate_name", "qubits", F.explode(_entries(F.col("g"), "$.parameters")).alias("p")).where(variant_kind(F.col("p")).startswith("OBJECT"))
+    params = _gate_rows(raw).select("poll", "gate_name", "qubits", F.explode("g.params").alias("p"))
     name = _get("p", "$.name")
     return params.where(name.isNotNull()).select("poll", "gate_name", *_gate_keys(mode), name.alias("parameter_name"), _get("p", "$.value", "double").alias("value"), _get("p", "$.unit").alias("unit"), parse_timestamp(_get("p", "$.date")).alias("date"))
 
@@ -155,13 +182,13 @@ def gate_properties(raw: DataFrame, mode: str = "undirected") -> DataFrame:
 def gate_operational(raw: DataFrame, mode: str = "undirected") -> DataFrame:
     """(poll, gate_name, qubits_key, edge_id, reported, effective, is_explicit): a parameter named operational, or else the
     gate's own key; a row also for gates without parameters. A state that can't be read fails its whole payload."""
-    reported, found = _gate_operational(F.col("g"))
-    value = F.when(found, variant_operational(reported))
-    return _gate_rows(_good(raw)).select("poll", "gate_name", *_gate_keys(mode), value.alias("reported"), F.coalesce(value, F.lit(True)).alias("effective"), found.alias("is_explicit"))
+    g = F.col("g")
+    found, value = _found(g), F.when(_found(g), variant_operational(_reported(g)))
+    return _gate_rows(raw).select("poll", "gate_name", *_gate_keys(mode), value.alias("reported"), F.coalesce(value, F.lit(True)).alias("effective"), found.alias("is_explicit"))
 
 
 def device_index(raw: DataFrame) -> DataFrame:
     """(name, device): the last object of each name in ``devices``; others are skipped."""
     v = raw.select(F.expr("try_parse_json(body)").alias("v"))
-    rows = v.select(F.posexplode(_entries(F.col("v"), "$.devices")).alias("pos", "d")).where(variant_kind(F.col("d")).startswith("OBJECT"))
+    rows = v.select(F.posexplode(_entries(F.col("v"), "$.devices")).alias("pos", "d"))
     return rows.withColumn("name", _get("d", "$.name")).where("name IS NOT NULL").groupBy("name").agg(F.max_by(F.to_json("d"), "pos").alias("device"))
