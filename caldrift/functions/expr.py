@@ -14,6 +14,11 @@ def micros(name: str) -> Column:
     return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({name} as timestamp_ntz))")
 
 
+def utc_now() -> Column:
+    """The instant at which the query began, in microseconds, whatever the session's zone."""
+    return F.unix_micros(F.current_timestamp())
+
+
 def moment(us: Column | str) -> Column:
     """Timestamp without zone of microseconds."""
     c = F.col(us) if isinstance(us, str) else us

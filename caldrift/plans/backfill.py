@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable
@@ -50,28 +51,79 @@ def start(spark: SparkSession, root: str, cycles: DataFrame, run_id: str | None
     return run, 0
 
 
-def dry_run(spark: SparkSession, root: str, cycles: DataFrame, compute: Callable[[DataFrame], DataFrame], batch_size: int = 500) -> DataFrame:
-    """What the first batch of a new run would give; nothing is written, neither results nor a run."""
-    if batch_size <= 0:
-        raise ValueError("batch size must be positive")
-    return compute(Y.batch(Y.sequence(Y.previous_cycle(cycles)), 0, batch_size))
-
-
-def execute(spark: SparkSession, root: str, cycles: DataFrame, compute: Callable[[DataFrame], DataFrame], batch_size: int = 500, **options: object) -> str:
-    """Every batch's results under its own folder (a repeated batch overwrites itself), then the run is complete."""
-    if batch_size <= 0:
-        raise ValueError("batch size must be positive")
-    run, done = start(spark, root, cycles, **options)
-    items = spark.read.parquet(f"{root}/items/{run}")
-    total = items.count()
-    try:
-        while done < total:
-            compute(Y.batch(items, done, batch_size)).write.mode("overwrite").parquet(f"{root}/metrics/{run}/from={done}")
-            done = min(total, done + batch_size)
-            _log(spark, root, (run, VERSION, "completed" if done == total else "running", total, done, time.time(), None))
-    except Exception as e:
-        _log(spark, root, (run, VERSION, "failed", total, done, time.time(), str(e)[:5000]))
-        raise
+def dry_run(cycles: DataFrame, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a new run over all its batches would give, as one plan; nothing is written, neither results nor a run.
+
+    A batch's results depend on its own items alone, so the whole job's are those of all items at once.
+    """
+    return compute(Y.sequence(Y.previous_cycle(cycles)))
+
+
+class Lease:
+    """One runner at a time: a lock file that is created only if it isn't there, tells its owner and end, and is renewed between batches.
+
+    A lease whose end has passed belongs to a runner that died; the next one takes it over.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, seconds: float = 3600, now: Callable[[], float] = time.time):
+        jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self.path = jvm.org.apache.hadoop.fs.Path(f"{root}/lease")
+        self.files = self.path.getFileSystem(conf)
+        self.owner, self.seconds, self.now = uuid.uuid4().hex, seconds, now
+
+    def _write(self, replace: bool) -> None:
+        out = self.files.create(self.path, replace)
+        out.write(bytearray(json.dumps({"owner": self.owner, "ends": self.now() + self.seconds}).encode()))
+        out.close()
+
+    def held(self) -> dict | None:
+        if not self.files.exists(self.path):
+            return None
+        size = self.files.getFileStatus(self.path).getLen()
+        source = self.files.open(self.path)
+        text = bytes(source.readNBytes(size))
+        source.close()
+        return json.loads(text) if text else {"owner": "", "ends": self.now() + self.seconds}  # being written just now
+
+    def renew(self) -> None:
+        if (self.held() or {}).get("owner") != self.owner:
+            raise RuntimeError("the lease was taken over by another runner")
+        self._write(True)
+
+    def __enter__(self) -> Lease:
+        known = self.held()
+        if known and known["ends"] > self.now():
+            raise RuntimeError(f"another runner holds the lease until {known['ends']:.0f}")
+        if known:
+            self.files.delete(self.path, False)
+        self._write(False)  # fails if another runner was quicker
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        if (self.held() or {}).get("owner") == self.owner:
+            self.files.delete(self.path, False)
+
+
+def execute(spark: SparkSession, root: str, cycles: DataFrame, compute: Callable[[DataFrame], DataFrame], batch_size: int = 500, max_batches: int | None = None, lease_seconds: float = 3600, **options: object) -> str:
+    """Every batch's results under its own folder (a repeated batch overwrites itself), then the run is complete; ``max_batches`` stops it cleanly before.
+
+    Under a lease, so that no two runners work on one root.
+    """
+    if batch_size <= 0 or (max_batches is not None and max_batches <= 0):
+        raise ValueError("batch size and number of batches must be positive")
+    with Lease(spark, root, lease_seconds) as lease:
+        run, done = start(spark, root, cycles, **options)
+        items = spark.read.parquet(f"{root}/items/{run}")
+        total, batches = items.count(), 0
+        try:
+            while done < total and batches != max_batches:
+                compute(Y.batch(items, done, batch_size)).write.mode("overwrite").parquet(f"{root}/metrics/{run}/from={done}")
+                done, batches = min(total, done + batch_size), batches + 1
+                _log(spark, root, (run, VERSION, "completed" if done == total else "running", total, done, time.time(), None))
+                lease.renew()
+        except Exception as e:
+            _log(spark, root, (run, VERSION, "failed", total, done, time.time(), str(e)[:5000]))
+            raise
     return run
 
 

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from caldrift.functions.expr import HOUR, MINUTE
+from caldrift import cli
 from caldrift.plans import backfill
 from caldrift.plans.analysis import run_analysis
 
@@ -47,9 +48,51 @@ def cycles(spark, n):
     return spark.createDataFrame([(100 + k, "abc"[k % 3], 10 * k, 10 * k + 1, k % 5 != 4) for k in range(n)], "cycle long, backend string, started long, finished long, success boolean")
 
 
-def test_a_dry_run_writes_nothing(spark, tmp_path):
-    got = backfill.dry_run(spark, f"{tmp_path}/dry", cycles(spark, 20), lambda items: items.select("cycle"), batch_size=6)
-    assert got.count() == 6 and not (tmp_path / "dry").exists()
+def test_a_dry_run_previews_the_whole_job(spark, tmp_path):
+    known = cycles(spark, 20)
+    got = backfill.dry_run(known, lambda items: items.select("cycle", "prev"))
+    run = backfill.execute(spark, f"{tmp_path}/real", known, lambda items: items.select("cycle", "prev"), batch_size=6)
+    done = spark.read.parquet(f"{tmp_path}/real/metrics/{run}").select("cycle", "prev")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, done.collect()), key=str) and got.count() == 16
+
+
+def test_one_runner_at_a_time(spark, tmp_path):
+    clock = [100.0]
+    lease = lambda: backfill.Lease(spark, f"{tmp_path}", 50, lambda: clock[0])
+    with lease() as first:
+        with pytest.raises(RuntimeError):
+            lease().__enter__()
+        clock[0] = 140
+        first.renew()
+        clock[0] = 189
+        with pytest.raises(RuntimeError):
+            lease().__enter__()
+        clock[0] = 191  # the first runner is taken for dead
+        with lease():
+            with pytest.raises(RuntimeError):
+                first.renew()
+    assert not (tmp_path / "lease").exists()
+    with pytest.raises(ValueError):
+        backfill.execute(spark, f"{tmp_path}", cycles(spark, 3), lambda items: items, max_batches=0)
+    run = backfill.execute(spark, f"{tmp_path}", cycles(spark, 20), lambda items: items.select("cycle"), batch_size=5, max_batches=2)
+    assert backfill.runs(spark, f"{tmp_path}").first().last_sequence_no == 10
+    assert backfill.execute(spark, f"{tmp_path}", cycles(spark, 0), lambda items: items.select("cycle"), batch_size=5) == run
+
+
+def test_command_lines(spark, tmp_path, capsys):
+    for bad in (["backfill", "--root", "x", "--cycles", "y", "--new-run", "--run-id", "z"], ["backfill", "--root", "x", "--cycles", "y", "--batch-size", "0"], ["backfill", "--root", "x"], ["analysis", "--observations", "o"], ["collect", "--url", "u", "--backends", "b", "--target", "t", "--interval", "0"], []):
+        with pytest.raises(SystemExit):
+            cli.main(bad, spark)
+    capsys.readouterr()
+    cycles(spark, 20).write.parquet(f"{tmp_path}/cycles")
+    spark.createDataFrame([(100 + k, k % 4, f"{k % 4}-{k % 4 + 1}", 1000 + k) for k in range(20)], "cycle long, qubit int, edge_id string, date long").write.parquet(f"{tmp_path}/properties")
+    job = ["backfill", "--root", f"{tmp_path}/bf", "--cycles", f"{tmp_path}/cycles", "--properties", f"{tmp_path}/properties", "--batch-size", "7"]
+    assert cli.main([*job, "--dry-run"], spark) == 0 and not (tmp_path / "bf").exists()
+    assert cli.main([*job, "--max-batches", "1"], spark) == 0 and cli.main(job, spark) == 0
+    capsys.readouterr()
+    assert cli.main(["backfill", "--root", f"{tmp_path}/bf", "--status"], spark) == 0
+    state = json.loads(capsys.readouterr().out.splitlines()[0])
+    assert (state["status"], state["total"], state["last_sequence_no"]) == ("completed", 16, 16)
 
 
 def test_backfill_goes_on_where_it_stopped(spark, tmp_path):
