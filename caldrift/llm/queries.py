@@ -76,7 +76,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_token_counts, op2_suffix_dedup, op3_piece_codec, op4_license_scan, op5_personal_data, op6_quality_rules, op7_exact_top_k, op8_line_dedup, op9_packing, op10_simhash, op11_page_text, op12_merkle_manifest, op13_filter_audit)
 }
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT)"
+_SIBLINGS = "coalesce(string_agg(hash, '') OVER (PARTITION BY grp, level, number // 16 ORDER BY number ROWS BETWEEN {0}), '')"
+
 ORACLES: dict[str, str] = {
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE d AS (
+          SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS grp, {_LEAF.format(text="text")} AS leaf,
+                 CASE WHEN {_CRC32.format("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other FROM documents),
+        leaves AS (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM d),
+        nodes AS (
+          SELECT grp, 0 AS level, idx AS number, leaf AS hash, n FROM leaves
+          UNION ALL
+          SELECT grp, level + 1, number // 16, sha256(string_agg(hash, '' ORDER BY number)), (n + 15) // 16 FROM nodes WHERE n > 1 GROUP BY grp, level, number // 16, n),
+        subroots AS (SELECT grp, level AS height, hash AS subroot, row_number() OVER (ORDER BY grp) - 1 AS g FROM nodes WHERE n = 1),
+        top AS (
+          SELECT '' AS grp, 0 AS level, g AS number, subroot AS hash, (SELECT count(*) FROM subroots) AS n FROM subroots
+          UNION ALL
+          SELECT grp, level + 1, number // 16, sha256(string_agg(hash, '' ORDER BY number)), (n + 15) // 16 FROM top WHERE n > 1 GROUP BY grp, level, number // 16, n),
+        sib AS (SELECT *, {_SIBLINGS.format("UNBOUNDED PRECEDING AND 1 PRECEDING")} AS l, {_SIBLINGS.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")} AS r FROM nodes WHERE n > 1),
+        top_sib AS (SELECT *, {_SIBLINGS.format("UNBOUNDED PRECEDING AND 1 PRECEDING")} AS l, {_SIBLINGS.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")} AS r FROM top WHERE n > 1),
+        path AS (
+          SELECT x.rid, s.level AS step, s.l, s.r FROM leaves x JOIN sib s ON s.grp = x.grp AND s.number = x.idx >> (4 * s.level)
+          UNION ALL
+          SELECT x.rid, u.height + s.level, s.l, s.r FROM leaves x JOIN subroots u ON u.grp = x.grp JOIN top_sib s ON s.number = u.g >> (4 * s.level)),
+        fold AS (
+          SELECT rid, 0 AS step, coalesce(other, leaf) AS hash FROM leaves
+          UNION ALL
+          SELECT f.rid, f.step + 1, sha256(p.l || f.hash || p.r) FROM fold f JOIN path p ON p.rid = f.rid AND p.step = f.step),
+        proofs AS (SELECT rid, sha256(string_agg(l || r, '' ORDER BY step)) AS proof_sha256 FROM path GROUP BY rid),
+        roots AS (SELECT hash AS root FROM top WHERE n = 1),
+        folded AS (SELECT rid, arg_max(hash, step) AS folded_root FROM fold GROUP BY rid)
+        SELECT x.doc_id, x.leaf, u.subroot, r.root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.folded_root, f.folded_root = r.root AS verified, x.source, x.idx AS leaf_index, x.other IS NOT NULL AS tampered
+        FROM leaves x JOIN subroots u ON u.grp = x.grp JOIN folded f ON f.rid = x.rid LEFT JOIN proofs p ON p.rid = x.rid, roots r""",
     "op7_exact_top_k": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
