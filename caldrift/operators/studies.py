@@ -241,9 +241,21 @@ SUITE = (
 )
 
 
+def circuit_names() -> list[tuple[str, str, int, int]]:
+    return [(family, name.format(n=n), n, layers) for family, name, sizes, layers in SUITE for n in sizes]
+
+
+def suite_overhead(suite: DataFrame, runs: DataFrame) -> DataFrame:
+    """The suite's circuits with their compiled runs (run_id, circuit_name, ops): how many, all their two-qubit operations, and those of a run over the logical ones."""
+    made = runs.groupBy("circuit_name").agg(F.count_distinct("run_id").alias("runs"), F.sum("ops").alias("compiled_ops"))
+    return suite.join(made, "circuit_name", "left").withColumn("runs", F.coalesce("runs", F.lit(0))).withColumn("overhead", ratio(F.col("compiled_ops"), F.col("runs") * F.col("two_qubit_ops"))).select(
+        *suite.columns, "runs", "compiled_ops", "overhead"
+    )
+
+
 def circuit_suite(spark) -> DataFrame:
     """The suite's circuits with the numbers of their logical two-qubit operations, in closed form from size and layers."""
-    rows = spark.createDataFrame([(family, name.format(n=n), n, layers) for family, name, sizes, layers in SUITE for n in sizes], "family string, circuit_name string, n int, layers int")
+    rows = spark.createDataFrame(circuit_names(), "family string, circuit_name string, n int, layers int")
     n, layers = F.col("n"), F.col("layers")
     pairs = F.expr("n * (n - 1) div 2")
     ops = {

@@ -60,7 +60,7 @@ CTES = {
     "valid": "SELECT *, lag(cycle) OVER w AS prev, lag(started) OVER w AS prev_started FROM cycles WHERE success WINDOW w AS (PARTITION BY backend ORDER BY started, cycle)",
     "usage": "SELECT l_orderkey AS run_id, l_returnflag AS backend, l_linenumber % 2 AS level, CAST(l_suppkey AS VARCHAR) AS component_id, CAST(l_quantity AS BIGINT) AS ops FROM lineitem",
     "edges": "SELECT DISTINCT backend, least(a, b) AS a, greatest(a, b) AS b FROM (SELECT event_type AS backend, user_id % 400 AS a, (user_id + event_id % 4) % 400 AS b FROM events) WHERE a <> b",
-    "compiled": "SELECT event_id // 40 AS run_id, event_type AS backend, event_id // 40 % 2 AS level, CAST(least(a, b) AS VARCHAR) || '-' || CAST(greatest(a, b) AS VARCHAR) AS component_id, user_id % 7 + 1 AS ops FROM (SELECT *, user_id % 400 AS a, (user_id + event_id % 4) % 400 AS b FROM events WHERE event_id % 4 IN (1, 2))",
+    "compiled": "SELECT event_id // 40 AS run_id, event_type AS backend, event_id // 40 % 2 AS level, CAST(least(a, b) AS VARCHAR) || '-' || CAST(greatest(a, b) AS VARCHAR) AS component_id, user_id % 7 + 1 AS ops FROM (SELECT *, user_id % 400 AS a, (user_id + CASE WHEN event_id % 4 = 2 THEN 2 ELSE 1 END) % 400 AS b FROM events)",
     "anchors": f"SELECT event_type AS backend, epoch_us(ts) AS observed, epoch_us(ts) // {24 * HOUR} * {24 * HOUR} AS t FROM events",
 }
 

@@ -83,9 +83,10 @@ def topology(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def compiled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-qubit operations of compiled runs on the couplings of ``topology``, some of which no run uses."""
-    e = table(spark, sf_dir, "events").where("event_id % 4 in (1, 2)")
-    a, b = F.col("user_id") % NODES, (F.col("user_id") + F.col("event_id") % 4) % NODES
+    """Two-qubit operations of compiled runs on the couplings of ``topology``, one for each event; those of nodes three apart no run uses."""
+    e = table(spark, sf_dir, "events")
+    apart = F.when(F.col("event_id") % 4 == 2, 2).otherwise(1)
+    a, b = F.col("user_id") % NODES, (F.col("user_id") + apart) % NODES
     run = F.expr("event_id div 40")
     return e.select(run.alias("run_id"), F.col("event_type").alias("backend"), (run % 2).alias("level"), F.concat_ws("-", F.least(a, b), F.greatest(a, b)).alias("component_id"), (F.col("user_id") % 7 + 1).alias("ops"))
 

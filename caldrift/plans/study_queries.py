@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caldrift.functions.expr import HOUR, MINUTE, seconds_between
@@ -319,16 +319,26 @@ query("circ_edge_counts", "SELECT l_orderkey AS circuit, least(l_linenumber, l_s
 query("circ_logical_2q", "SELECT l_orderkey AS circuit, count(*) FILTER (l_quantity < 25) AS two_qubit FROM lineitem GROUP BY 1")(
     lambda s, d: P.table(s, d, "lineitem").select(F.col("l_orderkey").alias("circuit"), F.when(F.col("l_quantity") < 25, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))).alias("q")).groupBy("circuit").agg(F.count_if(F.size("q") == 2).alias("two_qubit"))
 )
-query(
-    "circ_suite",
-    """SELECT family, replace(name, '#', CAST(n AS VARCHAR)) AS circuit_name, CAST(n AS INT) AS n, CAST(layers AS INT) AS layers,
+SUITE = """SELECT family, replace(name, '#', CAST(n AS VARCHAR)) AS circuit_name, CAST(n AS INT) AS n, CAST(layers AS INT) AS layers,
         CAST(CASE family WHEN 'GHZ' THEN n - 1 WHEN 'QFT' THEN n * (n - 1) // 2 + n // 2 WHEN 'Bernstein-Vazirani' THEN ceil((n - 1) / 2) WHEN 'QAOA-ring' THEN layers * n WHEN 'Ising-Trotter' THEN layers * (n - 1)
           WHEN 'Random-brickwork' THEN layers // 2 * (n // 2 + (n - 1) // 2) ELSE layers * (n * (n - 1) // 2) END AS BIGINT) AS two_qubit_ops
       FROM (SELECT family, name, unnest(sizes) AS n, layers FROM (VALUES ('GHZ', 'ghz_#', [4, 8, 16, 24], 1), ('QFT', 'qft_#', [4, 8, 12], 1), ('Bernstein-Vazirani', 'bv_#', [5, 9, 17, 25], 1), ('QAOA-ring', 'qaoa_ring_#_p2', [6, 12, 18, 24], 2),
-        ('Ising-Trotter', 'ising_#_l4', [8, 16, 24], 4), ('Random-brickwork', 'random_brickwork_#_l6', [8, 16, 24], 6), ('Dense-entangling', 'dense_#_l2', [6, 10, 14], 2)) v(family, name, sizes, layers))""",
-)(lambda s, d: U.circuit_suite(s))
+        ('Ising-Trotter', 'ising_#_l4', [8, 16, 24], 4), ('Random-brickwork', 'random_brickwork_#_l6', [8, 16, 24], 6), ('Dense-entangling', 'dense_#_l2', [6, 10, 14], 2)) v(family, name, sizes, layers))"""
+
 
+def suite_runs(s: SparkSession, d: str) -> D:
+    """The compiled runs by the circuit that they are of: run k is of the (k mod 24)th by name."""
+    named = U.circuit_suite(s).select((F.row_number().over(Window.orderBy("circuit_name")) - 1).cast("long").alias("k"), "circuit_name")
+    return P.compiled(s, d).withColumn("k", F.col("run_id") % len(U.circuit_names())).join(named, "k").select("run_id", "circuit_name", "ops")
 
+
+query(
+    "circ_suite",
+    f"""WITH suite AS ({SUITE}), named AS (SELECT *, row_number() OVER (ORDER BY circuit_name) - 1 AS k FROM suite)
+      SELECT family, circuit_name, n, layers, two_qubit_ops, count(DISTINCT run_id) AS runs, CAST(sum(ops) AS BIGINT) AS compiled_ops, sum(ops) / (count(DISTINCT run_id) * max(two_qubit_ops))::DOUBLE AS overhead
+      FROM named LEFT JOIN compiled ON run_id % 24 = k GROUP BY ALL""",
+    "overhead",
+)(lambda s, d: U.suite_overhead(U.circuit_suite(s), suite_runs(s, d)))
 def usage_study(s: SparkSession, d: str) -> D:
     u = U.edge_usage(P.usage(s, d))
     return u.withColumn("degree", (F.col("component_id").cast("long") % 7).cast("double")).withColumn("load", (F.col("component_id").cast("long") * 3 % 11).cast("double"))
