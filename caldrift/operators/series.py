@@ -28,9 +28,12 @@ def positive_windows(hours: list[int]) -> list[int]:
 
 
 def latest_observation(obs: DataFrame) -> DataFrame:
-    """The row that was observed last for each series and calibration time; the value decides a tie."""
+    """The row that was observed last for each series and calibration time; the value decides a tie.
+
+    Rows are dealt by series, so windows over a series' times need neither another shuffle nor another sort.
+    """
     w = Window.partitionBy(*IDENTITY, "t").orderBy(F.desc("observed"), F.desc("value"))
-    return obs.withColumn("caldrift_rank", F.row_number().over(w)).where("caldrift_rank = 1").drop("caldrift_rank")
+    return obs.repartition(*IDENTITY).withColumn("caldrift_rank", F.row_number().over(w)).where("caldrift_rank = 1").drop("caldrift_rank")
 
 
 def robust_scale(df: DataFrame, keys: list[str], value: str) -> DataFrame:
