@@ -16,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if own.isDefined():
         return own.get()
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the cluster shares")
     spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='caldrift-shared-')}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
