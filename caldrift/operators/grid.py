@@ -80,19 +80,39 @@ def device_load(targets: DataFrame, status: DataFrame, windows: list[int], max_s
     at = as_of(targets, load, ["backend"], ["pending_jobs"], "current", crowded=True)
     age = (F.col("t") - F.col("current_t")) / F.lit(float(MINUTE))
     at = at.withColumn("current_age_minutes", age).withColumn("load_current", F.when(age <= max_staleness_minutes, F.col("current_pending_jobs").cast("double"))).drop("current_pending_jobs")
-    names = [c for c in at.columns if c not in ("backend", "t")]
-    rows = at.select("backend", "t", F.struct(*names).alias("l"), F.lit(None).cast("double").alias("x"))
-    seen = load.select("backend", "t", F.lit(None).cast(rows.schema["l"].dataType).alias("l"), F.col("pending_jobs").cast("double").alias("x"))
-    # a device's rows are dealt by stretches no shorter than the longest window, and a value also goes to the stretch after its own
-    length = max(STRETCH, max(windows, default=0) * HOUR)
-    own = F.expr(f"t div {length}")
-    both = rows.withColumn("stretch", own).unionByName(seen.withColumn("stretch", F.explode(F.array(own, own + 1))))
-    w = Window.partitionBy("backend", "stretch").orderBy("t")
     for h in windows:
-        prior = w.rangeBetween(-h * HOUR, -1)
-        for name, agg in (("mean", F.avg), ("max", F.max), ("std", F.stddev_samp), ("count", F.count)):
-            both = both.withColumn(f"load_{name}_{h}h", agg("x").over(prior))
-    return both.where("l is not null").select("backend", "t", *[F.col(f"l.{c}").alias(c) for c in names], *[f"load_{n}_{h}h" for h in windows for n in ("mean", "max", "std", "count")])
+        at = at.join(_trailing(targets, load, h), ["backend", "t"])
+    return at
+
+
+def _trailing(targets: DataFrame, load: DataFrame, hours: int) -> DataFrame:
+    """The load over [t - hours, t) for each backend and time of ``targets``: mean, maximum, deviation and count.
+
+    A device's time is cut into blocks as long as the window, so a window is the end of one block and the start of the next: two running aggregates, one
+    back from a block's end, read at t - hours, and one on from a block's start, read at t. Work doesn't grow with the rows in a window.
+    """
+    length = hours * HOUR
+    asked = targets.where("backend IS NOT NULL AND t IS NOT NULL").select("backend", "t").distinct()
+    mark = lambda at, tail: F.struct(at.alias("at"), F.lit(tail).alias("tail"), F.col("t").alias("of"))
+    marks = asked.select("backend", F.explode(F.array(mark(F.col("t") - length, True), mark(F.col("t"), False))).alias("m")).select("backend", "m.*", F.lit(None).cast("double").alias("x"))
+    seen = load.select("backend", F.col("t").alias("at"), F.lit(None).cast("boolean").alias("tail"), F.lit(None).cast("long").alias("of"), F.col("pending_jobs").cast("double").alias("x"))
+    rows = marks.unionByName(seen).withColumn("block", F.expr(f"(at - pmod(at, {length}L)) div {length}L"))
+    w = Window.partitionBy("backend", "block")
+    head, tail = w.orderBy("at").rangeBetween(Window.unboundedPreceding, -1), w.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
+    part = lambda over: F.struct(F.count("x").over(over).alias("n"), F.sum("x").over(over).alias("total"), F.max("x").over(over).alias("most"), F.var_pop("x").over(over).alias("spread"))
+    both = rows.select("*", part(head).alias("head"), part(tail).alias("end")).where("of IS NOT NULL")
+    both = both.groupBy("backend", F.col("of").alias("t")).agg(F.max(F.when(F.col("tail"), F.col("end"))).alias("a"), F.max(F.when(~F.col("tail"), F.col("head"))).alias("b"))
+    n = F.col("a.n") + F.col("b.n")
+    means = [F.try_divide(F.col(f"{k}.total"), F.col(f"{k}.n")) for k in "ab"]
+    squares = sum((F.coalesce(F.col(f"{k}.spread") * F.col(f"{k}.n"), F.lit(0.0)) for k in "ab"), F.coalesce(F.pow(means[0] - means[1], 2) * F.col("a.n") * F.col("b.n") / n, F.lit(0.0)))
+    return both.select(
+        "backend",
+        "t",
+        F.try_divide(F.coalesce("a.total", F.lit(0.0)) + F.coalesce("b.total", F.lit(0.0)), n).alias(f"load_mean_{hours}h"),
+        F.greatest("a.most", "b.most").alias(f"load_max_{hours}h"),
+        F.when(n >= 2, F.sqrt(squares / (n - 1))).alias(f"load_std_{hours}h"),
+        n.alias(f"load_count_{hours}h"),
+    )
 
 
 def frequency(events: DataFrame, grid: DataFrame, coverage: DataFrame, windows: list[int]) -> DataFrame:
