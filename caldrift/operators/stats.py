@@ -202,8 +202,9 @@ def two_way(df: DataFrame, groups: list[str], entity: str, time: str, outcomes:
     return out.withColumn("p_value", F.when(z.isNotNull(), normal_p(z))).withColumn("ci_low", F.col("coefficient") - 1.96 * F.col("standard_error")).withColumn("ci_high", F.col("coefficient") + 1.96 * F.col("standard_error"))
 
 
-def standardized_ols(df: DataFrame, groups: list[str], y: str, predictors: list[str]) -> DataFrame:
-    """Betas and R2 of z(log1p(y)) on z(predictors) by group; constant predictors drop out; needs n > k + 2.
+def standardized_ols(df: DataFrame, groups: list[str], y: str, predictors: list[str], drop_constant: bool = True) -> DataFrame:
+    """Betas and R2 of z(log1p(y)) on z(predictors) by group; needs n > k + 2. Constant predictors drop out; without ``drop_constant`` a group
+    with a constant column has NaN for all, as correlations with a constant are no number.
 
     The group's second moments are an ordinary aggregate; a grouped map solves them, so no group's rows meet in one task.
     """
@@ -219,14 +220,17 @@ def standardized_ols(df: DataFrame, groups: list[str], y: str, predictors: list[
         sd = np.sqrt(np.maximum(np.diag(c), 0))
         use = [i for i in range(1, len(names)) if sd[i] > 1e-12]
         betas, r2 = [None] * len(predictors), None
-        if use and sd[0] > 1e-12 and r["n"] > len(predictors) + 2:
+        enough = r["n"] > len(predictors) + 2
+        if enough and use and sd[0] > 1e-12:
             corr = c / np.outer(np.where(sd > 0, sd, 1), np.where(sd > 0, sd, 1))
             b = np.linalg.lstsq(corr[np.ix_(use, use)], corr[use, 0], rcond=None)[0]
             r2 = float(b @ corr[use, 0])
             for i, x in zip(use, b, strict=True):
                 betas[i - 1] = float(x)
-        return pd.DataFrame([(*key, int(r["n"]), *betas, r2)], columns=[*groups, "n", *[f"beta_{p}" for p in predictors], "r2"])
+        return pd.DataFrame([(*key, int(r["n"]), *betas, r2, bool(enough and (sd <= 1e-12).any()))], columns=[*groups, "n", *[f"beta_{p}" for p in predictors], "r2", "constant"])
 
     fields = {f.name: f.dataType.simpleString() for f in full.schema.fields}
-    schema = ", ".join([*(f"{g} {fields[g]}" for g in groups), "n long", *(f"beta_{p} double" for p in predictors), "r2 double"])
-    return moments.groupBy(*groups).applyInPandas(solve, schema)
+    schema = ", ".join([*(f"{g} {fields[g]}" for g in groups), "n long", *(f"beta_{p} double" for p in predictors), "r2 double", "constant boolean"])
+    fits = moments.groupBy(*groups).applyInPandas(solve, schema)
+    shown = lambda c: c if drop_constant else F.when(F.col("constant"), F.lit(float("nan"))).otherwise(F.col(c)).alias(c)
+    return fits.select(*groups, "n", *[shown(f"beta_{p}") for p in predictors], shown("r2"))

@@ -210,12 +210,12 @@ def scoped(table: DataFrame) -> DataFrame:
     return table.withColumn("scope", F.explode(F.when(F.col("any_constant_one"), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("filtered")))))
 
 
-def backend_summary(table: DataFrame, controls: tuple[str, ...] = ("edge_betweenness", "degree_sum"), rate: str = "calibration_events_per_day") -> DataFrame:
+def backend_summary(table: DataFrame, controls: tuple[str, ...] = ("edge_betweenness", "degree_sum"), rate: str = "calibration_events_per_day", drop_constant: bool = True) -> DataFrame:
     """By device and level: edges, the share that the compiler used, rank correlations of usage with the calibration rate, and the usage's
     beta and R2 beside the topology's controls; for all edges and for those that aren't constantly one."""
     groups, both = ["backend", "level"], scoped(table)
     rho = stats.correlations(both, [*groups, "scope"], [rate], ["mean_share", "presence"]).where("method = 'spearman'")
-    beta = stats.standardized_ols(both, [*groups, "scope"], rate, ["mean_share", *controls])
+    beta = stats.standardized_ols(both, [*groups, "scope"], rate, ["mean_share", *controls], drop_constant)
     base = table.groupBy(*groups).agg(F.count("*").alias("edges"), F.count_if("any_constant_one").alias("constant_edges"), F.avg((F.col("used_runs") > 0).cast("double")).alias("used_all"), F.avg(F.when(~F.col("any_constant_one"), (F.col("used_runs") > 0).cast("double"))).alias("used_filtered"))
     pick = lambda value, scope, extra=F.lit(True): F.max(F.when((F.col("scope") == scope) & extra, F.col(value)))
     rhos = rho.groupBy(*groups).agg(*[pick("correlation", scope, F.col("predictor") == p).alias(f"rho_{name}_{scope}") for name, p in (("share", "mean_share"), ("presence", "presence")) for scope in ("all", "filtered")])

@@ -357,7 +357,7 @@ query(
     f"""SELECT backend, level, n, (ry1 - r12 * ry2) / (1 - r12 * r12) AS beta_degree, (ry2 - r12 * ry1) / (1 - r12 * r12) AS beta_load, ((ry1 - r12 * ry2) * ry1 + (ry2 - r12 * ry1) * ry2) / (1 - r12 * r12) AS r2
       FROM (SELECT backend, level, count(*) AS n, corr(ln(1 + ops), degree) AS ry1, corr(ln(1 + ops), load) AS ry2, corr(degree, load) AS r12 FROM ({USE}) GROUP BY ALL)""",
     "beta_degree beta_load r2",
-)(lambda s, d: Z.standardized_ols(usage_study(s, d), ["backend", "level"], "ops", ["degree", "load"]))
+)(lambda s, d: Z.standardized_ols(usage_study(s, d), ["backend", "level"], "ops", ["degree", "load"], drop_constant=False))
 RANKED = "rank() OVER (PARTITION BY backend, level, scope, p ORDER BY {0}) + (count(*) OVER (PARTITION BY backend, level, scope, p, {0}) - 1) / 2.0::DOUBLE"
 CTES |= {
     "erho": f"""SELECT backend, level, scope, p, CASE WHEN max(x) > min(x) AND max(y) > min(y) THEN corr(rx, ry) END AS rho FROM
@@ -372,7 +372,7 @@ query(
     f"""SELECT * FROM (SELECT backend, level, count(*) AS edges, count(*) FILTER (any_constant_one) AS constant_edges, avg(CASE WHEN used_runs > 0 THEN 1.0 ELSE 0.0 END) AS used_all, avg(CASE WHEN used_runs > 0 THEN 1.0 ELSE 0.0 END) FILTER (NOT any_constant_one) AS used_filtered FROM etab GROUP BY ALL)
       LEFT JOIN (SELECT backend, level, {SCOPED} FROM erho GROUP BY ALL) USING (backend, level) LEFT JOIN (SELECT backend, level, {BETAS} FROM ebeta GROUP BY ALL) USING (backend, level)""",
     "used_all used_filtered rho_share_all rho_share_filtered rho_presence_all rho_presence_filtered beta_all beta_filtered r2_all r2_filtered",
-)(lambda s, d: U.backend_summary(edge_table(s, d), ("degree_sum",)))
+)(lambda s, d: U.backend_summary(edge_table(s, d), ("degree_sum",), drop_constant=False))
 query("join_summary_lookup", "SELECT backend, max(edges) FILTER (level = 0) AS edges_0, max(edges) FILTER (level = 1) AS edges_1, max(rho) FILTER (level = 0) AS rho_0, max(rho) FILTER (level = 1) AS rho_1 FROM (SELECT backend, level, count(*) AS edges FROM etab GROUP BY ALL) LEFT JOIN (SELECT backend, level, rho FROM erho WHERE scope = 'all' AND p = 'share') USING (backend, level) GROUP BY 1", "rho_0 rho_1")(
-    lambda s, d: U.backend_summary(edge_table(s, d), ("degree_sum",)).groupBy("backend").agg(*[F.max(F.when(F.col("level") == k, F.col(v))).alias(f"{n}_{k}") for n, v in (("edges", "edges"), ("rho", "rho_share_all")) for k in (0, 1)])
+    lambda s, d: U.backend_summary(edge_table(s, d), ("degree_sum",), drop_constant=False).groupBy("backend").agg(*[F.max(F.when(F.col("level") == k, F.col(v))).alias(f"{n}_{k}") for n, v in (("edges", "edges"), ("rho", "rho_share_all")) for k in (0, 1)])
 )

@@ -8,6 +8,7 @@ import pandas as pd
 
 from caldrift.functions.expr import HOUR
 from caldrift.operators import grid as G
+from caldrift.operators import stats as Z
 from caldrift.streaming import poll
 
 
@@ -92,3 +93,11 @@ def test_a_batch_of_polls_calls_the_store_once(monkeypatch):
         got += [(*r[:4], None if pd.isna(r[4]) else r[4], r[5]) for f in processor.handleInputRows(("a",), iter(frames), None) for r in f.itertuples(index=False)]
     assert got == want and store.map == known and store.value[0] == prev
     assert store.calls < 40
+
+
+def test_a_constant_column_is_no_number_where_correlations_are_asked(spark):
+    rows = [("g", float(k), float(k % 3), 5.0) for k in range(12)] + [("h", float(k), float(k % 3), float(k % 5)) for k in range(12)]
+    df = spark.createDataFrame(rows, "g string, y double, a double, b double")
+    dropped, asked = ({r.g: r for r in Z.standardized_ols(df, ["g"], "y", ["a", "b"], **o).collect()} for o in ({}, {"drop_constant": False}))
+    assert dropped["g"].beta_a is not None and dropped["g"].beta_b is None and dropped["h"] == asked["h"]
+    assert all(math.isnan(asked["g"][c]) for c in ("beta_a", "beta_b", "r2"))
