@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caldrift.functions.expr import HOUR, MINUTE
+from caldrift.functions.scratch import Scratch
 
 
 #: Time of one key that a task takes at once.
@@ -121,6 +122,7 @@ def frequency(events: DataFrame, grid: DataFrame, coverage: DataFrame, windows:
     Counts are differences of one running count read at t and at t - w, so their cost doesn't grow with the window.
     """
     keys = ["backend", "component_type", "component_id"]
+    events = Scratch(events.sparkSession).write(events.select(*keys, "t"), "events")  # read for the cells and for the counts
     cells = events.select(*keys).distinct().join(grid, "backend")
     marks = cells.select(*keys, F.explode(F.array(*[F.struct((F.col("t") - h * HOUR).alias("at"), F.lit(h).alias("h"), F.col("t").alias("t")) for h in (0, *windows)])).alias("m"))
     asked = marks.select(*keys, F.col("m.at").alias("at"), F.col("m.h").alias("h"), F.col("m.t").alias("t"), F.lit(0).alias("one"))

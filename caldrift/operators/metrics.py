@@ -9,7 +9,7 @@ from caldrift.functions.expr import HOUR, MINUTE, ratio, rms
 from caldrift.functions.scratch import Scratch
 
 from . import ranks, sessions
-from .grid import as_of, slot
+from .grid import slot
 from .series import COMPONENT, IDENTITY
 
 KIND = ["backend", "component_type"]
@@ -65,11 +65,30 @@ def concentration(freq: DataFrame) -> DataFrame:
     )
 
 
-def _ages(events: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, t, age): hours since the last event at or before each grid time; null before the first."""
-    cells = events.select(*keys).distinct().join(grid, "backend").select(*keys, "t")
-    found = as_of(cells, events.select(*keys, "t", F.lit(1).alias("one")), keys, ["one"], "last")
-    return found.select(*keys, "t", ((F.col("t") - F.col("last_t")) / F.lit(float(HOUR))).alias("age"))
+#: Time in which ages and grid times meet.
+DAY = 24 * HOUR
+
+
+def _ages(events: DataFrame, grid: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """How often each age (hours since the last event at or before it) stands at each grid time of a type: (backend, component_type, t, age, n), and
+    the cells of each: (g, cells), g the struct of type and time.
+
+    From an event to the next of its series the grid times see that event. So equal gaps of a type are counted first, and meet the grid by the
+    days that they cover; no row a series and grid time is made. Events are read twice and so written.
+    """
+    scratch = Scratch(events.sparkSession)
+    times = scratch.write(events.where("backend IS NOT NULL").groupBy(*keys, "t").agg(F.lit(1).alias("one")).drop("one"), "times")
+    until = F.lead("t").over(Window.partitionBy(*keys).orderBy("t"))
+    gaps = times.withColumn("until", until).where("t IS NOT NULL").groupBy(*KIND, "t", "until").agg(F.count("*").alias("n"))
+    day = lambda c: F.expr(f"({c} - pmod({c}, {DAY}L)) div {DAY}L")
+    last = grid.groupBy("backend").agg(F.max("t").alias("last"))
+    days = F.explode(F.sequence(day("t"), day("stop")))
+    met = gaps.join(last, "backend").withColumn("stop", F.least(F.coalesce(F.col("until") - 1, F.col("last")), F.col("last"))).where("stop >= t").withColumn("day", days)
+    seen = met.join(grid.select("backend", F.col("t").alias("at"), day("t").alias("day")), ["backend", "day"]).where("at >= t AND at <= stop")
+    age = (F.col("at") - F.col("t")) / F.lit(float(HOUR))
+    ages = seen.groupBy(*KIND, F.col("at").alias("t"), age.alias("age")).agg(F.sum("n").alias("n"))
+    universe = times.select(*keys).distinct().groupBy(*KIND).agg(F.count("*").alias("cells"))
+    return ages, universe.join(grid.select("backend", "t"), "backend").select(ranks.group([*KIND, "t"]).alias("g"), "cells")
 
 
 AGE_QUANTILES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
@@ -79,8 +98,8 @@ def timing_discrepancy(events: DataFrame, grid: DataFrame, thresholds: list[int]
     """Spread of the components' ages at each grid time; quantiles, gaps and Gini are read off the ages' ranks."""
     keys = [*KIND, "t"]
     scratch = Scratch(events.sparkSession)
-    ages = scratch.write(_ages(events, grid, COMPONENT).select(*keys, "age"), "ages")
-    values = scratch.write(ranks.cumulative(ages, keys, "age"), "ranks")
+    ages, cells = _ages(events, grid, COMPONENT)
+    values = scratch.write(ranks.cumulative(ages, keys, "age", "n"), "ranks")
     picks, quantiles = ranks.at_quantiles(AGE_QUANTILES)
     n, x = F.col("n"), F.col("value")
     known = values.groupBy("g").agg(
@@ -88,7 +107,7 @@ def timing_discrepancy(events: DataFrame, grid: DataFrame, thresholds: list[int]
         *[(F.sum(F.when(x > h, n).otherwise(0)) / F.sum("n")).alias(f"fraction_age_gt_{h}h") for h in thresholds],
     ).select("g", F.col("total").alias("known"), "mean", "sum", "range", "weighted", *quantiles, *[f"fraction_age_gt_{h}h" for h in thresholds])
     both = ranks.spread(values, known, "p50", "mean")
-    cells = ages.groupBy(ranks.group(keys).alias("g")).agg(F.count("*").alias("component_count"))
+    cells = cells.withColumnRenamed("cells", "component_count")
     known_count = F.coalesce("known", F.lit(0))
     return cells.join(both, "g", "left").select(
         "g.*",
@@ -111,14 +130,14 @@ def timing_discrepancy(events: DataFrame, grid: DataFrame, thresholds: list[int]
 def property_staleness(drift: DataFrame, grid: DataFrame, thresholds: list[int]) -> DataFrame:
     """Ages of the property series of each type at each grid time."""
     keys = [*KIND, "t"]
-    out = _ages(drift, grid, IDENTITY).groupBy(*keys).agg(
-        F.count("*").alias("series_count"),
-        F.count("age").alias("known_count"),
-        F.expr("percentile(age, array(0.5D, 0.9D))").alias("q"),
-        F.max("age").alias("age_max_hours"),
-        *[F.avg(F.when(F.col("age").isNotNull(), F.when(F.col("age") > h, 1.0).otherwise(0.0))).alias(f"fraction_age_gt_{h}h") for h in thresholds],
-    )
-    return out.select(*keys, "series_count", "known_count", ratio(F.col("known_count"), F.col("series_count")).alias("known_fraction"), F.col("q")[0].alias("age_median_hours"), F.col("q")[1].alias("age_p90_hours"), "age_max_hours", *[f"fraction_age_gt_{h}h" for h in thresholds])
+    ages, cells = _ages(drift, grid, IDENTITY)
+    values = Scratch(drift.sparkSession).write(ranks.cumulative(ages, keys, "age", "n"), "ranks")
+    picks, quantiles = ranks.at_quantiles({"p50": 0.5, "p90": 0.9})
+    n, x = F.col("n"), F.col("value")
+    known = values.groupBy("g").agg(F.max("total").alias("total"), F.max("value").alias("age_max_hours"), *picks, *[(F.sum(F.when(x > h, n).otherwise(0)) / F.sum("n")).alias(f"fraction_age_gt_{h}h") for h in thresholds])
+    known = known.select("g", F.col("total").alias("known"), *quantiles, "age_max_hours", *[f"fraction_age_gt_{h}h" for h in thresholds])
+    known_count = F.coalesce("known", F.lit(0))
+    return cells.join(known, "g", "left").select("g.*", F.col("cells").alias("series_count"), known_count.alias("known_count"), ratio(known_count, F.col("cells")).alias("known_fraction"), F.col("p50").alias("age_median_hours"), F.col("p90").alias("age_p90_hours"), "age_max_hours", *[f"fraction_age_gt_{h}h" for h in thresholds])
 
 
 def cadence(events: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -256,6 +275,7 @@ def snapshot_drift(drift: DataFrame, grid: DataFrame, grid_minutes: int = 60) ->
 
 def grid_outcomes(events: DataFrame, grid: DataFrame, grid_minutes: int = 60) -> DataFrame:
     """Events and drift of each type in each grid interval of every backend."""
+    events = Scratch(events.sparkSession).write(events.select(*COMPONENT, "t", "drift_rms"), "events")  # read for the slots and for the types
     found = events.withColumn("slot", slot("t", grid_minutes)).groupBy(*KIND, F.col("slot").alias("t")).agg(
         F.count("*").alias("n"), F.countDistinct("component_id").alias("m"), F.count("drift_rms").alias("k"), F.avg("drift_rms").alias("drift_mean"), rms(F.col("drift_rms")).alias("drift_rms"), F.max("drift_rms").alias("drift_max")
     )

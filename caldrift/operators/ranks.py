@@ -47,9 +47,9 @@ def _scanned(counted: DataFrame, *more: str) -> DataFrame:
     return dealt.withColumn("inside", inside).join(starts, ["g", "bucket"]).select("g", "bucket", "value", "n", (F.col("inside") + F.col("earlier")).alias("before"), "total", *more)
 
 
-def cumulative(df: DataFrame, keys: list[str], value: str | Column) -> DataFrame:
-    """(g, bucket, value, n, before, total) of the distinct values; ``g`` is the struct of ``keys``."""
-    return _scanned(_counted(df, keys, value))
+def cumulative(df: DataFrame, keys: list[str], value: str | Column, n: str | None = None) -> DataFrame:
+    """(g, bucket, value, n, before, total) of the distinct values; ``g`` is the struct of ``keys``, ``n`` a column of how often a row's value stands."""
+    return _scanned(_counted(df, keys, value, n))
 
 
 def at_quantiles(qs: Mapping[str, float]) -> tuple[list[Column], list[Column]]:

@@ -135,7 +135,7 @@ query(
       FROM (SELECT c.backend, c.component_type, c.component_id, c.property_key, c.t, (c.t - e.t) / {HOUR}.0::DOUBLE AS age FROM (SELECT u.*, g.t FROM (SELECT DISTINCT {C}, property_key FROM dedup) u JOIN grid g USING (backend)) c
             ASOF LEFT JOIN (SELECT {SERIES} FROM dedup) e ON c.backend = e.backend AND c.component_type = e.component_type AND c.component_id = e.component_id AND c.property_key = e.property_key AND c.t >= e.t) GROUP BY ALL""",
     "known_fraction age_median_hours age_p90_hours age_max_hours fraction_age_gt_6h fraction_age_gt_48h",
-)(lambda s, d: M.property_staleness(drift(s, d), grid(s, d), THRESHOLDS))
+)(lambda s, d: M.property_staleness(S.latest_observation(P.observations(s, d)), grid(s, d), THRESHOLDS))
 CAD = "calibration_events_per_day interarrival_mean_hours interarrival_median_hours interarrival_std_hours interarrival_cv interarrival_burstiness interarrival_min_hours interarrival_max_hours"
 query(
     "agg_cadence",

@@ -8,6 +8,7 @@ import pandas as pd
 
 from caldrift.functions.expr import HOUR
 from caldrift.operators import grid as G
+from caldrift.operators import metrics as M
 from caldrift.operators import stats as Z
 from caldrift.streaming import poll
 
@@ -101,3 +102,19 @@ def test_a_constant_column_is_no_number_where_correlations_are_asked(spark):
     dropped, asked = ({r.g: r for r in Z.standardized_ols(df, ["g"], "y", ["a", "b"], **o).collect()} for o in ({}, {"drop_constant": False}))
     assert dropped["g"].beta_a is not None and dropped["g"].beta_b is None and dropped["h"] == asked["h"]
     assert all(math.isnan(asked["g"][c]) for c in ("beta_a", "beta_b", "r2"))
+
+
+def test_staleness_counts_gaps_and_not_cells(spark):
+    rng = random.Random(3)
+    rows = [(b, k, f"c{c}", p, t * HOUR // 2) for b, k in (("a", "qubit"), ("a", "edge"), ("b", None)) for c in range(3) for p in "xy" for t in rng.sample(range(-60, 130), rng.randrange(1, 9))]
+    times = [("a", t * 6 * HOUR) for t in range(-3, 9)] + [("b", t * 6 * HOUR) for t in range(3)] + [("none", 0)]
+    got = M.property_staleness(spark.createDataFrame(rows, "backend string, component_type string, component_id string, property_key string, t long"), spark.createDataFrame(times, "backend string, t long"), [6, 48])
+    assert "percentile(" not in got._jdf.queryExecution().toString()
+    series, found = {r[:4] for r in rows}, {(r.backend, r.component_type, r.t): r for r in got.collect()}
+    assert set(found) == {(b, k, t) for b, k in {r[:2] for r in rows} for of, t in times if of == b}
+    for (b, k, t), r in found.items():
+        own = [[x[4] for x in rows if x[:4] == s and x[4] <= t] for s in series if s[:2] == (b, k)]
+        ages = [(t - max(x)) / HOUR for x in own if x]
+        assert (r.series_count, r.known_count) == (len(own), len(ages))
+        assert r.age_max_hours == max(ages, default=None) and r.age_median_hours == (statistics.median(ages) if ages else None)
+        assert (r.fraction_age_gt_6h is None) == (not ages) and (not ages or math.isclose(r.fraction_age_gt_6h, sum(a > 6 for a in ages) / len(ages)))
