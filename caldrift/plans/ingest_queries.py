@@ -23,14 +23,16 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = P.table(spark, sf_dir, "lineitem")
     date = F.date_format("l_shipdate", ISO)
     text = F.when(F.col("l_orderkey") % 38 == 0, "1.0").when(F.col("l_orderkey") % 19 == 0, "maybe").when(F.col("l_linestatus") == "O", "yes").when(F.col("l_quantity") >= 10, "False")
-    prop = lambda name, value, unit: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"), F.lit(unit).alias("unit"), date.alias("date"))
-    props = F.filter(F.array(prop("T1", F.col("l_extendedprice"), "us"), F.when(text.isNotNull(), prop(" Operational", text, ""))), lambda p: p.isNotNull())
-    n = F.col("l_linenumber")
-    gate = F.struct(F.col("l_returnflag").alias("gate"), F.array((n + 1).cast("string"), n.cast("string")).alias("qubits"), F.array(prop("gate_error", F.col("l_discount"), "")).alias("parameters"), text.alias("operational"))
-    rows = x.groupBy(F.col("l_orderkey").alias("poll")).agg(F.array_sort(F.collect_list(F.struct(n.alias("k0"), F.col("l_partkey").alias("k1"), F.col("l_suppkey").alias("k2"), F.col("l_extendedprice").alias("k3"), props.alias("p"), gate.alias("g")))).alias("r"))
-    gates = F.when(F.col("poll") % 13 != 0, F.transform("r", lambda v: v["g"]))
+    # the lines of an order are dealt and sorted as they are; the payload's objects are made of them after that
+    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("k1"), F.col("l_suppkey").alias("k2"), F.col("l_extendedprice").alias("value"), F.col("l_discount").alias("err"), F.col("l_returnflag").alias("gate"), text.alias("op"), date.alias("date"))
+    rows = x.groupBy(F.col("l_orderkey").alias("poll")).agg(F.array_sort(F.collect_list(line)).alias("r"))
+    prop = lambda v, name, value, unit: F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"), F.lit(unit).alias("unit"), v["date"].alias("date"))
+    first = lambda v: prop(v, "T1", v["value"], "us")
+    props = lambda v: F.when(v["op"].isNotNull(), F.array(first(v), prop(v, " Operational", v["op"], ""))).otherwise(F.array(first(v)))
+    gate = lambda v: F.struct(v["gate"].alias("gate"), F.array((v["n"] + 1).cast("string"), v["n"].cast("string")).alias("qubits"), F.array(prop(v, "gate_error", v["err"], "")).alias("parameters"), v["op"].alias("operational"))
+    gates = F.when(F.col("poll") % 13 != 0, F.transform("r", gate))
     errors = F.when(F.col("poll") % 17 == 0, F.array(F.lit("broken")))
-    listed = F.transform("r", lambda v: v["p"]).alias("qubits")
+    listed = F.transform("r", props).alias("qubits")
     whole = F.to_json(F.struct(listed, gates.alias("gates"), errors.alias("errors")))
     odd = F.to_json(F.struct(listed, F.struct(F.lit("cx").alias("gate")).alias("gates"), errors.alias("errors")))
     return rows.select("poll", F.when((F.col("poll") % 23 == 0) & (F.col("poll") % 13 != 0), odd).otherwise(whole).alias("properties"))

@@ -58,10 +58,6 @@ def _entries(item: Column, path: str) -> Column:
     return _let(F.try_variant_get(item, path, "array<variant>"), lambda found: F.when(found.isNotNull(), found).when(~counts, F.array().cast("array<variant>")))
 
 
-def _has(item: Column, key: str) -> Column:
-    return F.coalesce(F.map_contains_key(_object(item), key), F.lit(False))
-
-
 def _integers(item: Column) -> Column:
     """The qubits of a gate; null where one isn't an integer."""
     numbers = F.transform(_entries(item, "$.qubits"), lambda x: F.coalesce(F.try_variant_get(x, "$", "int"), F.try_variant_get(x, "$", "string").try_cast("int")))
@@ -78,7 +74,7 @@ def _gate(item: Column) -> Column:
     key of that name."""
     name = F.coalesce(F.try_variant_get(item, "$.gate", "string"), F.try_variant_get(item, "$.name", "string"))
     own = F.try_variant_get(item, "$.operational", "variant")
-    fields = lambda params: F.struct(name.alias("name"), _integers(item).alias("qubits"), params.alias("params"), _first_named(params, "operational").alias("own"), own.alias("state"), _has(item, "operational").alias("has_state"))
+    fields = lambda params: F.struct(name.alias("name"), _integers(item).alias("qubits"), params.alias("params"), _first_named(params, "operational").alias("own"), own.alias("state"), own.isNotNull().alias("has_state"))
     return _let(_entries(item, "$.parameters"), fields)
 
 
@@ -104,9 +100,9 @@ def _payload_error() -> Column:
     bad_gate = lambda g: _is_gate(g) & _found(g) & _let(_reported(g), variant_operational).isNull()
     return (
         F.when(v.isNull() | F.is_variant_null(v), "payload is null")
-        .when(_object(v).isNull(), "payload is not an object")
+        .when(F.col("members").isNull(), "payload is not an object")
         .when(F.coalesce(variant_truth(_variant("v", "$.errors")), F.lit(False)), "payload reports errors")
-        .when(~_has(v, "qubits") | ~_has(v, "gates"), "payload lacks qubits or gates")
+        .when(~F.array_contains("members", "qubits") | ~F.array_contains("members", "gates"), "payload lacks qubits or gates")
         .when(F.col("decoded_qubits").isNull(), "qubits is no list")
         .when(F.coalesce(F.exists("decoded_qubits", bad_qubit), F.lit(False)), "a qubit's operational state is unreadable")
         .when(F.col("decoded_gates").isNull(), "gates is no list")
@@ -123,9 +119,10 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def _decoded(raw: DataFrame) -> DataFrame:
     """``raw`` with the payload as VARIANT ``v``, its qubits and gates read once into arrays of structs, and its ``error``."""
     read = _once(raw, "v", F.expr("try_parse_json(properties)"))
+    read = _once(read, "members", F.map_keys(_object(F.col("v"))))
     read = _once(read, "decoded_qubits", F.transform(_entries(F.col("v"), "$.qubits"), _qubit))
     read = _once(read, "decoded_gates", F.transform(_entries(F.col("v"), "$.gates"), _gate))
-    return _once(read, "error", _payload_error())
+    return _once(read, "error", _payload_error()).drop("members")
 
 
 def payloads(raw: DataFrame) -> DataFrame:

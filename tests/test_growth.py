@@ -10,6 +10,7 @@ from caldrift.functions.expr import HOUR
 from caldrift.operators import grid as G
 from caldrift.operators import metrics as M
 from caldrift.operators import stats as Z
+from caldrift.sources import ingest as I
 from caldrift.streaming import poll
 
 
@@ -118,3 +119,12 @@ def test_staleness_counts_gaps_and_not_cells(spark):
         assert (r.series_count, r.known_count) == (len(own), len(ages))
         assert r.age_max_hours == max(ages, default=None) and r.age_median_hours == (statistics.median(ages) if ages else None)
         assert (r.fraction_age_gt_6h is None) == (not ages) and (not ages or math.isclose(r.fraction_age_gt_6h, sum(a > 6 for a in ages) / len(ages)))
+
+
+def test_payload_members_are_listed_once(spark):
+    texts = ['{"qubits": [], "gates": [{"gate": "cx", "qubits": [0, 1], "operational": null, "parameters": []}]}', '{"qubits": [], "gates": [{"gate": "cx", "qubits": [0, 1], "parameters": []}]}', '{"qubits": []}', "[]"]
+    got = I.payloads(spark.createDataFrame(list(enumerate(texts)), "poll int, properties string"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapType") <= 1
+    errors = {r.poll: r.error for r in got.select("poll", "error").collect()}
+    assert errors[1] is None and errors[2] == "payload lacks qubits or gates" and errors[3] == "payload is not an object"
+    assert errors[0] == "a gate's operational state is unreadable"
