@@ -174,17 +174,20 @@ def topology_table(edges: DataFrame, cadence: DataFrame) -> DataFrame:
 
 
 def run_share(usage: DataFrame) -> DataFrame:
-    """Operations of each run on each edge and their share of the run's."""
-    by_edge = usage.groupBy("backend", "level", "run_id", "component_id").agg(F.sum("ops").alias("ops"))
+    """Operations of each run on each edge and their share of the run's. Rows are dealt by run once, for the sums and for the total."""
+    by_edge = usage.repartition("backend", "level", "run_id").groupBy("backend", "level", "run_id", "component_id").agg(F.sum("ops").alias("ops"))
     total = F.sum("ops").over(Window.partitionBy("backend", "level", "run_id"))
     return by_edge.withColumn("within_run_share", ratio(F.col("ops"), total))
 
 
 def edge_usage(usage: DataFrame) -> DataFrame:
-    """By edge: runs that used it, operations, mean share within the runs that used it, presence among all runs, share of all operations."""
+    """By edge: runs that used it, operations, mean share within the runs that used it, presence among all runs, share of all operations.
+
+    ``run_share`` has a row for each run and edge, so its rows are counted as they are; the runs themselves are counted from their own dealing.
+    """
     shares = run_share(usage)
-    runs = usage.groupBy("backend", "level").agg(F.countDistinct("run_id").alias("total_runs"))
-    out = shares.groupBy("backend", "level", "component_id").agg(F.countDistinct("run_id").alias("used_runs"), F.sum("ops").alias("ops"), F.sum("within_run_share").alias("s")).join(runs, ["backend", "level"])
+    runs = usage.select("backend", "level", "run_id").repartition("backend", "level", "run_id").distinct().groupBy("backend", "level").agg(F.count("run_id").alias("total_runs"))
+    out = shares.groupBy("backend", "level", "component_id").agg(F.count("run_id").alias("used_runs"), F.sum("ops").alias("ops"), F.sum("within_run_share").alias("s")).join(runs, ["backend", "level"])
     everything = F.sum("ops").over(Window.partitionBy("backend", "level"))
     return out.select("backend", "level", "component_id", "total_runs", "used_runs", "ops", ratio(F.col("s"), F.col("used_runs")).alias("mean_share"), ratio(F.col("used_runs"), F.col("total_runs")).alias("presence"), ratio(F.col("ops"), everything).alias("global_share"))
 

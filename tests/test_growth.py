@@ -10,6 +10,7 @@ from caldrift.functions.expr import HOUR
 from caldrift.operators import grid as G
 from caldrift.operators import metrics as M
 from caldrift.operators import stats as Z
+from caldrift.operators import studies as U
 from caldrift.sources import ingest as I
 from caldrift.streaming import poll
 
@@ -128,3 +129,20 @@ def test_payload_members_are_listed_once(spark):
     errors = {r.poll: r.error for r in got.select("poll", "error").collect()}
     assert errors[1] is None and errors[2] == "payload lacks qubits or gates" and errors[3] == "payload is not an object"
     assert errors[0] == "a gate's operational state is unreadable"
+
+
+def exchanges(df, *names):
+    """Lines of the plan that deal rows anew and name these columns."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line and all(n in line for n in names)]
+
+
+def test_usage_is_dealt_by_run_and_shares_are_counted_as_they_are(spark):
+    rows = [("a", 0, r, str(c), 1 + (r or 0) * c % 3) for r in (None, 1, 2, 3) for c in range(4) if r is None or c <= r] * 2 + [("b", 1, None, "0", 5)]
+    got = U.edge_usage(spark.createDataFrame(rows, "backend string, level int, run_id long, component_id string, ops long"))
+    # no sum is dealt by run and component, whose rows are about as many as the given ones
+    assert not exchanges(got, "run_id", "component_id")
+    found = {(r.backend, r.component_id): (r.total_runs, r.used_runs, r.ops) for r in got.collect()}
+    assert found["b", "0"] == (0, 0, 5)
+    for c in range(4):
+        own = [x for x in rows if x[0] == "a" and x[3] == str(c)]
+        assert found["a", str(c)] == (3, len({x[2] for x in own} - {None}), sum(x[4] for x in own))
