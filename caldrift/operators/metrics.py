@@ -186,7 +186,8 @@ def episodes(events: DataFrame, coverage: DataFrame, tolerance_minutes: int = 15
 
 
 def synchrony(events: DataFrame, coverage: DataFrame, tolerance_minutes: int = 15) -> DataFrame:
-    """Episodes: events of any component of a type within the tolerance of an anchor."""
+    """Episodes: events of any component of a type within the tolerance of an anchor. What the events come from is worked out once, for them and the universe."""
+    events = Scratch(events.sparkSession).write(events.select(*KIND, "component_id", "t", "drift_rms"), "universe")
     universe = events.groupBy(*KIND).agg(F.countDistinct("component_id").alias("component_count"))
     return (
         episodes(events, coverage, tolerance_minutes).groupBy(*KIND, F.col("number").alias("episode_number"))

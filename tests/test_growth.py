@@ -146,3 +146,20 @@ def test_usage_is_dealt_by_run_and_shares_are_counted_as_they_are(spark):
     for c in range(4):
         own = [x for x in rows if x[0] == "a" and x[3] == str(c)]
         assert found["a", str(c)] == (3, len({x[2] for x in own} - {None}), sum(x[4] for x in own))
+
+
+def test_synchrony_works_its_events_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = [("a", "qubit", str(k % 3), 60_000_000 * (k // 3) * 7, float(k)) for k in range(30)]
+    schema = "backend string, component_type string, component_id string, t long, drift_rms double"
+    events = spark.createDataFrame(rows, schema).mapInArrow(count, schema)
+    coverage = spark.createDataFrame([("a", 0, 60_000_000 * 35)], "backend string, study_start long, study_end long")
+    found = M.synchrony(events, coverage, 15).collect()
+    assert seen.value == len(rows)
+    assert sorted((r.episode_number, r.component_event_count, r.component_count) for r in found) == [(0, 9, 3), (1, 9, 3)]
