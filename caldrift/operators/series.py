@@ -132,6 +132,13 @@ def _next(last: Column, x: Column, tolerance_us: int) -> Column:
     )
 
 
+def component_times(obs: DataFrame, tolerance_minutes: int = 15) -> DataFrame:
+    """(component, component_event_number, t): the events of ``component_events`` without their drift. Which updates make an event, and when it
+    is, hangs on times alone, so no change is worked out or scaled."""
+    times = latest_observation(obs).select(*COMPONENT, "t")
+    return anchored(times, COMPONENT, "t", tolerance_minutes * MINUTE).groupBy(*COMPONENT, F.col("number").alias("component_event_number")).agg(F.max("t").alias("t"))
+
+
 def component_events(drift: DataFrame, tolerance_minutes: int = 15) -> DataFrame:
     """Updates of one component within the tolerance of an anchor, as one event; its time is the last update's."""
     grouped = anchored(drift, COMPONENT, "t", tolerance_minutes * MINUTE).groupBy(*COMPONENT, F.col("number").alias("component_event_number"))

@@ -185,7 +185,7 @@ EP = f"""WITH RECURSIVE tm AS (SELECT DISTINCT backend, component_type, t FROM e
       ep AS (SELECT backend, component_type, min(t) AS anchor, 0 AS number FROM tm GROUP BY ALL UNION ALL
         SELECT a.backend, a.component_type, (SELECT min(d.t) FROM tm d WHERE d.backend = a.backend AND d.component_type = a.component_type AND d.t > a.anchor + {TOLERANCE * MINUTE}), a.number + 1 FROM ep a WHERE a.anchor IS NOT NULL)"""
 query("sess_synchrony", f"SELECT * FROM ({EP} SELECT backend, component_type, component_id, t, number FROM ({SYN}))")(
-    lambda s, d: M.episodes(events(s, d), P.coverage(s, d), TOLERANCE).select(*M.KIND, "component_id", "t", "number")
+    lambda s, d: M.episodes(S.component_times(P.observations(s, d), TOLERANCE), P.coverage(s, d), TOLERANCE).select(*M.KIND, "component_id", "t", "number")
 )
 query(
     "agg_synchrony",

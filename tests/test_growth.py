@@ -9,6 +9,7 @@ import pandas as pd
 from caldrift.functions.expr import HOUR
 from caldrift.operators import grid as G
 from caldrift.operators import metrics as M
+from caldrift.operators import series as S
 from caldrift.operators import stats as Z
 from caldrift.operators import studies as U
 from caldrift.sources import ingest as I
@@ -163,3 +164,11 @@ def test_synchrony_works_its_events_out_once(spark):
     found = M.synchrony(events, coverage, 15).collect()
     assert seen.value == len(rows)
     assert sorted((r.episode_number, r.component_event_count, r.component_count) for r in found) == [(0, 9, 3), (1, 9, 3)]
+
+
+def test_event_times_are_those_of_the_events_with_drift(spark):
+    rng = random.Random(11)
+    rows = [("a", "qubit", str(rng.randrange(4)), rng.choice("xy"), "T1", t, t, rng.random()) for t in (60_000_000 * rng.randrange(900) for _ in range(300))]
+    obs = spark.createDataFrame(rows, "backend string, component_type string, component_id string, property_key string, property_name string, t long, observed long, value double")
+    keys = [*S.COMPONENT, "component_event_number", "t"]
+    assert sorted(S.component_times(obs, 15).select(*keys).collect()) == sorted(S.component_events(S.property_drift(obs), 15).select(*keys).collect())
