@@ -88,7 +88,9 @@ def variant_operational(v: Column) -> Column:
     kind = variant_kind(v)
     number = F.try_variant_get(v, "$", "double")
     of_number = F.when(number == 1, True).when(number == 0, False)
-    return F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(kind.rlike(NUMBERS), of_number).when(kind == "STRING", operational_value(F.try_variant_get(v, "$", "string"))[0])
+    of_text = operational_value(F.try_variant_get(v, "$", "string"))[0]
+    # a flag or number whose text is one of those for a state has that state too, so the kind is only looked at for other texts
+    return F.coalesce(of_text, F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(kind.rlike(NUMBERS), of_number))
 
 
 def variant_truth(v: Column) -> Column:

@@ -132,6 +132,20 @@ def test_payload_members_are_listed_once(spark):
     assert errors[0] == "a gate's operational state is unreadable"
 
 
+def test_payload_lists_are_read_in_one_step(spark):
+    """A payload's members aren't copied to see their keys, nor a gate's parameters one by one; odd gates come out all the same."""
+    gate = '{"gate": "cx", "qubits": [0, "1"], "parameters": [{"name": "e", "value": 0.5, "unit": "", "date": "2024-01-01T00:00:00Z"}, 7], "operational": "1"}'
+    texts = ['{"qubits": [[{"name": " Operational", "value": true}, 3]], "gates": [%s]}' % gate, '{"qubits": 0, "gates": [%s, {"name": "x", "operational": 1.0}, {"gate": "y", "qubits": {"a": 1}}, {"gate": "z", "qubits": [0.5]}]}' % gate]
+    raw = spark.createDataFrame(list(enumerate(texts)), "poll int, properties string")
+    assert "MapType(StringType,VariantType" not in I.payloads(raw)._jdf.queryExecution().optimizedPlan().toString()
+    plan = I.gate_properties(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert "StructField(parameters,ArrayType(StructType(StructField(name,StringType" in plan
+    assert [r.error for r in I.payloads(raw).orderBy("poll").collect()] == [None, None]
+    assert sorted((r.poll, r.gate_name, r.qubits_key, r.parameter_name, r.value) for r in I.gate_properties(raw).collect()) == [(0, "cx", "0,1", "e", 0.5), (1, "cx", "0,1", "e", 0.5)]
+    assert sorted((r.poll, r.gate_name, r.qubits_key, r.reported) for r in I.gate_operational(raw).collect()) == [(0, "cx", "0,1", True), (1, "cx", "0,1", True), (1, "x", "", True), (1, "z", "0", None)]
+    assert [tuple(r)[:5] for r in I.qubit_operational(raw).collect()] == [(0, 0, True, True, True)]
+
+
 def exchanges(df, *names):
     """Lines of the plan that deal rows anew and name these columns."""
     return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line and all(n in line for n in names)]
