@@ -50,8 +50,12 @@ def shingle_hashes(s: T.Slice, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprints_of(s: T.Slice, shingle: int = SHINGLE_WORDS) -> np.ndarray:
     """Fingerprint of each document of a slice, as uint64."""
-    out = np.zeros(len(s), np.uint64)
-    h, count = shingle_hashes(s, shingle)
+    return majorities(*shingle_hashes(s, shingle))
+
+
+def majorities(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The bits set in over half of each document's hashes; ``h`` has the documents' end to end, ``count`` their numbers."""
+    out = np.zeros(len(count), np.uint64)
     edge = np.concatenate([[0], np.cumsum(count)])
     full = np.flatnonzero(count)
     for lo_doc in range(0, len(full), 2048):  # bounds the expanded bits, apart from a single long document's
