@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caldrift.functions.expr import HOUR, MINUTE, ratio, rms
@@ -206,11 +206,29 @@ def synchrony(events: DataFrame, coverage: DataFrame, tolerance_minutes: int = 1
     )
 
 
+#: A group's values cancel out if its mean is at most this part of its largest one.
+CANCELLED = 1e-6
+
+
+def _moments_by_time(values: DataFrame) -> DataFrame:
+    """(key, value_mean_by_time, value_std_by_time) of (key, t, value): the sum and Welford's squares are taken in order of time, one value after the other. A group is an array."""
+    zero = F.lit(0.0)
+    start = F.struct(zero.alias("n"), zero.alias("total"), zero.alias("mean"), zero.alias("squares"))
+
+    def step(a: Column, x: Column) -> Column:
+        n = a["n"] + 1
+        mean = a["mean"] + (x["value"] - a["mean"]) / n
+        return F.struct(n.alias("n"), (a["total"] + x["value"]).alias("total"), mean.alias("mean"), (a["squares"] + (x["value"] - mean) * (x["value"] - a["mean"])).alias("squares"))
+
+    folded = values.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("all")).select("key", F.aggregate("all", start, step).alias("m"))
+    return folded.select("key", (F.col("m.total") / F.col("m.n")).alias("value_mean_by_time"), F.sqrt(F.col("m.squares") / (F.col("m.n") - 1)).alias("value_std_by_time"))
+
+
 def property_summary(drift: DataFrame, coverage: DataFrame) -> DataFrame:
     """Values and drift of each component's properties within the study; a null unit is a group of its own."""
     keys = [*COMPONENT, "property_name", "unit"]
     scratch = Scratch(drift.sparkSession)
-    inside = scratch.write(in_study(drift, coverage).where("in_study_period").select(*keys, "value", "drift_score", "symmetric_relative_change"), "within")
+    inside = scratch.write(in_study(drift, coverage).where("in_study_period").select(*keys, "t", "value", "drift_score", "symmetric_relative_change"), "within")
     sums = inside.groupBy(ranks.group(keys).alias("key")).agg(
         F.count("value").alias("calibration_value_count"),
         F.avg("value").alias("value_mean"),
@@ -232,7 +250,10 @@ def property_summary(drift: DataFrame, coverage: DataFrame) -> DataFrame:
     key = F.struct(*[F.col(f"g.{k}").alias(k) for k in keys])
     pick = lambda m, q: F.max(F.when(F.col("g.measure") == m, F.col("p90" if q == 0.9 else "median")))
     wide = found.join(apart, "g", "left").groupBy(key.alias("key")).agg(*[pick(m, q).alias(name) for m, (name, q) in measures.items()], F.max("value_mad").alias("value_mad"))
-    out = sums.join(wide, "key", "left").select(
+    # where values cancel out, a mean is the rounding of its sum, and the ratio to it hangs on the order of the sum: these few groups, by time
+    cancelled = scratch.write(sums.where((F.col("calibration_value_count") >= 2) & (F.abs("value_mean") <= CANCELLED * F.greatest(F.abs("value_min"), F.abs("value_max")))).select("key"), "cancelled")
+    exact = _moments_by_time(inside.select(ranks.group(keys).alias("key"), "t", "value").where("value IS NOT NULL").join(cancelled, "key"))
+    out = sums.join(wide, "key", "left").join(exact, "key", "left").withColumns({c: F.coalesce(f"{c}_by_time", c) for c in ("value_mean", "value_std")}).select(
         "key.*", "calibration_value_count", "value_mean", "value_median", "value_std", "value_mad", "value_min", "value_max", "drift_observation_count", "drift_mean", "drift_rms", "drift_p90", "drift_max", "symmetric_relative_drift_median"
     )
     return out.withColumn("value_cv", F.when((F.col("calibration_value_count") >= 2) & (F.col("value_mean") != 0), F.col("value_std") / F.abs("value_mean")))

@@ -455,3 +455,27 @@ def test_alignment_shares(spark):
         assert math.isclose(r[f"fraction_within_{m}m"], sum(x.absolute_minutes is not None and x.absolute_minutes <= m for x in found) / 7)
         assert math.isclose(r[f"fraction_before_next_{m}m"], sum(x.anchor_after_t is not None and 0 <= x.anchor_after_t - x.t <= m * MINUTE for x in found) / 7)
         assert math.isclose(r[f"fraction_after_previous_{m}m"], sum(x.anchor_before_t is not None and 0 <= x.t - x.anchor_before_t <= m * MINUTE for x in found) / 7)
+
+
+def test_cancelled_values_are_summed_by_time(spark):
+    """Where values cancel out the ratio to their mean hangs on each rounding: it is that of the SQL, whatever the order of the rows."""
+    import random
+
+    import duckdb
+
+    from caldrift.operators import metrics
+
+    rng = random.Random(3)
+    rows = []
+    for c in range(60):
+        half = [round(rng.uniform(0, 100), 2) - 50 for _ in range(3)]
+        rows += [("x", "qubit", str(c), "p", "s", i, v, 0.5, 0.5) for i, v in enumerate([*half, *[-v for v in half[::-1]], 0.1, 0.2, -0.3])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE x (c VARCHAR, t INT, v DOUBLE)")
+    con.executemany("INSERT INTO x VALUES (?, ?, ?)", [(r[2], r[5], r[6]) for r in rows])
+    want = {r[0]: r[1:] for r in con.execute("SELECT c, avg(v), CASE WHEN avg(v) <> 0 THEN stddev_samp(v) / abs(avg(v)) END FROM x GROUP BY 1").fetchall()}
+    rng.shuffle(rows)
+    drift = spark.createDataFrame(rows, "backend string, component_type string, component_id string, property_name string, unit string, t long, value double, drift_score double, symmetric_relative_change double")
+    coverage = spark.createDataFrame([("x", 0, 99)], "backend string, study_start long, study_end long")
+    got = {r.component_id: (r.value_mean, r.value_cv) for r in metrics.property_summary(drift.repartition(4), coverage).collect()}
+    assert got == want and any(x[1] and x[1] > 1e9 for x in want.values())
